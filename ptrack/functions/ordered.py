@@ -36,8 +36,9 @@ def dense_ids(ids: DataFrame, col: str, out: str, bucket: Column) -> DataFrame:
 
 def with_halo(df: DataFrame, seq: str, chunk: int, before: int = 0, after: int = 0) -> DataFrame:
     """Give rows a chunk number ``_c`` and copy rows next to a chunk border into
-    the neighbouring chunk (``_halo`` true). ``seq`` must be dense per key, so
-    a window over (key, _c) sees the same neighbours as one over the key."""
+    the neighbouring chunk (``_halo`` true). ``seq`` counts without gaps per key
+    (from any start), so a window over (key, _c) sees the same neighbours as one
+    over the key."""
     c = F.floor(F.col(seq) / chunk)
     pos = F.pmod(F.col(seq), F.lit(chunk))
     homes = F.array(F.struct(c.alias("_c"), F.lit(False).alias("_halo")))
@@ -46,7 +47,7 @@ def with_halo(df: DataFrame, seq: str, chunk: int, before: int = 0, after: int =
         homes = F.when(pos >= chunk - before, F.concat(homes, nxt)).otherwise(homes)
     if after:
         prv = F.array(F.struct((c - 1).alias("_c"), F.lit(True).alias("_halo")))
-        homes = F.when((pos < after) & (c > 0), F.concat(homes, prv)).otherwise(homes)
+        homes = F.when(pos < after, F.concat(homes, prv)).otherwise(homes)
     return (df.withColumn("_h", F.explode(homes))
             .withColumn("_c", F.col("_h._c")).withColumn("_halo", F.col("_h._halo")).drop("_h"))
 

@@ -267,15 +267,9 @@ def smooth3x2(tracks: DataFrame, cols, seq: str = "seq", chunk: int = 8192) -> D
     return d.where(~F.col("_halo")).drop("_halo", "_c")
 
 
-def renumber(grid: DataFrame) -> DataFrame:
-    """Point numbers 0, 1, … from grid numbers without gaps."""
-    first = grid.groupBy("cluster_id").agg(F.min("g").alias("g0"))
-    return grid.join(first, "cluster_id").withColumn("seq", F.col("g") - F.col("g0")).drop("g0", "g")
-
-
 def kalman_points(source: DataFrame, p: Params, centres: bool = False) -> DataFrame:
     """Track points before smoothing: (cluster_id, seq, t, x, y, u, v, ax, ay) with
-    u, v in px/s."""
+    u, v in px/s; seq is the grid number."""
     grid = kalman_centres(source, p) if centres else kalman_grid(source, p)
-    return renumber(grid).select("cluster_id", "seq", "t", F.col("px").alias("x"), F.col("py").alias("y"),
+    return grid.select("cluster_id", F.col("g").alias("seq"), "t", F.col("px").alias("x"), F.col("py").alias("y"),
                                  F.col("vx").alias("u"), F.col("vy").alias("v"), "ax", "ay")

@@ -19,12 +19,12 @@ def median_per_time(samples: DataFrame) -> DataFrame:
 
 
 def fit_grid(med: DataFrame, step: float) -> DataFrame:
-    """Grid points (cluster_id, seq, t): multiples of step from the first sample
-    up to, but not at, the last."""
+    """Grid points (cluster_id, seq, t = seq * step) from the first sample up to, but
+    not at, the last."""
     span = med.groupBy("cluster_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     g0, g1 = F.ceil(F.col("a") / step), F.ceil(F.col("b") / step) - 1
-    return (span.where(g1 >= g0).select("cluster_id", F.posexplode(F.sequence(g0, g1)).alias("seq", "g"))
-            .select("cluster_id", F.col("seq").cast("bigint"), (F.col("g") * step).alias("t")))
+    return (span.where(g1 >= g0).select("cluster_id", F.explode(F.sequence(g0.cast("bigint"), g1.cast("bigint"))).alias("seq"))
+            .withColumn("t", F.col("seq") * step))
 
 
 def near_points(samples: DataFrame, points: DataFrame, dt: float) -> DataFrame:

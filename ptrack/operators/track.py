@@ -51,13 +51,14 @@ def track(clusters: DataFrame, p: Params, centers: DataFrame | None = None) -> D
     samples = (centers.select("cluster_id", F.col("tm").alias("t"), F.col("xm").alias("x"), F.col("ym").alias("y"))
                if use_centres else clusters.select("cluster_id", "t", "x", "y"))
     if p.tracking == "bspline":
-        out = fix(fit_splines(samples, p))
+        out = fit_splines(samples, p)
+        out = fix(cut_lineage(out)) if p.correction else out
         return (_close_gaps(out) if p.correction else out).select(*_COLS)
 
-    pts = cut_lineage(kalman.kalman_points(source, p, use_centres))
+    pts = kalman.kalman_points(source, p, use_centres)
     if p.tracking == "kalman":
         if p.correction:
-            pts = cut_lineage(_close_gaps(fix(pts)))
+            pts = cut_lineage(_close_gaps(fix(cut_lineage(pts))))
         s = kalman.smooth3x2(pts, ["x", "y", "u", "v"])
         return s.select("cluster_id", "seq", "t", "x", "y",
                         *[(F.col(c) * 1e-6).alias(c) for c in ("u", "v")])
@@ -75,5 +76,5 @@ def track(clusters: DataFrame, p: Params, centers: DataFrame | None = None) -> D
             out = fit
         else:
             raise ValueError(f"unknown tracking method: {p.tracking}")
-    out = fix(out)
+    out = fix(cut_lineage(out)) if p.correction else out
     return (_close_gaps(out) if p.correction else out).select(*_COLS)
