@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.session import cut_lineage
+from ptrack.session import cut_lineage, grouped
 
 # A node of slice k with label l is (k << 20) | l; a sensor has fewer than 2^20 pixels.
 LABEL_BITS = 20
@@ -55,7 +55,7 @@ def slice_chains(links: DataFrame, block: int) -> DataFrame:
             ref[m], open_[m] = ref[at], open_[at]
         return pd.DataFrame({"k": k, "label": lab, "node": node, "ref": ref, "open": open_})
 
-    part = cut_lineage(links.groupBy("blk").applyInPandas(
+    part = cut_lineage(grouped(links, "blk").applyInPandas(
         inside, "k bigint, label bigint, node bigint, ref bigint, open boolean"))
     border = pointer_double(part.where(F.pmod("k", F.lit(block)) == block - 1))
     roots = border.select(F.col("node").alias("ref"), F.col("ref").alias("root"))

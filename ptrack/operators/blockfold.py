@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ptrack.functions import pixels as px
 from ptrack.functions.chains import LABEL_BITS, pointer_double
 from ptrack.params import Params
-from ptrack.session import cut_lineage
+from ptrack.session import cut_lineage, grouped
 
 _IN = ["k", "x", "y", "n", "n_in", "first_t", "first_idx"]
 _OUT = ("blk bigint, kind string, k int, x int, y int, n bigint, n_in bigint, own bigint, entry boolean, "
@@ -145,7 +145,7 @@ def block_fold(counts: DataFrame, make: Callable[[], Tracker], p: Params) -> Dat
         return run
 
     # a block that only holds warm-up rows of the block before emits its own (empty) result
-    out = cut_lineage(first.groupBy("blk").applyInPandas(runner(False), _OUT))
+    out = cut_lineage(grouped(first, "blk").applyInPandas(runner(False), _OUT))
     while True:
         meta = out.where("kind = 'm'")
         state = out.where("kind = 's'")
@@ -171,7 +171,7 @@ def block_fold(counts: DataFrame, make: Callable[[], Tracker], p: Params) -> Dat
                                           F.lit(None).cast("double").alias("first_t"),
                                           F.lit(None).cast("bigint").alias("first_idx"), "g", "key", "xm", "ym"))
                 .join(dirty, "blk", "left_semi"))
-        again = rows.groupBy("blk").applyInPandas(runner(True), _OUT)
+        again = grouped(rows, "blk").applyInPandas(runner(True), _OUT)
         out = cut_lineage(out.join(dirty, "blk", "left_anti").unionByName(again))
     claims = out.where("kind = 'p'")
     node = F.shiftleft(F.col("blk"), LABEL_BITS) + F.col("own")

@@ -12,6 +12,7 @@ from ptrack.functions import pixels as px
 from ptrack.functions.pixels import disc
 from ptrack.operators.filters import on_sensor
 from ptrack.operators.raster import disc_filter, otsu, scatter
+from ptrack.session import cut_lineage, grouped
 
 
 def label_regions(frame: DataFrame, connectivity: int = 4, structure: int = 1) -> DataFrame:
@@ -24,7 +25,7 @@ def label_regions(frame: DataFrame, connectivity: int = 4, structure: int = 1) -
         return pd.DataFrame({"k": int(pdf.k.iloc[0]), "x": c // px.SENSOR_Y, "y": c % px.SENSOR_Y,
                              "label": px.label(c, half)})
 
-    return frame.select("k", "x", "y").groupBy("k").applyInPandas(run, "k int, x int, y int, label bigint")
+    return grouped(frame.select("k", "x", "y"), "k").applyInPandas(run, "k int, x int, y int, label bigint")
 
 
 def region_sizes(labels: DataFrame, counts: DataFrame, min_size: int) -> DataFrame:
@@ -58,7 +59,7 @@ def dbscan(counts: DataFrame, eps: float, min_pts: int) -> DataFrame:
         out["label"] = px.dbscan(c[o], n[o], first[o], eps, min_pts)
         return out
 
-    return (counts.select("k", "x", "y", "n", "first_t", "first_idx").groupBy("k")
+    return (grouped(counts.select("k", "x", "y", "n", "first_t", "first_idx"), "k")
             .applyInPandas(run, "k int, x int, y int, n bigint, label bigint"))
 
 
@@ -73,7 +74,7 @@ def cluster_medians(sl: DataFrame, labels: DataFrame) -> DataFrame:
 
 def smooth_frame(frame: DataFrame, radius: int) -> DataFrame:
     """Pixels above Otsu's threshold of the disc-filtered frame."""
-    s = disc_filter(frame, radius)
+    s = disc_filter(cut_lineage(frame), radius)
     return s.join(otsu(s), "k").where(F.col("v") > F.col("threshold")).select("k", "x", "y")
 
 

@@ -17,7 +17,7 @@ from ptrack.operators.pixelwise import PixelwiseTracker
 from ptrack.operators.slicing import slice_count, slice_events, time_bounds
 from ptrack.operators.spatial import match_slices
 from ptrack.params import Params
-from ptrack.session import cut_lineage
+from ptrack.session import cut_lineage, grouped
 
 
 @dataclass
@@ -125,7 +125,7 @@ def assign_slices(props: DataFrame, threshold: float, live: DataFrame | None = N
         return pd.DataFrame({"k": c.k.to_numpy(), "label": c.label.to_numpy(),
                              "prev": pd.array(prev, dtype="Float64").astype("Int64"), "dist": dist})
 
-    return both.groupBy("k").applyInPandas(run, "k int, label bigint, prev bigint, dist double")
+    return grouped(both, "k").applyInPandas(run, "k int, label bigint, prev bigint, dist double")
 
 
 def pseudoframe(ev: DataFrame, p: Params, b: Column) -> Detection:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ptrack.functions import filter3
 from ptrack.functions.ordered import dense_seq, with_halo
 from ptrack.params import Params
-from ptrack.session import cut_lineage
+from ptrack.session import cut_lineage, grouped
 
 _S = ["px", "vx", "ax", "py", "vy", "ay"]
 
@@ -70,26 +70,40 @@ def _filter(samples: DataFrame, init: DataFrame, p: Params, gain: float, emit, s
     is filtered too, after a step of the first interval's length."""
     q, r, var = p.q, p.r, p.p0 * gain
     cut = with_halo(samples, "seq", p.chunk_rows, before=1).drop("_halo")
-    head = cut.where("_c = 0").join(init, "cluster_id")
+    # Start values travel as one extra row per group (v set), not by a join.
+    cut = cut.withColumn("v", F.lit(None).cast("array<double>"))
+
+    def starts(df, v):
+        return df.select("cluster_id", F.col("_c").cast("bigint"), v.alias("v"))
+
+    def with_starts(rows, st):
+        return rows.unionByName(st, allowMissingColumns=True)
+
+    head = with_starts(cut.where("_c = 0"),
+                       starts(init.withColumn("_c", F.lit(0)), F.array("x0", "vx0", "y0", "vy0")))
 
     def prepare(pdf, is_head):
-        pdf = pdf.sort_values("seq")
+        st = pdf[pdf.v.notna()]
+        pdf = pdf[pdf.v.isna()].sort_values("seq")
         t, z = pdf.t.to_numpy(float), pdf[["x", "y"]].to_numpy(float)
-        if is_head and lead:
+        if is_head and lead and len(t):
             gap = t[1] - t[0] if len(t) > 1 else p.step
             t, z = np.concatenate([[t[0] - gap], t]), np.vstack([z[:1], z])
-        return pdf, t, z
+        return pdf.astype({"seq": "int64"}), t, z, np.asarray(st.v.iloc[0]) if len(st) else None
 
-    def start(pdf):
-        r0 = pdf.iloc[0]
-        return np.array([[r0.x0, r0.y0], [r0.vx0, r0.vy0], [0.0, 0.0]])
+    def begin(v):
+        return np.array([[v[0], v[2]], [v[1], v[3]], [0.0, 0.0]]), np.eye(3) * var
+
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def first(key, pdf):
-        pdf, t, z = prepare(pdf, True)
-        s, _ = filter3.run(t, z, start(pdf), np.eye(3) * var, q, r)
+        pdf, t, z, v = prepare(pdf, True)
+        if v is None or len(t) == 0:
+            return pd.DataFrame({c: [] for c in names})
+        s, _ = filter3.run(t, z, *begin(v), q, r)
         return emit(int(key[0]), pdf, t[1:], s)
 
-    done = head.groupBy("cluster_id").applyInPandas(first, schema)
+    done = grouped(head, "cluster_id").applyInPandas(first, schema)
     if longest <= p.chunk_rows:
         return done
 
@@ -97,28 +111,31 @@ def _filter(samples: DataFrame, init: DataFrame, p: Params, gain: float, emit, s
     form = "cluster_id bigint, c bigint, v array<double>"
 
     def head_summary(key, pdf):
-        pdf, t, z = prepare(pdf, True)
-        s, cov = filter3.run(t, z, start(pdf), np.eye(3) * var, q, r)
+        pdf, t, z, v = prepare(pdf, True)
+        if v is None or len(t) < p.chunk_rows:       # no start state, or nothing follows
+            return pd.DataFrame({"cluster_id": [], "c": [], "v": []})
+        s, cov = filter3.run(t, z, *begin(v), q, r)
         return pd.DataFrame({"cluster_id": [int(key[0])], "c": [0], "v": [[*map(float, s[-1].ravel()), *map(float, cov.ravel())]]})
 
     def summary(key, pdf):
-        _, t, z = prepare(pdf, False)
+        _, t, z, _ = prepare(pdf, False)
         v = np.concatenate([m.ravel() for m in filter3.element(t, z, q, r)])
         return pd.DataFrame({"cluster_id": [int(key[0])], "c": [int(key[1])], "v": [v.tolist()]})
 
-    busy = tail.select("cluster_id").distinct()
-    parts = (head.join(busy, "cluster_id", "left_semi").groupBy("cluster_id").applyInPandas(head_summary, form)
-             .unionByName(tail.groupBy("cluster_id", "_c").applyInPandas(summary, form)))
+    parts = (grouped(head, "cluster_id").applyInPandas(head_summary, form)
+             .unionByName(grouped(tail, "cluster_id", "_c").applyInPandas(summary, form)))
 
     def carry(batches):
         # rows arrive by cluster and chunk, one small row per chunk, as a stream
-        state = cov = None
+        cur = state = cov = None
         for pdf in batches:
             rows = []
             for cid, c, v in zip(pdf.cluster_id, pdf.c, pdf.v):
                 v = np.asarray(v)
                 if c == 0:
-                    state, cov = v[:6].reshape(3, 2), v[6:].reshape(3, 3)
+                    cur, state, cov = cid, v[:6].reshape(3, 2), v[6:].reshape(3, 3)
+                    continue
+                if cid != cur:                       # a cluster without a start state
                     continue
                 rows.append((cid, c, [*map(float, state.ravel()), *map(float, cov.ravel())]))
                 el = (v[:9].reshape(3, 3), v[9:15].reshape(3, 2), v[15:24].reshape(3, 3),
@@ -126,19 +143,19 @@ def _filter(samples: DataFrame, init: DataFrame, p: Params, gain: float, emit, s
                 state, cov = filter3.advance(state, cov, el)
             yield pd.DataFrame(rows, columns=["cluster_id", "_c", "carry"])
 
-    carried = (parts.join(init.select("cluster_id"), "cluster_id", "left_semi")
-               .repartition("cluster_id").sortWithinPartitions("cluster_id", "c")
+    carried = (parts.repartition("cluster_id").sortWithinPartitions("cluster_id", "c")
                .mapInPandas(carry, "cluster_id bigint, _c bigint, carry array<double>"))
 
     def later(key, pdf):
-        pdf, t, z = prepare(pdf, False)
-        v = np.asarray(pdf.carry.iloc[0])
+        pdf, t, z, v = prepare(pdf, False)
+        if v is None:
+            return pd.DataFrame({c: [] for c in names})
         state = v[:6].reshape(3, 2)
         s, _ = filter3.run(t, z, state, v[6:].reshape(3, 3), q, r)
         return emit(int(key[0]), pdf, t, np.concatenate([state[None], s]))
 
-    rest = (tail.join(cut_lineage(carried), ["cluster_id", "_c"])
-            .groupBy("cluster_id", "_c").applyInPandas(later, schema))
+    rest = (grouped(with_starts(tail, starts(cut_lineage(carried), F.col("carry"))), "cluster_id", "_c")
+            .applyInPandas(later, schema))
     return done.unionByName(rest)
 
 

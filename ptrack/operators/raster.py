@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ptrack.functions.pixels import disc
 from ptrack.operators.filters import on_sensor
 from ptrack.params import SENSOR_X, SENSOR_Y
+from ptrack.session import cut_lineage
 
 
 def pixel_counts(sl: DataFrame) -> DataFrame:
@@ -64,8 +65,8 @@ def otsu(smooth: DataFrame, bins: int = 256) -> DataFrame:
     pixels included, from a histogram of ``bins`` equal bins between the
     frame's minimum and maximum; the threshold is a bin centre."""
     total = SENSOR_X * SENSOR_Y
-    # hits takes at most 29 values for radius 3: histogram before anything else
-    h = smooth.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    # the mean takes at most 29 values for radius 3: count them in one pass, the rest is small
+    h = cut_lineage(smooth.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
     span = h.groupBy("k").agg(F.sum("n").alias("lit"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     span = span.select("k", "lit", F.when(F.col("lit") < total, 0.0).otherwise(F.col("lo")).alias("lo"), "hi")
     dark = (span.where(F.col("lit") < total)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ptrack.functions.smoothing import MOMENTS, CellSpline, choose_fit, smoothing_ladder
 from ptrack.params import Params
+from ptrack.session import grouped
 
 
 def median_per_time(samples: DataFrame) -> DataFrame:
@@ -113,5 +114,5 @@ def fit_splines(samples: DataFrame, p: Params, points: DataFrame | None = None)
         return pd.DataFrame({"cluster_id": int(key[0]), "seq": pts.seq.astype("int64"), "t": pts.t,
                              "x": x[:, 0], "u": u[:, 0], "y": x[:, 1], "v": u[:, 1]})
 
-    return both.groupBy("cluster_id").applyInPandas(
+    return grouped(both, "cluster_id").applyInPandas(
         run, "cluster_id bigint, seq bigint, t double, x double, u double, y double, v double")

@@ -11,7 +11,7 @@ from ptrack.functions import robust
 from ptrack.functions.ordered import exact_quantiles, with_halo
 from ptrack.operators.slicing import half_open_bin
 from ptrack.params import Params
-from ptrack.session import cut_lineage
+from ptrack.session import cut_lineage, grouped
 
 EPS = 1e-8
 # Fixed value: standard deviation of a normal distribution per MAD.
@@ -131,7 +131,7 @@ def neighborhood(tracks: DataFrame, p: Params) -> DataFrame:
         return pd.DataFrame(rows, columns=["cluster_id", "seq", *_STATS])
 
     schema = "cluster_id bigint, seq bigint, n_neighbors bigint, " + ", ".join(f"{c} double" for c in _STATS[1:])
-    st = both.groupBy("bin", "tx", "ty", "part").applyInPandas(run, schema)
+    st = grouped(both, "bin", "tx", "ty", "part").applyInPandas(run, schema)
     st = st.select("cluster_id", "seq", "n_neighbors",
                    *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in _STATS[1:]])
     return (st.withColumn("comp_out", F.col("comp_dev") > p.nb_mad_factor)

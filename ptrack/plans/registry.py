@@ -40,12 +40,17 @@ def positive(spark, d):
     return filters.positive(events(spark, d))
 
 
+def stream(spark, d):
+    """Positive events as a table: slicing reads it for the bounds and for the data."""
+    return cut_lineage(positive(spark, d))
+
+
 def closed(spark, d):
-    return slicing.slice_events(positive(spark, d), P.dt)
+    return slicing.slice_events(stream(spark, d), P.dt)
 
 
 def overlapping(spark, d):
-    return slicing.slice_events(positive(spark, d), P.dt, P.overlap)
+    return slicing.slice_events(stream(spark, d), P.dt, P.overlap)
 
 
 def truth(spark, d):
@@ -53,9 +58,14 @@ def truth(spark, d):
     return positive(spark, d).withColumnRenamed("pid", "cluster_id").drop("p")
 
 
-def centres(spark, d):
+def clusters(spark, d):
+    """The same as a table, as detection hands it over."""
+    return cut_lineage(truth(spark, d))
+
+
+def centres(spark, d, sl=None):
     """(k, label, xm, ym, tm, events) per particle and slice."""
-    return (closed(spark, d).groupBy("k", F.col("pid").alias("label"))
+    return ((closed(spark, d) if sl is None else sl).groupBy("k", F.col("pid").alias("label"))
             .agg(F.percentile("x", 0.5).alias("xm"), F.percentile("y", 0.5).alias("ym"),
                  F.percentile("t", 0.5).alias("tm"), F.count(F.lit(1)).alias("events")))
 
@@ -65,7 +75,7 @@ def centre_series(spark, d):
 
 
 def tracks(spark, d):
-    return track.track(truth(spark, d), P)
+    return track.track(clusters(spark, d), P)
 
 
 def checked(spark, d):
@@ -88,8 +98,8 @@ def counts(spark, d):
     return raster.pixel_counts(closed(spark, d))
 
 
-def regions(spark, d):
-    return cluster.label_regions(raster.pseudo_frame(overlapping(spark, d)))
+def regions(spark, d, sl=None):
+    return cluster.label_regions(raster.pseudo_frame(overlapping(spark, d) if sl is None else sl))
 
 
 # --- sources ------------------------------------------------------------------
@@ -170,7 +180,7 @@ def num_slices(spark, d):
 
 @query
 def display_window(spark, d):
-    ev = positive(spark, d)
+    ev = stream(spark, d)
     b = slicing.time_bounds(ev)
     return slicing.display_window(ev, slicing.shift_window(b["t0"], 1, P.dt, b), P.dt).select("event_idx", "t")
 
@@ -193,7 +203,7 @@ def binned_mean(spark, d):
 
 @query
 def multirun_residual(spark, d):
-    r = detect.detect(positive(spark, d), P.with_(method="dbscan", multirun=True))
+    r = detect.detect(stream(spark, d), P.with_(method="dbscan", multirun=True))
     return r.clusters.select("cluster_id", "k", "event_idx", "x", "y", "t")
 
 
@@ -206,7 +216,8 @@ def pseudo_frame(spark, d):
 
 @query
 def pixel_event_join(spark, d):
-    return overlapping(spark, d).join(regions(spark, d), ["k", "x", "y"]).select("k", "label", "event_idx")
+    sl = overlapping(spark, d)
+    return sl.join(regions(spark, d, sl), ["k", "x", "y"]).select("k", "label", "event_idx")
 
 
 @query
@@ -221,7 +232,8 @@ def label_cc4(spark, d):
 
 @query
 def region_size_filter(spark, d):
-    return cluster.region_sizes(regions(spark, d), raster.pixel_counts(overlapping(spark, d)), P.min_pixels)
+    sl = overlapping(spark, d)
+    return cluster.region_sizes(regions(spark, d, sl), raster.pixel_counts(sl), P.min_pixels)
 
 
 @query
@@ -273,20 +285,26 @@ def pf_centroids(spark, d):
 # --- spatial joins and matches ------------------------------------------------
 
 def _next_centres(spark, d):
-    c = centres(spark, d).select((F.col("k") + 1).alias("k"), "label", "xm", "ym")
-    return c.where(F.col("k") < slicing.slice_count(slicing.time_bounds(positive(spark, d)), P.dt))
+    """Closed slices, and each particle's centre carried to the slice after."""
+    ev = stream(spark, d)
+    b = slicing.time_bounds(ev)
+    sl = slicing.slice_events(ev, P.dt, bounds=b)
+    c = centres(spark, d, sl).select((F.col("k") + 1).alias("k"), "label", "xm", "ym")
+    return sl, c.where(F.col("k") < slicing.slice_count(b, P.dt))
 
 
 @query
 def radius_join(spark, d):
-    return spatial.radius_counts(_next_centres(spark, d), counts(spark, d), P.epsilon + 4, "label", P.min_pts)
+    sl, c = _next_centres(spark, d)
+    return spatial.radius_counts(c, raster.pixel_counts(sl), P.epsilon + 4, "label", P.min_pts)
 
 
 @query
 def unclaimed_events(spark, d):
-    c, r = cut_lineage(_next_centres(spark, d)), P.epsilon + 4
-    claims = spatial.radius_counts(c, counts(spark, d), r, "label", P.min_pts)
-    return spatial.unclaimed(closed(spark, d), c, claims, r, "label").select("event_idx", "k")
+    sl, c = _next_centres(spark, d)
+    c, r = cut_lineage(c), P.epsilon + 4
+    claims = spatial.radius_counts(c, raster.pixel_counts(sl), r, "label", P.min_pts)
+    return spatial.unclaimed(sl, c, claims, r, "label").select("event_idx", "k")
 
 
 @query
@@ -311,8 +329,9 @@ def interp_grid(spark, d):
 
 @query
 def correction_join(spark, d):
-    med = spline.median_per_time(truth(spark, d))
-    near = spline.near_points(truth(spark, d), spline.fit_grid(med, P.step), P.dt)
+    c = clusters(spark, d)
+    med = spline.median_per_time(c)
+    near = spline.near_points(c, spline.fit_grid(med, P.step), P.dt)
     return rnd(near.groupBy("cluster_id", "seq").agg(F.count(F.lit(1)).alias("events"), F.avg("x").alias("mx"),
                                                      F.avg("y").alias("my")), {"mx": 6, "my": 6})
 
@@ -348,15 +367,17 @@ def track_cluster_map(spark, d):
 
 # --- tracking of clusters -----------------------------------------------------
 
-def _claims(spark, d):
-    labels = cut_lineage(dbscan_labels(spark, d).where("label >= 0"))
-    meds = cut_lineage(cluster.cluster_medians(closed(spark, d), labels))
+def _claims(spark, d, sl=None):
+    sl = closed(spark, d) if sl is None else sl
+    labels = cluster.dbscan(raster.pixel_counts(sl), P.epsilon, P.min_pts)
+    labels = cut_lineage(labels.where("label >= 0"))
+    meds = cut_lineage(cluster.cluster_medians(sl, labels))
     chains = slice_chains(spatial.match_slices(meds, P.threshold), P.block_slices)
     return labels.join(chains.withColumn("k", F.col("k").cast("int")), ["k", "label"])
 
 
 def _raw_detection(spark, d, method):
-    ev = positive(spark, d)
+    ev = stream(spark, d)
     r = detect.run_once(ev, P.with_(method=method), slicing.time_bounds(ev))
     return r.clusters.select("cluster_id", "k", "event_idx", "x", "y", "t")
 
@@ -389,7 +410,8 @@ def cluster_post_filter(spark, d):
 
 @query
 def min_events_filter(spark, d):
-    m = cluster.cluster_medians(closed(spark, d), dbscan_labels(spark, d))
+    sl = closed(spark, d)
+    m = cluster.cluster_medians(sl, cluster.dbscan(raster.pixel_counts(sl), P.epsilon, P.min_pts))
     return m.where(F.col("events") >= P.min_events).select("k", "label", "events")
 
 
@@ -402,9 +424,10 @@ def union_runs(spark, d):
 
 @query
 def except_clustered(spark, d):
-    sl = closed(spark, d)
-    used = sl.join(dbscan_labels(spark, d).where("label >= 0"), ["k", "x", "y"])
-    return detect.residual(positive(spark, d), used).select("event_idx")
+    ev = stream(spark, d)
+    sl = slicing.slice_events(ev, P.dt)
+    labels = cluster.dbscan(raster.pixel_counts(sl), P.epsilon, P.min_pts)
+    return detect.residual(ev, sl.join(labels.where("label >= 0"), ["k", "x", "y"])).select("event_idx")
 
 
 @query
@@ -414,7 +437,7 @@ def sort_events_by_time(spark, d):
 
 @query
 def detect_pixelwise(spark, d):
-    return detect.detect(positive(spark, d), P).clusters
+    return detect.detect(stream(spark, d), P).clusters
 
 
 # --- trajectories -------------------------------------------------------------
@@ -434,12 +457,12 @@ def kalman_init_pf(spark, d):
 
 @query
 def kalman_filter(spark, d):
-    return rnd(kalman.kalman_series(truth(spark, d), P), _STATE)
+    return rnd(kalman.kalman_series(clusters(spark, d), P), _STATE)
 
 
 @query
 def kalman_resample(spark, d):
-    return rnd(kalman.kalman_grid(truth(spark, d), P), _STATE)
+    return rnd(kalman.kalman_grid(clusters(spark, d), P), _STATE)
 
 
 @query
@@ -450,12 +473,12 @@ def kalman_pf(spark, d):
 
 @query
 def kalman_endpoints(spark, d):
-    return rnd(kalman.endpoints(truth(spark, d), P), _STATE)
+    return rnd(kalman.endpoints(clusters(spark, d), P), _STATE)
 
 
 @query
 def smooth3x2(spark, d):
-    pts = kalman.kalman_points(truth(spark, d), P).drop("ax", "ay")
+    pts = kalman.kalman_points(clusters(spark, d), P).drop("ax", "ay")
     return rnd(kalman.smooth3x2(pts, ["x", "y", "u", "v"]), {"x": 6, "y": 6, "u": 3, "v": 3})
 
 
@@ -466,28 +489,29 @@ def median_per_t(spark, d):
 
 @query
 def bspline_fit(spark, d):
-    return track.track(truth(spark, d), P.with_(tracking="bspline"))
+    return track.track(clusters(spark, d), P.with_(tracking="bspline"))
 
 
 @query
 def hybrid_xk_us(spark, d):
-    return track.track(truth(spark, d), P.with_(tracking="hybrid_xk_us"))
+    return track.track(clusters(spark, d), P.with_(tracking="hybrid_xk_us"))
 
 
 @query
 def hybrid_xk_uks(spark, d):
-    return track.track(truth(spark, d), P.with_(tracking="hybrid_xk_uks"))
+    return track.track(clusters(spark, d), P.with_(tracking="hybrid_xk_uks"))
 
 
 @query
 def hybrid_xks_uks(spark, d):
-    return track.track(truth(spark, d), P.with_(tracking="hybrid_xks_uks"))
+    return track.track(clusters(spark, d), P.with_(tracking="hybrid_xks_uks"))
 
 
 @query
 def offset_correction(spark, d):
-    pts = cut_lineage(kalman.kalman_points(truth(spark, d), P))
-    out = track.correct_offset(pts, truth(spark, d), P.dt, P.beta).select("cluster_id", "seq", "t", "x", "y")
+    c = clusters(spark, d)
+    pts = cut_lineage(kalman.kalman_points(c, P))
+    out = track.correct_offset(pts, c, P.dt, P.beta).select("cluster_id", "seq", "t", "x", "y")
     return rnd(out, {"x": 6, "y": 6})
 
 
@@ -495,7 +519,7 @@ def offset_correction(spark, d):
 def track_single_cluster(spark, d):
     """Test tracking of one cluster, the largest: the filter reaches the scan, but the
     choice reads the whole table."""
-    c = truth(spark, d)
+    c = clusters(spark, d)
     top = c.groupBy("cluster_id").count().agg(F.max_by("cluster_id", F.struct("count", -F.col("cluster_id")))).scalar()
     return track.track(c.where(F.col("cluster_id") == top), P)
 
@@ -591,8 +615,9 @@ def export_tracks(spark, d):
 
 @query
 def detection_stats(spark, d):
-    ev = positive(spark, d)
-    c = closed(spark, d).join(_claims(spark, d).select("k", "x", "y", "cluster_id"), ["k", "x", "y"])
+    ev = stream(spark, d)
+    sl = slicing.slice_events(ev, P.dt)
+    c = sl.join(_claims(spark, d, sl).select("k", "x", "y", "cluster_id"), ["k", "x", "y"])
     return rnd(report.detection_stats(c, ev, P.dt), {"mean_events": 6, "ratio": 6})
 
 
@@ -647,4 +672,4 @@ def cluster_raster(spark, d):
 @query
 def pipeline_table(spark: SparkSession, d: str) -> DataFrame:
     """Pixelwise detection, Kalman tracks, quality filter, flat table."""
-    return pipeline.run(events(spark, d), P.with_(quality_filter=True)).table
+    return pipeline.run(cut_lineage(events(spark, d)), P.with_(quality_filter=True)).table

@@ -1,6 +1,8 @@
 """Session settings and lineage cuts."""
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small shuffles feed CPU-heavy stages here: do not merge them into one task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -21,6 +25,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -41,3 +46,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     does not replay earlier rounds and several readers share one result."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ptrack_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ptrack-zip-"), "ptrack"), "zip", root, "ptrack")
+    sc.addPyFile(name)
+    sc._ptrack_shipped = True
+
+
+def grouped(df: DataFrame, *keys: str):
+    """groupBy for Python group functions. Their cost does not show in shuffle bytes,
+    so the partition number is set here and not coalesced by size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)
