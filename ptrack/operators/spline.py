@@ -85,7 +85,7 @@ def fit_splines(samples: DataFrame, p: Params, points: DataFrame | None = None)
                                       "seq", "t", "mx", "my")))
     ladder, target = smoothing_ladder(), p.target_rms
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pts = pdf[pdf.seq.notna()].sort_values("seq")
         c = pdf[pdf.g.notna()].sort_values("g")
         out = pd.DataFrame({"cluster_id": [], "seq": [], "t": [], "x": [], "u": [], "y": [], "v": []})
