@@ -60,8 +60,12 @@ def test_live_kalman_equals_batch(spark, sf, tmp_path):
         time.sleep(0.1)
     s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = (live_kalman(s, Params()).writeStream.outputMode("append").format("memory").queryName("live")
-         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
-    assert q.awaitTermination(120)
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start())
+    # idle timers keep such a query busy, so wait for the rows instead of for the end
+    n, stop_at = c.count(), time.time() + 60
+    while sum(r["numInputRows"] for r in q.recentProgress) < n and time.time() < stop_at:
+        time.sleep(0.5)
+    q.stop()
     got = spark.table("live").groupBy("cluster_id").agg(F.max(F.struct("t", "px", "vx")).alias("m")).select("cluster_id", "m.*").toPandas()
     want = kalman.kalman_series(c, Params()).toPandas().sort_values("seq").groupby("cluster_id").last()
     for r in got.itertuples():
