@@ -399,6 +399,8 @@ FINAL: dict[str, str] = {
     "kalman_endpoints": f"""SELECT cluster_id, seq, t, {_ROUND_S} FROM kal WHERE seq = 1 OR (cluster_id, seq) IN
         (SELECT cluster_id, max(seq) FROM kal GROUP BY cluster_id)""",
     "smooth3x2": "SELECT cluster_id, seq, t, round(x, 6) AS x, round(y, 6) AS y, round(u, 3) AS u, round(v, 3) AS v FROM ksm",
+    "track_single_cluster": f"""SELECT cluster_id, seq, t, {_ROUND_T} FROM trk WHERE cluster_id =
+        (SELECT cluster_id FROM tr GROUP BY cluster_id ORDER BY count(*) DESC, cluster_id LIMIT 1)""",
     "median_per_t": "SELECT cluster_id, t, x, y FROM med",
     "offset_correction": "SELECT cluster_id, seq, t, round(x, 6) AS x, round(y, 6) AS y FROM corr",
     # validation

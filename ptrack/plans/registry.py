@@ -521,7 +521,7 @@ def track_single_cluster(spark, d):
     choice reads the whole table."""
     c = clusters(spark, d)
     top = c.groupBy("cluster_id").count().agg(F.max_by("cluster_id", F.struct("count", -F.col("cluster_id")))).scalar()
-    return track.track(c.where(F.col("cluster_id") == top), P)
+    return rnd(track.track(c.where(F.col("cluster_id") == top), P), {"x": 6, "y": 6, "u": 9, "v": 9})
 
 
 # --- validation ---------------------------------------------------------------
@@ -670,6 +670,6 @@ def cluster_raster(spark, d):
 # --- end to end ---------------------------------------------------------------
 
 @query
-def pipeline_table(spark: SparkSession, d: str) -> DataFrame:
+def validated_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Pixelwise detection, Kalman tracks, quality filter, flat table."""
     return pipeline.run(cut_lineage(events(spark, d)), P.with_(quality_filter=True)).table
