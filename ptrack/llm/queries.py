@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ptrack.llm import packing, token_files
+from ptrack.llm import packing, secrets, simhash, token_files
 from ptrack.llm.common import stored, table
 from ptrack.llm.tokens import vocabulary
 
@@ -26,3 +26,13 @@ def op2_token_files(spark, d):
 def op9_best_fit_packing(spark, d):
     pieces = stored(packing.token_pieces(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), 2, 1024), "pieces")
     return packing.pack(pieces, 1024).withColumns({c: F.col(c).cast("long") for c in ("length", "offset")})
+
+
+@query
+def op7_secret_scan(spark, d):
+    return secrets.secret_report(table(spark, d, "documents"))
+
+
+@query
+def op10_simhash(spark, d):
+    return simhash.edited_fingerprints(table(spark, d, "documents"))
