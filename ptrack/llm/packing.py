@@ -108,7 +108,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     plan = best_fit(counts, capacity)
     plan = spark.createDataFrame(plan, PLAN)
     ranked = (cut.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
-              .join(F.broadcast(before.select("length", "bucket", "before")), ["length", "bucket"])
+              .join(before.select("length", "bucket", "before"), ["length", "bucket"])
               .withColumn("rank", F.col("own") + F.col("before")))
     # the plan has a few rows per sweep and length, whatever the number of pieces
     placed = ranked.alias("d").join(F.broadcast(plan).alias("p"), (F.col("d.length") == F.col("p.length")) &

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ptrack.llm import packing, secrets, simhash, token_files
+from ptrack.llm import licences, mixing, packing, secrets, simhash, token_files, vectors
 from ptrack.llm.common import stored, table
 from ptrack.llm.tokens import vocabulary
 
@@ -36,3 +36,25 @@ def op7_secret_scan(spark, d):
 @query
 def op10_simhash(spark, d):
     return simhash.edited_fingerprints(table(spark, d, "documents"))
+
+
+@query
+def op1_vector_dedup(spark, d):
+    return vectors.near_vectors(table(spark, d, "embeddings"))
+
+
+@query
+def op3_mix_sources(spark, d):
+    mixed = mixing.mix(table(spark, d, "documents"))
+    return mixed.select("doc_id", *[F.col(f"m_{m}").alias(m) for m in mixing.MARGINS], "n_tokens", F.round("rate", 9).alias("rate"), "sampled")
+
+
+ORACLE["op3_mix_sources"] = mixing.oracle_sql()
+
+
+@query
+def op6_licence_scan(spark, d):
+    # the tables know no files: a source is a project, a language a folder, 64 ids a folder in it
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("file"), path.alias("path"), "text")
+    return licences.licence_scan(files).withColumnRenamed("file", "doc_id")
