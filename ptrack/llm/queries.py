@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ptrack.llm import licences, mixing, packing, secrets, simhash, token_files, vectors
+from ptrack.llm import licences, mixing, packing, secrets, simhash, token_files, toxicity, vectors
 from ptrack.llm.common import stored, table
 from ptrack.llm.tokens import vocabulary
 
@@ -58,3 +58,8 @@ def op6_licence_scan(spark, d):
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = table(spark, d, "documents").select(F.col("doc_id").alias("file"), path.alias("path"), "text")
     return licences.licence_scan(files).withColumnRenamed("file", "doc_id")
+
+
+@query
+def op5_toxicity(spark, d):
+    return toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
