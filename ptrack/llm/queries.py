@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ptrack.llm import licences, mixing, packing, secrets, simhash, token_files, toxicity, vectors
+from ptrack.llm import licences, mixing, packing, secrets, shingle_join, simhash, token_files, toxicity, vectors
 from ptrack.llm.common import stored, table
 from ptrack.llm.tokens import vocabulary
 
@@ -63,3 +63,8 @@ def op6_licence_scan(spark, d):
 @query
 def op5_toxicity(spark, d):
     return toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op8_shingle_join(spark, d):
+    return shingle_join.similar_classes(table(spark, d, "documents"))
