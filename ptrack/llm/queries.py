@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ptrack.llm import licences, mixing, packing, secrets, shingle_join, simhash, token_files, toxicity, vectors
+from ptrack.llm import language_model, licences, mixing, packing, secrets, shingle_join, simhash, token_files, toxicity, vectors
 from ptrack.llm.common import stored, table
 from ptrack.llm.tokens import vocabulary
 
@@ -68,3 +68,8 @@ def op5_toxicity(spark, d):
 @query
 def op8_shingle_join(spark, d):
     return shingle_join.similar_classes(table(spark, d, "documents"))
+
+
+@query
+def op4_language_model(spark, d):
+    return language_model.score_documents(table(spark, d, "documents"))
