@@ -33,6 +33,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """df, a stored table of a few short columns, to be broadcast if it has at most so many
+    rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def file_system(uri: str):
     """(file system, path) of a shared URI, inside a task."""
     from pyarrow import fs

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ptrack.llm.common import stored
+from ptrack.llm.common import small, stored
 
 MARGINS = ("source", "lang", "topic")
 # Topics by what a text holds, the first that fits; the rest is prose.
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, budget: float = 0.5, power: float = 0.5, seed: str = "m
     cells = stored(cut.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "cells")
     goals = {f"m_{m}": ((targets or {})[m].withColumnRenamed(m, f"m_{m}") if m in (targets or {}) else tempered(cells, f"m_{m}", power)) for m in MARGINS}
     cell_rates = stored(rates(rake(cells, goals), budget).select(*names, "rate"), "rates")
-    return cut.join(cell_rates, names).withColumn("sampled", uniform(F.col("doc_id"), seed) < F.col("rate"))
+    return cut.join(small(cell_rates), names).withColumn("sampled", uniform(F.col("doc_id"), seed) < F.col("rate"))
 
 
 def oracle_sql(budget: float = 0.5, power: float = 0.5, seed: str = "mix") -> str:
@@ -128,3 +128,8 @@ scale0 AS (SELECT {budget} * sum(tokens) AS s, sum(tokens) AS total FROM f), {",
 r AS (SELECT source, lang, topic, least(1.0, factor * s) AS rate FROM f, {s})
 SELECT doc_id, source, lang, topic, n_tokens, round(rate, 9) AS rate,
   ('0x' || substr(md5('{seed}' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < rate AS sampled FROM d JOIN r USING (source, lang, topic)"""
+
+
+def sampled(docs: DataFrame, budget: float = 0.5, power: float = 0.5, seed: str = "mix") -> DataFrame:
+    """The rows of docs that are drawn, columns as before."""
+    return mix(docs, budget, power, seed).where("sampled").select(*docs.columns)

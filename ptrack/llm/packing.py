@@ -115,3 +115,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                                     (F.col("d.rank") >= F.col("p.first_rank")) & (F.col("d.rank") < F.col("p.first_rank") + F.col("p.ranks")))
     return placed.select("d.*", (F.col("p.first_sequence") + F.col("d.rank") - F.col("p.first_rank")).alias("sequence_id"),
                          F.col("p.offset")).drop("bucket", "own", "before", "rank")
+
+
+def packed(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
+    pieces = stored(token_pieces(docs, vocabulary, end_id, capacity), "pieces")
+    return pack(pieces, capacity).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
+                                         "sequence_id", F.col("offset").cast("long").alias("offset"))

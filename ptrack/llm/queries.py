@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ptrack.llm import language_model, licences, mixing, packing, secrets, shingle_join, simhash, token_files, toxicity, vectors
-from ptrack.llm.common import stored, table
+from ptrack.llm.common import table
 from ptrack.llm.tokens import vocabulary
 
 QUERIES: dict = {}
@@ -24,8 +24,7 @@ def op2_token_files(spark, d):
 
 @query
 def op9_best_fit_packing(spark, d):
-    pieces = stored(packing.token_pieces(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), 2, 1024), "pieces")
-    return packing.pack(pieces, 1024).withColumns({c: F.col(c).cast("long") for c in ("length", "offset")})
+    return packing.packed(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 @query

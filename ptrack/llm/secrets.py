@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ptrack.llm.common import small, stored
+
 # Kinds in order, their patterns, and what a match must have.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -118,6 +120,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataF
              .withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
              .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("masks")))
+    spans = small(stored(spans, "masks"), 1 << 18)
     both = keyed.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__h") == F.col("s.__h")), "left")
     text, masks = F.col("d.text"), F.col("s.masks")
     end_before = lambda i: F.when(i == 0, 0).otherwise(F.get(masks, i - 1).end)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.llm.common import WordHashes, components, mix, pack, pack_sorted, parts, stored, unpack, unpack_sorted, words
+from ptrack.llm.common import WordHashes, components, mix, pack, pack_sorted, parts, small, stored, unpack, unpack_sorted, words
 
 BATCH_SHINGLES = 4_000_000
 BATCH_DOCS = 60_000
@@ -240,3 +240,11 @@ def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5)
     known = sets.join(found, sets.doc_id == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return known.unionByName(none)
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
+    """docs without the rows whose class has a lower doc_id; rows without words or doc_id stay.
+    Rows that share a doc_id stay or go together."""
+    classes = similar_classes(docs.select("doc_id", "text"), percent, shingle_words)
+    gone = stored(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -51,18 +51,10 @@ def learn(examples, z: np.ndarray, n: np.ndarray) -> None:
         n[at] += g * g
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """labelled: doc_id, text, label (0 or 1). Returns (coordinates, weights) that are not zero.
-
-    Rows without a label are left out; without any row there are no weights. Of more than
-    `sample` rows, each is taken with the same probability, by a hash of its id."""
+def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """labelled: doc_id, text, label (0 or 1), a sample of bounded size. Returns (coordinates,
+    weights) that are not zero; without any row there are none."""
     spark = labelled.sparkSession
-    known = labelled.where("label is not null").select("doc_id", "label")
-    total = known.count()
-    if not total:
-        return np.zeros(0, np.int32), np.zeros(0)
-    rate = min(1.0, sample / total)
-    drawn = labelled.where("label is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("at", pa.binary()), ("label", pa.float64())])
 
     def featurise(batches):
@@ -71,7 +63,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarr
             key = [(k * 0x9E3779B97F4A7C15 >> 8) & ((1 << 48) - 1) for k in (i or 0 for i in b.column(0).to_pylist())]
             yield pa.RecordBatch.from_pydict({"shard": [k % SHARDS for k in key], "key": key, "at": at, "label": b.column(2).cast(pa.float64())}, schema=schema)
 
-    examples = stored(drawn.select("doc_id", "text", "label").mapInArrow(featurise, "shard int, key long, at binary, label double"), "examples")
+    examples = stored(labelled.select("doc_id", "text", "label").mapInArrow(featurise, "shard int, key long, at binary, label double"), "examples")
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for _ in range(PASSES):
         at = np.flatnonzero(n).astype(np.int32)
@@ -103,36 +95,43 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: list)
     """columns of docs and `score`, 0 to 1, from the whole text (null: empty)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    taken = docs.select(*columns, *([] if "text" in columns else ["text"]))
+    place = taken.columns.index("text")
 
     def run(batches):
         w = np.zeros(1 << BITS)
         at, values = shared.value
         w[at] = values
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            s = np.array([w[features(t)].sum() for t in texts])
-            out = [*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))]
+            s = np.array([w[features(t)].sum() for t in b.column(place).to_pylist()])
+            out = [*b.columns[:len(columns)], pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))]
             yield pa.RecordBatch.from_arrays(out, names=[*columns, "score"])
 
-    kinds = dict(docs.select(*columns).dtypes)
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
+    kinds = dict(taken.dtypes)
+    return taken.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights learnt from a sample of the labelled rows that are not held out. A doc_id with
+    several labels is learnt with the greatest; a row without a doc_id is not learnt from."""
+    known = (labels.select("doc_id", "toxic").where(~held_out()).where("doc_id is not null and toxic is not null")
+             .groupBy("doc_id").agg(F.max("toxic").alias("label")))
+    rate = min(1.0, sample / max(known.count(), 1))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    # about `sample` ids
+    return fit(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; labels of held-out ids are never read.
-
-    A doc_id with several labels is learnt once, with the greatest; a row without a doc_id is
-    scored and not learnt from."""
-    known = labels.select("doc_id", "toxic").where(~held_out()).where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    total = known.where("label is not null").count()
-    rate = min(1.0, sample / max(total, 1))
-    drawn = known.where("label is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    # about `sample` ids of 16 bytes
-    labelled = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    model = fit(labelled, 2 * sample)
-    return (score(docs, model, ["doc_id"]).withColumn("held_out", held_out())
+    """doc_id, held_out, score, predicted of every row; labels of held-out ids are never read."""
+    return (score(docs, model_of(docs, labels, sample), ["doc_id"]).withColumn("held_out", held_out())
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "held_out", "score", "predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, in one pass over the texts."""
+    return score(docs, model_of(docs, labels, sample), docs.columns).where(F.col("score") < threshold).drop("score")
