@@ -38,10 +38,10 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """docs with m_source, m_lang, m_topic (nulls as '(none)') and n_tokens (words)."""
+    """docs with __source, __lang, __topic (nulls as '(none)') and __tokens (words)."""
     text = F.coalesce("text", F.lit(""))
     own = {m: F.coalesce(F.col(m).cast("string"), F.lit(NONE)) if m in docs.columns else topic(text) if m == "topic" else F.lit(NONE) for m in MARGINS}
-    return docs.select("*", *[own[m].alias(f"m_{m}") for m in MARGINS], words(text).cast("long").alias("n_tokens"))
+    return docs.select("*", *[own[m].alias(f"__{m}") for m in MARGINS], words(text).cast("long").alias("__tokens"))
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -85,18 +85,19 @@ def rates(raked: DataFrame, budget: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, budget: float = 0.5, power: float = 0.5, seed: str = "mix", targets: dict | None = None) -> DataFrame:
-    """docs with source, lang, topic margins, n_tokens, rate and `sampled`.
+    """docs with the margins __source, __lang, __topic, and __tokens, __rate and __sampled.
 
     targets: margin -> (margin, target) table with shares that add to 1; margins left out get
     their own shares to the power `power`. Documents without words count as no tokens and are
     kept with the rate of their cell; an empty table stays empty. Every row is drawn by its
     doc_id, so repeated rows are kept or left together."""
     cut = with_cells(docs)
-    names = [f"m_{m}" for m in MARGINS]
-    cells = stored(cut.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    goals = {f"m_{m}": ((targets or {})[m].withColumnRenamed(m, f"m_{m}") if m in (targets or {}) else tempered(cells, f"m_{m}", power)) for m in MARGINS}
-    cell_rates = stored(rates(rake(cells, goals), budget).select(*names, "rate"), "rates")
-    return cut.join(small(cell_rates), names).withColumn("sampled", uniform(F.col("doc_id"), seed) < F.col("rate"))
+    names = [f"__{m}" for m in MARGINS]
+    cells = stored(cut.groupBy(*names).agg(F.sum("__tokens").alias("tokens")), "cells")
+    given = targets or {}
+    goals = {f"__{m}": given[m].withColumnRenamed(m, f"__{m}") if m in given else tempered(cells, f"__{m}", power) for m in MARGINS}
+    cell_rates = stored(rates(rake(cells, goals), budget).select(*names, F.col("rate").alias("__rate")), "rates")
+    return cut.join(small(cell_rates), names).withColumn("__sampled", uniform(F.col("doc_id"), seed) < F.col("__rate"))
 
 
 def oracle_sql(budget: float = 0.5, power: float = 0.5, seed: str = "mix") -> str:
@@ -132,4 +133,4 @@ SELECT doc_id, source, lang, topic, n_tokens, round(rate, 9) AS rate,
 
 def sampled(docs: DataFrame, budget: float = 0.5, power: float = 0.5, seed: str = "mix") -> DataFrame:
     """The rows of docs that are drawn, columns as before."""
-    return mix(docs, budget, power, seed).where("sampled").select(*docs.columns)
+    return mix(docs, budget, power, seed).where("__sampled").select(*docs.columns)

@@ -45,7 +45,8 @@ def op1_vector_dedup(spark, d):
 @query
 def op3_mix_sources(spark, d):
     mixed = mixing.mix(table(spark, d, "documents"))
-    return mixed.select("doc_id", *[F.col(f"m_{m}").alias(m) for m in mixing.MARGINS], "n_tokens", F.round("rate", 9).alias("rate"), "sampled")
+    return mixed.select("doc_id", *[F.col(f"__{m}").alias(m) for m in mixing.MARGINS], F.col("__tokens").alias("n_tokens"),
+                        F.round("__rate", 9).alias("rate"), F.col("__sampled").alias("sampled"))
 
 
 ORACLE["op3_mix_sources"] = mixing.oracle_sql()
