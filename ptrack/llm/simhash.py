@@ -17,7 +17,7 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 LANES = 0x0001000100010001
 STRETCH = 8192                       # words whose votes are added in 16-bit lanes: 8192 * 7 < 65536
 HEAVIEST = 7
-BLOCKS = (11, 11, 11, 11, 10, 10)    # bits of the blocks
+BLOCKS = (13, 13, 13, 13, 12)         # bits of the blocks; more blocks make longer keys and more tables
 
 
 def _weight() -> Column:
@@ -48,15 +48,15 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b, distance) of all distinct fingerprints a < b at most `radius` (up to 3) bits
-    apart. `radius` of the six blocks may differ, so the other ones agree: a table for each
-    choice of blocks, and a pair counts in the first table in which it meets."""
-    keep = len(BLOCKS) - radius
-    ends = [sum(BLOCKS[:i]) for i in range(len(BLOCKS) + 1)]
-    masks = [((1 << b) - 1) << a for a, b in zip(ends, BLOCKS)]
+def near_pairs(fps: DataFrame, radius: int = 3, blocks: tuple = BLOCKS) -> DataFrame:
+    """(a, b, distance) of all distinct fingerprints a < b at most `radius` bits apart, fewer
+    than there are blocks. `radius` of the blocks may differ, so the other ones agree: a table for
+    each choice of blocks, and a pair counts in the first table in which it meets."""
+    keep = len(blocks) - radius
+    ends = [sum(blocks[:i]) for i in range(len(blocks) + 1)]
+    masks = [((1 << b) - 1) << a for a, b in zip(ends, blocks)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    chosen = list(combinations(range(len(BLOCKS)), keep))
+    chosen = list(combinations(range(len(blocks)), keep))
     table = [sum(masks[i] for i in c) for c in chosen]
     each = fps.select("fp").distinct().select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in table])).alias("t", "key"))
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
