@@ -5,6 +5,9 @@ import numpy as np
 
 from ptrack.params import SENSOR_X, SENSOR_Y
 
+# Raster codes hold coordinates of 16 bits, whatever the sensor.
+STRIDE = 1 << 16
+
 
 def disc(r: float) -> list[tuple[int, int]]:
     """Integer offsets within distance r, the origin included."""
@@ -33,17 +36,17 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def code(x, y) -> np.ndarray:
     """Raster position of a pixel, x major."""
-    return np.asarray(x, np.int64) * SENSOR_Y + np.asarray(y, np.int64)
+    return np.asarray(x, np.int64) * STRIDE + np.asarray(y, np.int64)
 
 
 def neighbours(codes: np.ndarray, offsets) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions in the sorted raster codes that differ by an offset."""
-    x, y = codes // SENSOR_Y, codes % SENSOR_Y
+    x, y = codes // STRIDE, codes % STRIDE
     pa, pb = [], []
     for i, j in offsets:
-        ok = (y + j >= 0) & (y + j < SENSOR_Y) & (x + i >= 0) & (x + i < SENSOR_X)
+        ok = (y + j >= 0) & (y + j < STRIDE) & (x + i >= 0) & (x + i < STRIDE)
         src = np.flatnonzero(ok)
-        want = codes[src] + i * SENSOR_Y + j
+        want = codes[src] + i * STRIDE + j
         at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
         hit = codes[at] == want
         pa.append(src[hit])
@@ -65,14 +68,15 @@ def label(codes: np.ndarray, half) -> np.ndarray:
 
 
 def dilate(codes: np.ndarray, size: int) -> np.ndarray:
-    """Lit raster codes after dilation with a size x size square, clipped to the sensor."""
+    """Lit raster codes after dilation with a size x size square, clipped to the sensor,
+    or to the pixels there are if they reach further."""
     if size <= 1 or len(codes) == 0:
         return codes
     h = size // 2
-    x, y = codes // SENSOR_Y, codes % SENSOR_Y
+    x, y = codes // STRIDE, codes % STRIDE
     i, j = (g.ravel() for g in np.mgrid[-h:h + 1, -h:h + 1])
     xx, yy = (x[:, None] + i).ravel(), (y[:, None] + j).ravel()
-    ok = (xx >= 0) & (xx < SENSOR_X) & (yy >= 0) & (yy < SENSOR_Y)
+    ok = (xx >= 0) & (xx < max(SENSOR_X, x.max() + 1)) & (yy >= 0) & (yy < max(SENSOR_Y, y.max() + 1))
     return np.unique(code(xx[ok], yy[ok]))
 
 

@@ -16,10 +16,8 @@ def weighted_median(v, w):
 
 
 def circular_medoid(a, w):
-    """The angle with the least weighted sum of angular distances; first on ties."""
-    if len(a) <= 512:
-        cost = np.abs(angle_diff(a[:, None], a[None, :])) @ w
-        return a[np.argmin(cost)]
+    """The angle with the least weighted sum of angular distances, to ten digits; the
+    first one on ties."""
     # sorted prefix sums over the half circle ahead of and behind each angle
     o = np.argsort(a, kind="stable")
     s, ws = a[o], w[o]
@@ -33,4 +31,4 @@ def circular_medoid(a, w):
     behind = s * (cw[m] - cw[lo]) - (cs[m] - cs[lo])
     cost = np.empty(len(a))
     cost[o] = ahead + behind
-    return a[np.argmin(cost)]
+    return a[np.argmin(np.round(cost, 10))]

@@ -114,7 +114,7 @@ def _run_block(blk: int, pdf: pd.DataFrame, make: Callable[[], Tracker], p: Para
         s = slices.get(k, empty(k))
         at, who = tr.step(s)
         parts.append(pd.DataFrame({
-            "kind": "p", "k": k, "x": s.code[at] // px.SENSOR_Y, "y": s.code[at] % px.SENSOR_Y, "n": s.n[at],
+            "kind": "p", "k": k, "x": s.code[at] // px.STRIDE, "y": s.code[at] % px.STRIDE, "n": s.n[at],
             "n_in": s.n_in[at], "own": tr.own[who], "entry": tr.entry[who]}))
     end = tr.state_rows().assign(kind="s", k=k1)
     meta = pd.DataFrame({"kind": ["m"], "dstart": [dstart], "dend": [tr.digest()],

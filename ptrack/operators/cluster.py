@@ -22,7 +22,7 @@ def label_regions(frame: DataFrame, connectivity: int = 4, structure: int = 1) -
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c = px.dilate(np.unique(px.code(pdf.x, pdf.y)), structure)
-        return pd.DataFrame({"k": int(pdf.k.iloc[0]), "x": c // px.SENSOR_Y, "y": c % px.SENSOR_Y,
+        return pd.DataFrame({"k": int(pdf.k.iloc[0]), "x": c // px.STRIDE, "y": c % px.STRIDE,
                              "label": px.label(c, half)})
 
     return grouped(frame.select("k", "x", "y"), "k").applyInPandas(run, "k int, x int, y int, label bigint")

@@ -20,6 +20,9 @@ from ptrack.params import Params
 from ptrack.session import cut_lineage, grouped
 
 
+SECOND_RUN = 1 << 61
+
+
 @dataclass
 class Detection:
     clusters: DataFrame
@@ -196,6 +199,32 @@ def residual(ev: DataFrame, clusters: DataFrame) -> DataFrame:
     return ev.join(clusters.select("event_idx"), "event_idx", "left_anti")
 
 
+def second_run(ev: DataFrame, d: Detection, p: Params, b: Column, repaired: bool = True) -> Detection:
+    """Run on the events left over, with slices longer by the factor, from the first
+    run's time origin."""
+    f = p.multi_factor
+    p2 = p.with_(dt=p.dt * f, min_pts=p.min_pts * f if p.method == "dbscan" else p.min_pts)
+    rest = residual(ev, d.clusters)
+    if p.compat_second_run:
+        rest = rest.where(F.col("t") <= b["t0"] + F.floor(slice_count(b, p.dt) / f) * p2.dt)
+        b = ev.agg(F.struct(F.min("t").alias("t0"), (F.min("t") + F.floor(
+            F.greatest(F.ceil((F.max("t") - F.min("t")) / p.dt), F.lit(1)) / f) * p2.dt).alias("t1")).alias("b")).scalar()
+    found = _cut(run_once(rest, p2, b, wide=True))
+    return repair_detection(found, p2, p2.dt) if repaired else found
+
+
+def second_filter(d: Detection, p: Params) -> Detection:
+    """Drop small clusters of the second run."""
+    return _keep(d, event_counts(d.clusters).where(F.col("events") >= p.min_events))
+
+
+def union_runs(second: Detection, first: Detection) -> Detection:
+    """Clusters of both runs; ids of the second one get their own range."""
+    def both(x, y):
+        return x.withColumn("cluster_id", F.col("cluster_id") + F.lit(SECOND_RUN)).unionByName(y)
+    return Detection(both(second.clusters, first.clusters), both(second.centers, first.centers), both(second.steps, first.steps))
+
+
 def detect(ev: DataFrame, p: Params) -> Detection:
     """Full detection: first run, repair, filter, optional second run on the
     events left over with longer slices, union and a last repair."""
@@ -206,23 +235,7 @@ def detect(ev: DataFrame, p: Params) -> Detection:
     d = _cut(run_once(ev, p, b))
     d = _cut(post_filter(repair_detection(d, p, p.dt), p))
     if p.multirun:
-        f = p.multi_factor
-        p2 = p.with_(dt=p.dt * f, min_pts=p.min_pts * f if p.method == "dbscan" else p.min_pts)
-        # the second run keeps the first run's time origin and slice count // factor
-        n2 = F.floor(slice_count(b, p.dt) / f)
-        rest = residual(ev, d.clusters).where(F.col("t") <= b["t0"] + n2 * p2.dt)
-        b2 = ev.agg(F.struct(F.min("t").alias("t0"), (F.min("t") + F.floor(
-            F.greatest(F.ceil((F.max("t") - F.min("t")) / p.dt), F.lit(1)) / f) * p2.dt).alias("t1")).alias("b")).scalar()
-        d2 = _cut(run_once(rest, p2, b2, wide=True))
-        d2 = repair_detection(d2, p2, p2.dt)
-        d2 = _keep(d2, event_counts(d2.clusters).where(F.col("events") >= p.min_events))
-        # ids of the second run get their own range
-        shift = F.lit(1 << 61)
-
-        def moved(df):
-            return df.withColumn("cluster_id", F.col("cluster_id") + shift)
-        d = _cut(Detection(moved(d2.clusters).unionByName(d.clusters), moved(d2.centers).unionByName(d.centers),
-                           moved(d2.steps).unionByName(d.steps)))
+        d = _cut(union_runs(second_filter(second_run(ev, d, p, b), p), d))
     d = repair_detection(d, p, p.dt)
     if p.method == "pseudoframe":
         d = _keep(d, d.centers.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("c")).where("c > 2"))

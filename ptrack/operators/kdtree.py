@@ -24,7 +24,7 @@ class RadiusTracker(Tracker):
 
     def step(self, s: Slice):
         r = self.p.epsilon + RANGE_MARGIN
-        x, y = s.code // px.SENSOR_Y, s.code % px.SENSOR_Y
+        x, y = s.code // px.STRIDE, s.code % px.STRIDE
         taken = np.zeros(len(x), bool)
         at, cx, cy, alive = [], [], [], []
         for i in range(len(self.own)):

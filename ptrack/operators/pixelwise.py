@@ -71,9 +71,9 @@ class PixelwiseTracker(Tracker):
 
     @staticmethod
     def _reach(codes, size):
-        x, y = codes // px.SENSOR_Y, codes % px.SENSOR_Y
+        x, y = codes // px.STRIDE, codes % px.STRIDE
         d = px.dilate(codes, size)
-        dx, dy = d // px.SENSOR_Y, d % px.SENSOR_Y
+        dx, dy = d // px.STRIDE, d % px.STRIDE
         return d[(dx >= x.min() - 1) & (dx <= x.max() + 1) & (dy >= y.min() - 1) & (dy <= y.max() + 1)]
 
     def _split(self, s, idx, tracks, free, at, who):
@@ -82,13 +82,13 @@ class PixelwiseTracker(Tracker):
         for i, t in enumerate(tracks):
             m = self.who == t
             w = self.w[m]
-            cx[i] = (self.code[m] // px.SENSOR_Y * w).sum() / w.sum()
-            cy[i] = (self.code[m] % px.SENSOR_Y * w).sum() / w.sum()
+            cx[i] = (self.code[m] // px.STRIDE * w).sum() / w.sum()
+            cy[i] = (self.code[m] % px.STRIDE * w).sum() / w.sum()
         d = np.hypot(cx[:, None] - cx, cy[:, None] - cy)
         np.fill_diagonal(d, np.inf)
         lost = (d < MERGE_DISTANCE).any(axis=1)
         cx[lost] = cy[lost] = -1000.0
-        x, y = s.code[idx] // px.SENSOR_Y, s.code[idx] % px.SENSOR_Y
+        x, y = s.code[idx] // px.STRIDE, s.code[idx] % px.STRIDE
         dist = (x[:, None] - cx) ** 2 + (y[:, None] - cy) ** 2
         near = dist.argmin(axis=1)
         tied = (dist == dist.min(axis=1)[:, None]) & self.entry[tracks]
@@ -122,7 +122,7 @@ class PixelwiseTracker(Tracker):
         return g
 
     def state_rows(self):
-        return pd.DataFrame({"x": self.code // px.SENSOR_Y, "y": self.code % px.SENSOR_Y, "n": self.w,
+        return pd.DataFrame({"x": self.code // px.STRIDE, "y": self.code % px.STRIDE, "n": self.w,
                              "g": self.groups()[self.who], "own": self.own[self.who],
                              "entry": self.entry[self.who]})
 

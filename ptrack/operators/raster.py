@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ptrack.functions.pixels import disc
+from ptrack.functions.pixels import STRIDE, disc
 from ptrack.operators.filters import on_sensor
 from ptrack.params import SENSOR_X, SENSOR_Y
 from ptrack.session import cut_lineage
@@ -14,10 +14,13 @@ from ptrack.session import cut_lineage
 
 def pixel_counts(sl: DataFrame) -> DataFrame:
     """(k, x, y, n, n_in, first_t, first_idx): events per lit pixel, of which
-    n_in lie in the slice itself, and the first event."""
+    n_in lie in the slice itself, and the first event. All coordinates of 16 bits
+    count, on a sensor of any size; others are an error."""
     first = F.min(F.struct("t", "event_idx"))
     flag = F.col("is_overlap") if "is_overlap" in sl.columns else F.lit(False)
-    return (on_sensor(sl).groupBy("k", "x", "y")
+    known = F.col("x").between(0, STRIDE - 1) & F.col("y").between(0, STRIDE - 1)
+    x = F.when(known, F.col("x")).otherwise(F.raise_error(F.format_string("no pixel: x = %s, y = %s", "x", "y"))).cast("int")
+    return (sl.withColumn("x", x).groupBy("k", "x", "y")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.count_if(~flag).alias("n_in"), first.alias("_f"))
             .select("k", "x", "y", "n", "n_in", F.col("_f.t").alias("first_t"),

@@ -33,15 +33,18 @@ def durations(df: DataFrame, t: str = "t") -> DataFrame:
 
 
 def histogram(d: DataFrame, col: str = "ms", bins: int = 100) -> DataFrame:
-    """Counts in equal bins from minimum to maximum, the last one closed; empty
-    bins are left out."""
+    """Counts in equal bins from minimum to maximum, the last one closed; a
+    column without values has no bins."""
     b = d.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("b")).scalar()
     # a single value gets a range of width 1 around it
     flat = b["lo"] == b["hi"]
     lo = F.when(flat, b["lo"] - 0.5).otherwise(b["lo"])
     width = F.when(flat, F.lit(1.0)).otherwise(b["hi"] - b["lo"]) / bins
     i = F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1)).cast("int")
-    return d.groupBy(i.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    filled = d.groupBy(i.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = (d.agg(F.count(col).alias("c")).where("c > 0")
+             .select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")))
+    return every.join(filled, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def means_in_window(clusters: DataFrame, lo: Column, hi: Column) -> DataFrame:

@@ -28,6 +28,7 @@ class Params:
     multi_factor: int = 2
     test_mode: bool = False            # one slice, one run, no filters
     compat_offbyone: bool = False      # first label of a slice never spawns
+    compat_second_run: bool = False    # second run ends after slice count // factor
     compat_repair: bool = False        # repair links applied once, in target order
     # post filters
     spawn_min_events: int = 5

@@ -13,10 +13,12 @@ DT = "2000::DOUBLE"
 Q0, Q1, Q2, R = "2e-6::DOUBLE", "1::DOUBLE", "4e5::DOUBLE", "1::DOUBLE"
 
 _ITEMS: dict[str, str] = {}
+# read by several others: to be computed once
+ONCE = {"trk", "shape", "shp2", "meds", "mads", "zed", "clip", "qs", "qual", "checked", "sl", "px", "dbscan", "chain", "dbx", "dbm", "rest", "clu1"}
 
 
 def _item(name: str, body: str, cols: str = "") -> None:
-    _ITEMS[name] = f"{name}{cols} AS ({body})"
+    _ITEMS[name] = f"{name}{cols} AS {'MATERIALIZED ' if name in ONCE else ''}({body})"
 
 
 def _sql(final: str) -> str:
@@ -58,21 +60,6 @@ def _components(name: str, nodes: str, link: str) -> None:
 _components("cc4", "pxo", "abs(a.x - b.x) + abs(a.y - b.y) = 1")
 _item("lab4", """SELECT k, c // 720 AS x, c % 720 AS y, dense_rank() OVER (PARTITION BY k ORDER BY root) AS label
   FROM cc4_m""")
-_item("core", """SELECT a.k, a.x, a.y, a.n, a.first, sum(b.n) AS neighbours, sum(b.n) >= 7 AS core
-  FROM px a JOIN px b ON a.k = b.k AND b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
-    AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16 GROUP BY ALL""")
-_item("corepx", "SELECT * FROM core WHERE core")
-_components("dbs", "corepx", """b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
-  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16""")
-_item("dbc", """SELECT c.k, c.x, c.y, m.root, min(c.first) OVER (PARTITION BY c.k, m.root) AS f
-  FROM corepx c JOIN dbs_m m ON m.k = c.k AND m.c = c.x * 720 + c.y""")
-_item("dbl", "SELECT k, x, y, dense_rank() OVER (PARTITION BY k ORDER BY f) - 1 AS label FROM dbc")
-_item("dbscan", """SELECT p.k, p.x, p.y, p.n, CAST(coalesce(min(l.label), -1) AS BIGINT) AS label
-  FROM core p LEFT JOIN dbl l ON l.k = p.k AND (CASE WHEN p.core THEN l.x = p.x AND l.y = p.y
-    ELSE (l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y) <= 16 END)
-  GROUP BY p.k, p.x, p.y, p.n""")
-_item("dbm", """SELECT s.k, label, median(s.x) AS xm, median(s.y) AS ym, median(s.t) AS tm, count(*) AS events
-  FROM sl s JOIN dbscan d ON d.k = s.k AND d.x = s.x AND d.y = s.y WHERE label >= 0 GROUP BY s.k, label""")
 
 
 def _match(name: str, src: str) -> None:
@@ -86,13 +73,47 @@ def _match(name: str, src: str) -> None:
       LEFT JOIN {name}_w w ON w.k = s.k AND w.label = s.label""")
 
 
-_match("dbx", "dbm")
-_item("chain", """SELECT k, label, CAST(k AS BIGINT) * 1048576 + label AS cluster_id FROM dbx WHERE prev IS NULL
-  UNION ALL SELECT x.k, x.label, c.cluster_id FROM chain c JOIN dbx x ON x.k = c.k + 1 AND x.prev = c.label""",
-      "(k, label, cluster_id)")
-
-_item("used", """SELECT c.cluster_id, s.event_idx FROM sl s JOIN dbscan d ON d.k = s.k AND d.x = s.x AND d.y = s.y
-  JOIN chain c ON c.k = d.k AND c.label = d.label""")
+def _density(x: str, slices: str, min_pts: int) -> None:
+    """Items {x}dbscan (labelled pixels), {x}dbm (medians), {x}chain (cluster ids) and
+    {x}clu (events of clusters) of the events of ``slices``."""
+    if x:
+        _item(f"{x}px", f"SELECT k, x, y, count(*) AS n, min((t, event_idx)) AS first FROM {slices} GROUP BY k, x, y")
+    _item(f"{x}core", f"""SELECT a.k, a.x, a.y, a.n, a.first, sum(b.n) AS neighbours, sum(b.n) >= {min_pts} AS core
+      FROM {x}px a JOIN {x}px b ON a.k = b.k AND b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
+        AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16 GROUP BY ALL""")
+    _item(f"{x}corepx", f"SELECT * FROM {x}core WHERE core")
+    _components(f"{x}dbs", f"{x}corepx", """b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
+      AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16""")
+    _item(f"{x}dbc", f"""SELECT c.k, c.x, c.y, m.root, min(c.first) OVER (PARTITION BY c.k, m.root) AS f
+      FROM {x}corepx c JOIN {x}dbs_m m ON m.k = c.k AND m.c = c.x * 720 + c.y""")
+    _item(f"{x}dbl", f"SELECT k, x, y, dense_rank() OVER (PARTITION BY k ORDER BY f) - 1 AS label FROM {x}dbc")
+    _item(f"{x}dbscan", f"""SELECT p.k, p.x, p.y, p.n, CAST(coalesce(min(l.label), -1) AS BIGINT) AS label
+      FROM {x}core p LEFT JOIN {x}dbl l ON l.k = p.k AND (CASE WHEN p.core THEN l.x = p.x AND l.y = p.y
+        ELSE (l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y) <= 16 END)
+      GROUP BY p.k, p.x, p.y, p.n""")
+    _item(f"{x}dbm", f"""SELECT s.k, label, median(s.x) AS xm, median(s.y) AS ym, median(s.t) AS tm, count(*) AS events
+      FROM {slices} s JOIN {x}dbscan d ON d.k = s.k AND d.x = s.x AND d.y = s.y WHERE label >= 0 GROUP BY s.k, label""")
+    _match(f"{x}dbx", f"{x}dbm")
+    _item(f"{x}chain", f"""SELECT k, label, CAST(k AS BIGINT) * 1048576 + label AS cluster_id FROM {x}dbx WHERE prev IS NULL
+      UNION ALL SELECT x.k, x.label, c.cluster_id FROM {x}chain c JOIN {x}dbx x ON x.k = c.k + 1 AND x.prev = c.label""",
+          "(k, label, cluster_id)")
+    _item(f"{x}clu", f"""SELECT c.cluster_id, s.k, s.event_idx, s.x, s.y, s.t FROM {slices} s
+      JOIN {x}dbscan d ON d.k = s.k AND d.x = s.x AND d.y = s.y JOIN {x}chain c ON c.k = d.k AND c.label = d.label""")
+
+
+_density("", "sl", 7)
+_item("used", "SELECT cluster_id, event_idx FROM clu")
+# test mode: the first slice's events only
+_item("slt", f"SELECT sl.* FROM sl, bnd WHERE t <= t0 + {DT}")
+_density("t_", "slt", 7)
+# second run: events left over by clusters of three slices and 20 events, slices twice as long
+_item("clu1", """SELECT * FROM clu WHERE cluster_id IN
+  (SELECT cluster_id FROM clu GROUP BY cluster_id HAVING count(DISTINCT k) >= 3 AND count(*) >= 20)""")
+_item("rest", "SELECT * FROM pos WHERE event_idx NOT IN (SELECT event_idx FROM clu1)")
+_item("ks2", f"SELECT CAST(unnest(range(0, CAST(greatest(1, ceil((t1 - t0) / (2 * {DT}))) AS INTEGER))) AS INTEGER) AS k FROM bnd")
+_item("sl2", f"""SELECT p.*, k FROM rest p CROSS JOIN bnd JOIN ks2
+  ON p.t >= t0 + k * 2 * {DT} AND p.t <= t0 + (k + 1) * 2 * {DT}""")
+_density("r_", "sl2", 14)
 
 # --- truth clusters: the particle of an event is its cluster
 _item("tr", "SELECT event_idx, pid AS cluster_id, x, y, t FROM pos")
@@ -302,8 +323,9 @@ _LIFE = """SELECT cluster_id, count(t) AS n, (max(t) - min(t)) / 1000 AS ms FROM
 
 def _hist(src: str) -> str:
     _item(f"dur_{src}", _LIFE.format(src=src))
-    return f"""SELECT CAST(least(99, floor((ms - lo) / ((hi - lo) / 100))) AS INTEGER) AS bin, count(*) AS n
-      FROM dur_{src}, (SELECT min(ms) AS lo, max(ms) AS hi FROM dur_{src}) GROUP BY ALL"""
+    return f"""SELECT CAST(i AS INTEGER) AS bin, count(b) AS n FROM range(100) r(i) LEFT JOIN
+      (SELECT least(99, floor((ms - lo) / ((hi - lo) / 100))) AS b
+      FROM dur_{src}, (SELECT min(ms) AS lo, max(ms) AS hi FROM dur_{src})) ON b = i GROUP BY ALL"""
 
 
 def _cand(ends: str, dt: str, dist2: str) -> str:
@@ -380,13 +402,13 @@ FINAL: dict[str, str] = {
     "neighbor_join": "SELECT cluster_id, seq, n_neighbors, round(w_sum, 6) AS w_sum FROM nbn",
     "track_cluster_map": "SELECT cluster_id, dense_rank() OVER (ORDER BY cluster_id) - 1 AS track FROM (SELECT DISTINCT cluster_id FROM trk)",
     # tracking of clusters
-    "track_dbscan": "SELECT d.k, d.x, d.y, cluster_id FROM dbscan d JOIN chain c ON c.k = d.k AND c.label = d.label",
-    "cluster_post_filter": """SELECT cluster_id, count(DISTINCT d.k) AS steps, CAST(sum(n) AS BIGINT) AS events
-        FROM dbscan d JOIN chain c ON c.k = d.k AND c.label = d.label GROUP BY cluster_id
-        HAVING count(DISTINCT d.k) >= 3 AND sum(n) >= 20""",
-    "min_events_filter": "SELECT k, label, events FROM dbm WHERE events >= 20",
-    "union_runs": """SELECT 0 AS run, k, label, events FROM dbm WHERE events >= 20
-        UNION ALL SELECT 1, k, label, events FROM cen WHERE events >= 20""",
+    "track_dbscan": "SELECT cluster_id, k, event_idx, x, y, t FROM clu",
+    "test_mode": "SELECT cluster_id, k, event_idx, x, y, t FROM t_clu",
+    "cluster_post_filter": "SELECT cluster_id, count(DISTINCT k) AS steps, count(*) AS events FROM clu1 GROUP BY cluster_id",
+    "min_events_filter": "SELECT cluster_id, count(*) AS events FROM clu GROUP BY cluster_id HAVING count(*) >= 20",
+    "residual_run": "SELECT cluster_id, k, event_idx, x, y, t FROM r_clu",
+    "union_runs": """SELECT cluster_id, k, event_idx FROM clu1 UNION ALL SELECT cluster_id + 2305843009213693952, k, event_idx FROM r_clu
+        WHERE cluster_id IN (SELECT cluster_id FROM r_clu GROUP BY cluster_id HAVING count(*) >= 20)""",
     "except_clustered": """SELECT DISTINCT event_idx FROM pos EXCEPT SELECT event_idx FROM sl s JOIN dbscan d
         ON d.k = s.k AND d.x = s.x AND d.y = s.y AND d.label >= 0""",
     "sort_events_by_time": "SELECT event_idx, t, row_number() OVER (ORDER BY t, event_idx) - 1 AS pos FROM ev",

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ptrack.fixtures import pixel_events
-from ptrack.functions.chains import slice_chains
 from ptrack.operators import (cluster, detect, filters, kalman, raster, repair, report, slicing, spatial, spline,
                               track, validate)
 from ptrack.params import Params
@@ -367,24 +366,20 @@ def track_cluster_map(spark, d):
 
 # --- tracking of clusters -----------------------------------------------------
 
-def _claims(spark, d, sl=None):
-    sl = closed(spark, d) if sl is None else sl
-    labels = cluster.dbscan(raster.pixel_counts(sl), P.epsilon, P.min_pts)
-    labels = cut_lineage(labels.where("label >= 0"))
-    meds = cut_lineage(cluster.cluster_medians(sl, labels))
-    chains = slice_chains(spatial.match_slices(meds, P.threshold), P.block_slices)
-    return labels.join(chains.withColumn("k", F.col("k").cast("int")), ["k", "label"])
+def _run(spark, d, method="dbscan", **kw):
+    """(events, bounds, parameters, one run of a detection)"""
+    ev, p = stream(spark, d), P.with_(method=method, **kw)
+    b = slicing.time_bounds(ev)
+    return ev, b, p, detect.run_once(ev, p, b)
 
 
 def _raw_detection(spark, d, method):
-    ev = stream(spark, d)
-    r = detect.run_once(ev, P.with_(method=method), slicing.time_bounds(ev))
-    return r.clusters.select("cluster_id", "k", "event_idx", "x", "y", "t")
+    return _run(spark, d, method)[-1].clusters.select("cluster_id", "k", "event_idx", "x", "y", "t")
 
 
 @query
 def track_dbscan(spark, d):
-    return _claims(spark, d).select("k", "x", "y", "cluster_id")
+    return _raw_detection(spark, d, "dbscan")
 
 
 @query
@@ -402,24 +397,40 @@ def track_pseudoframe(spark, d):
     return _raw_detection(spark, d, "pseudoframe")
 
 
+@query
+def test_mode(spark, d):
+    return detect.detect(stream(spark, d), P.with_(method="dbscan", test_mode=True)).clusters
+
+
 @query
 def cluster_post_filter(spark, d):
-    c = _claims(spark, d).groupBy("cluster_id").agg(F.count_distinct("k").alias("steps"), F.sum("n").alias("events"))
-    return c.where((F.col("steps") >= P.min_steps) & (F.col("events") >= P.min_events))
+    _, _, p, r = _run(spark, d)
+    kept = detect.post_filter(r, p)
+    return kept.steps.join(detect.event_counts(kept.clusters), "cluster_id")
 
 
 @query
 def min_events_filter(spark, d):
-    sl = closed(spark, d)
-    m = cluster.cluster_medians(sl, cluster.dbscan(raster.pixel_counts(sl), P.epsilon, P.min_pts))
-    return m.where(F.col("events") >= P.min_events).select("k", "label", "events")
+    _, _, p, r = _run(spark, d)
+    return detect.event_counts(detect.second_filter(r, p).clusters)
+
+
+def _two_runs(spark, d):
+    """First run, filtered, and the run on what it left, both without repair."""
+    ev, b, p, r = _run(spark, d)
+    first = detect.post_filter(r, p)
+    return first, detect.second_run(ev, first, p, b, repaired=False), p
+
+
+@query
+def residual_run(spark, d):
+    return _two_runs(spark, d)[1].clusters.select("cluster_id", "k", "event_idx", "x", "y", "t")
 
 
 @query
 def union_runs(spark, d):
-    c = centres(spark, d).where(F.col("events") >= P.min_events)
-    return (min_events_filter(spark, d).withColumn("run", F.lit(0))
-            .unionByName(c.select("k", "label", "events").withColumn("run", F.lit(1))))
+    first, second, p = _two_runs(spark, d)
+    return detect.union_runs(detect.second_filter(second, p), first).clusters.select("cluster_id", "k", "event_idx")
 
 
 @query
@@ -615,10 +626,8 @@ def export_tracks(spark, d):
 
 @query
 def detection_stats(spark, d):
-    ev = stream(spark, d)
-    sl = slicing.slice_events(ev, P.dt)
-    c = sl.join(_claims(spark, d, sl).select("k", "x", "y", "cluster_id"), ["k", "x", "y"])
-    return rnd(report.detection_stats(c, ev, P.dt), {"mean_events": 6, "ratio": 6})
+    ev, _, _, r = _run(spark, d)
+    return rnd(report.detection_stats(r.clusters, ev, P.dt), {"mean_events": 6, "ratio": 6})
 
 
 @query

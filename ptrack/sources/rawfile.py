@@ -27,8 +27,13 @@ def header(path: str) -> tuple[dict[str, str], int]:
 
 
 def version(info: dict[str, str]) -> int:
-    text = info.get("evt", "") or info.get("format", "").upper().replace("EVT", "")
-    return 3 if text.strip().startswith("3") else 2
+    """2 or 3; other encodings are an error. A header that names none is EVT 2.0."""
+    text = (info.get("evt", "") or info.get("format", "").upper().replace("EVT", "")).strip().split(";")[0].strip()
+    if text in ("", "2", "2.0"):
+        return 2
+    if text in ("3", "3.0"):
+        return 3
+    raise ValueError(f"unsupported event encoding: EVT {text}")
 
 
 def _last(values, at, n, start):

@@ -9,7 +9,7 @@ from ptrack.sources.arrays import EventFile, describe, list_files
 from ptrack.sources.columns import from_positions, to_events
 
 TABLES = {".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json"}
-ARRAYS = (".npz", ".npy", ".mat", ".raw", ".dat")
+ARRAYS = (".npz", ".npy", ".mat", ".raw")
 
 
 def read_events(spark: SparkSession, path: str, fmt: str | None = None, compat_float32: bool = False) -> DataFrame:
