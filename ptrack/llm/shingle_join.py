@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ptrack.llm.common import WordHashes, components, mix, pack, pack_sorted, parts, small, stored, unpack, unpack_sorted, words
 
-BATCH_SHINGLES = 4_000_000
+BATCH_SHINGLES = 2_500_000
 BATCH_DOCS = 60_000
 BITS = 48
 PARTS = 4                             # parts of the index for each shuffle partition
@@ -202,7 +202,8 @@ def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5)
     copies = stored(able.where("same is not null").select("doc_id", "same").join(copies, "same").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "copies")
     reps = stored(able.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]), "sets")
     groups = stored(reps.groupBy("n_shingles", "n_shared", "prefix").agg(F.min("doc_id").alias("g"), F.count(F.lit(1)).alias("members")), "prefix-groups")
-    listed = groups.select("g", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "slot"))
+    listed = groups.select("g", F.col("n_shingles").alias("n"), "prefix", F.posexplode("prefix").alias("pos", "slot"))
+    listed = listed.withColumn("before", F.get("prefix", F.col("pos") - 1)).drop("prefix")
     shared_n = groups.select("g", (F.col("n_shingles") - F.col("n_shared")).alias("alone"))
     listed = listed.join(shared_n, "g")
     member = stored(reps.alias("r").join(groups.alias("g"), ["n_shingles", "n_shared", "prefix"]).select("doc_id", "g"), "members")
@@ -230,7 +231,9 @@ def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5)
     entry = stored(listed.join(span, "g"), "prefix-index")
     x, y = entry.alias("x"), entry.alias("y")
     one_class = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
-    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.g") < F.col("y.g")) & ~one_class & may("x", "y"))
+    # where the shingles before are the same as well, the pair meets there (the filters agree)
+    later = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.g") < F.col("y.g")) & ~one_class & ~later & may("x", "y"))
     met = met.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct().unionByName(
         span.where("lo <> hi").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
     of = lambda k: of_member.select(F.col("g").alias(f"g{k}"), F.col("doc_id").alias(k), F.col("c").alias(f"c{k}"))
