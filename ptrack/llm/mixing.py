@@ -7,28 +7,32 @@ window sums over one margin at a time; the documents are read twice and never sh
 but for the join with their cells."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ptrack.llm.common import small, stored
 
 MARGINS = ("source", "lang", "topic")
-# Topics by what a text holds, the first that fits; the rest is prose.
-TOPICS = (("legal", "(?i)licen[sc]e|copyright"), ("access", "(?i)password|secret|token|api_?key|AKIA"),
-          ("contact", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+"), ("table", "[|]"), ("markup", "[#$%&*]{3}"))
+# Topics by what a text holds, in lower case, the first that fits; the rest is prose.
+TOPICS = (("legal", ("license", "licence", "copyright")), ("access", ("password", "secret", "token", "api_key", "apikey", "akia")),
+          ("contact", ("@",)), ("table", ("|",)), ("markup", ("###", "$$$", "%%%", "&&&", "***")))
+BLANKS = " \t\n\x0b\x0c\r"
 ROUNDS = 6
 CAPS = 4
 NONE = "(none)"
 
 
 def topic(text: Column) -> Column:
-    t = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
-        t = F.when(text.rlike(pattern), name).otherwise(t)
+    low, t = F.lower(text), F.lit("prose")
+    for name, marks in reversed(TOPICS):
+        t = F.when(reduce(Column.__or__, [F.contains(low, F.lit(m)) for m in marks]), name).otherwise(t)
     return t
 
 
 def words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    inner = F.trim(text, F.lit(BLANKS))
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, "[\\x20\\x09-\\x0D]+")))
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -103,8 +107,8 @@ def mix(docs: DataFrame, budget: float = 0.5, power: float = 0.5, seed: str = "m
 def oracle_sql(budget: float = 0.5, power: float = 0.5, seed: str = "mix") -> str:
     """The same in DuckDB."""
     t = "'prose'"
-    for name, pattern in reversed(TOPICS):
-        t = f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{name}' ELSE {t} END"
+    for name, marks in reversed(TOPICS):
+        t = f"CASE WHEN {' OR '.join(f"contains(lower(text), '{m}')" for m in marks)} THEN '{name}' ELSE {t} END"
     steps, at = [], "w0"
     for k in range(ROUNDS):
         for m in MARGINS:
