@@ -25,7 +25,7 @@ from ptrack.sources.columns import find_columns
 ROWS_PER_SPLIT = 8_000_000
 ROWS_PER_BATCH = 200_000
 FILE_BITS = 40              # event_idx = file number << 40 | position in the file
-SUFFIXES = (".npz", ".npy", ".mat", ".raw", ".dat")
+SUFFIXES = (".npz", ".npy", ".mat", ".raw")
 
 
 def list_files(path: str) -> list[str]:
@@ -60,7 +60,7 @@ def npz_members(path: str) -> dict[str, tuple]:
 def describe(path: str) -> dict:
     """What is in a file: {"named": {x, y, t, p}} or {"table": key or None, "width": n}."""
     ext = os.path.splitext(path)[1].lower()
-    if ext in (".raw", ".dat"):
+    if ext == ".raw":
         return {"named": {c: c for c in "xytp"}}
     if ext == ".npy":
         with open(path, "rb") as f:
@@ -167,7 +167,7 @@ class EventFileReader(DataSourceReader):
     def _batches(self, part: FileRange):
         ext = os.path.splitext(part.path)[1].lower()
         lay = describe(part.path)
-        if ext in (".raw", ".dat"):
+        if ext == ".raw":
             yield from rawfile.batches(part.path)
             return
         if ext == ".mat":
@@ -200,24 +200,25 @@ class EventFileReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: int
+    files: list                # (name while written, name when committed)
     rows: int
 
 
 class EventFileWriter(DataSourceArrowWriter):
     """Every task writes npz parts of bounded size with the keys X, Y, T[, P] (or
-    the column names of another table)."""
+    the column names of another table). Parts get their names when the whole job is
+    committed, so a task that runs again leaves no second copy."""
 
     def __init__(self, path: str, compress: bool, rows_per_file: int, upper: bool):
         self.path, self.compress, self.limit, self.upper = path, compress, rows_per_file, upper
         os.makedirs(path, exist_ok=True)
 
     def write(self, iterator):
-        files = rows = 0
+        files, rows = [], 0
         held, n = [], 0
 
         def flush():
-            nonlocal files, rows, held, n
+            nonlocal rows, held, n
             if not held:
                 return
             t = pa.Table.from_batches(held)
@@ -226,19 +227,40 @@ class EventFileWriter(DataSourceArrowWriter):
                 if c == "event_idx" or t[c].null_count == len(t):
                     continue
                 data[c.upper() if self.upper else c] = t[c].to_numpy()
-            name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.npz")
-            (np.savez_compressed if self.compress else np.savez)(name + ".tmp.npz", **data)
-            os.replace(name + ".tmp.npz", name)
-            files, rows, held, n = files + 1, rows + len(t), [], 0
-
-        for b in iterator:
-            held.append(b)
-            n += len(b)
-            if n >= self.limit:
-                flush()
-        flush()
+            name = f"part-{uuid.uuid4().hex}.npz"
+            hidden = os.path.join(self.path, f".{name}.tmp")
+            files.append((hidden, os.path.join(self.path, name)))
+            with open(hidden, "wb") as f:
+                (np.savez_compressed if self.compress else np.savez)(f, **data)
+            rows, held, n = rows + len(t), [], 0
+
+        try:
+            for b in iterator:
+                held.append(b)
+                n += len(b)
+                if n >= self.limit:
+                    flush()
+            flush()
+        except BaseException:
+            self._drop(files)
+            raise
         return Written(files, rows)
 
+    @staticmethod
+    def _drop(files) -> None:
+        for hidden, _ in files:
+            if os.path.exists(hidden):
+                os.remove(hidden)
+
+    def commit(self, messages) -> None:
+        for m in messages:
+            for hidden, name in m.files if m else ():
+                os.replace(hidden, name)
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            self._drop(m.files if m else ())
+
 
 class EventFile(DataSource):
     @classmethod

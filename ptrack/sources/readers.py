@@ -3,9 +3,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ptrack.sources.arrays import EventFile, describe, list_files
+from ptrack.sources.arrays import FILE_BITS, EventFile, describe, list_files
 from ptrack.sources.columns import from_positions, to_events
 
 TABLES = {".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json"}
@@ -18,7 +18,8 @@ def read_events(spark: SparkSession, path: str, fmt: str | None = None, compat_f
     ext = f".{fmt}" if fmt else os.path.splitext(path.rstrip("/*"))[1].lower()
     if ext in TABLES:
         r = spark.read.option("header", True).option("inferSchema", True) if ext == ".csv" else spark.read
-        return to_events(r.format(TABLES[ext]).load(path), compat_float32)
+        df = r.format(TABLES[ext]).load(path)
+        return to_events(_numbered(df) if ext == ".parquet" else df, compat_float32)
     if ext not in ARRAYS:
         raise ValueError(f"unsupported event format: {ext or path}")
     spark.dataSource.register(EventFile)
@@ -27,6 +28,17 @@ def read_events(spark: SparkSession, path: str, fmt: str | None = None, compat_f
     return from_positions(df, layout["width"], compat_float32) if "width" in layout else df
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """event_idx from the place of a row in its file and of the file among all: the same
+    however the files are split, and filters still reach the scan."""
+    if "event_idx" in df.columns:
+        return df
+    files = df.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    files = files.select("__file", (F.row_number().over(Window.orderBy("__file")) - 1).cast("bigint").alias("__number"))
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return rows.join(files, "__file").withColumn("event_idx", F.shiftleft("__number", FILE_BITS).bitwiseOR(F.col("__row")))
+
+
 def limit_duration(ev: DataFrame, max_us: float) -> DataFrame:
     """Events of the first max_us of a recording, end included."""
     return ev.where(F.col("t") <= ev.agg(F.min("t")).scalar() + max_us)

@@ -77,8 +77,51 @@ def test_raw_evt3_in_pieces(tmp_path):
         assert got == want
 
 
+def test_raw_other_encodings(tmp_path):
+    assert rawfile.version({"evt": "3.0"}) == 3 and rawfile.version({"format": "EVT2;height=720"}) == 2 and rawfile.version({}) == 2
+    for info in ({"evt": "2.1"}, {"format": "EVT21"}, {"evt": "4.0"}):
+        with pytest.raises(ValueError):
+            rawfile.version(info)
+
+
+def test_parquet_filters_reach_the_scan(spark, tmp_path):
+    src = str(tmp_path / "ev.parquet")
+    spark.createDataFrame([(i % 50, i % 7, float(i), i % 2) for i in range(400)], "x int, y int, t double, p int").repartition(3).write.parquet(src)
+    ev = readers.read_events(spark, src)
+    got = filters.apply_filters(ev, (10, 20, 0, 9), (50.0, 300.0))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    pushed = next(x for x in plan.splitlines() if "PushedFilters" in x and "GreaterThanOrEqual(x,10)" in x)
+    assert "LessThanOrEqual(t,300.0)" in pushed and "GreaterThan(p,0)" in pushed
+    assert got.count() == sum(10 <= i % 50 <= 20 and 50 <= i <= 300 and i % 2 for i in range(400))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    again = {r.event_idx: r.t for r in readers.read_events(spark, src).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert again == {r.event_idx: r.t for r in ev.collect()} and len(again) == 400
+
+
+def test_npz_parts_after_a_failed_attempt(tmp_path):
+    import pyarrow as pa
+    from ptrack.sources.arrays import EventFileWriter
+    w = EventFileWriter(str(tmp_path), False, 2, True)
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2], "y": [3, 4], "t": [5.0, 6.0]})
+
+    def failing():
+        yield batch
+        raise OSError("lost")
+    with pytest.raises(OSError):
+        w.write(failing())
+    assert not list(tmp_path.iterdir())
+    done = w.write(iter([batch, batch]))
+    assert not list(tmp_path.glob("*.npz"))
+    w.commit([done, None])
+    assert len(list(tmp_path.glob("*.npz"))) == 2
+    w.abort([w.write(iter([batch]))])
+    assert len(list(tmp_path.iterdir())) == 2
+
+
 def test_unsupported_and_names(spark):
-    for name in ("a.bin", "a.txt", "a.unknown"):
+    for name in ("a.bin", "a.txt", "a.unknown", "a.dat"):
         with pytest.raises(ValueError):
             readers.read_events(spark, name)
     assert columns.match_field(["Xpos", "X"], ("x",)) == "X"
