@@ -424,6 +424,10 @@ FINAL: dict[str, str] = {
     "track_single_cluster": f"""SELECT cluster_id, seq, t, {_ROUND_T} FROM trk WHERE cluster_id =
         (SELECT cluster_id FROM tr GROUP BY cluster_id ORDER BY count(*) DESC, cluster_id LIMIT 1)""",
     "median_per_t": "SELECT cluster_id, t, x, y FROM med",
+    "hybrid_positions": "SELECT cluster_id, seq, t, round(x, 6) AS x, round(y, 6) AS y FROM ksm",
+    "cell_moments": f"""SELECT cluster_id, CAST(g AS BIGINT) AS g, count(*) AS n, round(sum(tau), 6) AS s1, round(sum(tau ** 6), 6) AS s6,
+        round(sum(x), 6) AS sx0, round(sum(x * tau ** 3), 5) AS sx3, round(sum(y * tau), 5) AS sy1, round(sum(x * x), 4) AS xx,
+        round(sum(y * y), 4) AS yy FROM (SELECT *, floor(t / {DT}) AS g, t / {DT} - floor(t / {DT}) AS tau FROM med) GROUP BY cluster_id, g""",
     "offset_correction": "SELECT cluster_id, seq, t, round(x, 6) AS x, round(y, 6) AS y FROM corr",
     # validation
     "heading_variation": "SELECT cluster_id, round(angle, 6) AS angle FROM shape",

@@ -518,6 +518,22 @@ def hybrid_xks_uks(spark, d):
     return track.track(clusters(spark, d), P.with_(tracking="hybrid_xks_uks"))
 
 
+@query
+def hybrid_positions(spark, d):
+    """Times and places of hybrid tracks: those of the filter, smoothed."""
+    return rnd(track.track(clusters(spark, d), P.with_(tracking="hybrid_xk_us")).select("cluster_id", "seq", "t", "x", "y"), {"x": 6, "y": 6})
+
+
+@query
+def cell_moments(spark, d):
+    """What the spline fits see of a track: sums per time cell."""
+    med = spline.median_per_time(truth(spark, d))
+    m = spline.cell_moments(med, spline.fit_grid(med, P.step), P.step)
+    return rnd(m.select("cluster_id", "g", F.col("s")[0].cast("bigint").alias("n"), F.col("s")[1].alias("s1"), F.col("s")[6].alias("s6"),
+                        F.col("sx")[0].alias("sx0"), F.col("sx")[3].alias("sx3"), F.col("sy")[1].alias("sy1"), "xx", "yy"),
+               {"s1": 6, "s6": 6, "sx0": 6, "sx3": 5, "sy1": 5, "xx": 4, "yy": 4})
+
+
 @query
 def offset_correction(spark, d):
     c = clusters(spark, d)
