@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from ptrack.llm import language_model, licences, mixing, packing, secrets, shingle_join, simhash, token_files, toxicity, vectors
 from ptrack.llm.common import table
+from ptrack.llm.oracle import ORACLE  # noqa: F401
 from ptrack.llm.tokens import vocabulary
 
 QUERIES: dict = {}
-ORACLE: dict = {}
 
 
 def query(f):
@@ -49,9 +49,6 @@ def op3_mix_sources(spark, d):
                         F.round("__rate", 9).alias("rate"), F.col("__sampled").alias("sampled"))
 
 
-ORACLE["op3_mix_sources"] = mixing.oracle_sql()
-
-
 @query
 def op6_licence_scan(spark, d):
     # the tables know no files: a source is a project, a language a folder, 64 ids a folder in it
