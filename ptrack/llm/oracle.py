@@ -1,7 +1,7 @@
 """DuckDB statements for the corpus queries that SQL can express on whole tables."""
 from __future__ import annotations
 
-from ptrack.llm import mixing
+from ptrack.llm import licences, mixing
 from ptrack.llm.secrets import COMPLEMENTS, KINDS, PATTERNS, ROLE, SCOPE, STRONG
 
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -58,4 +58,33 @@ def secrets() -> str:
     coalesce(spans, '') AS spans FROM d LEFT JOIN per ON per.id = d.id"""
 
 
-ORACLE = {"op1_vector_dedup": vectors(), "op3_mix_sources": mixing.oracle_sql(), "op7_secret_scan": secrets(), "op8_shingle_join": shingles()}
+def licence_scan() -> str:
+    known = ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(licences.TEMPLATES))
+    terms = "unnest(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''))"
+    return f"""WITH f AS MATERIALIZED (SELECT doc_id, concat_ws('/', source, lang, floor(doc_id / 64)::BIGINT::VARCHAR, doc_id::VARCHAR || '.txt') AS path,
+    coalesce(text, '') AS text FROM documents),
+  h AS MATERIALIZED (SELECT doc_id, header FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS header FROM f)
+    WHERE regexp_matches(header, '{licences.CUES}')),
+  tf AS MATERIALIZED (SELECT header, term, count(*) AS tf FROM (SELECT header, {terms.format("header")} AS term FROM (SELECT DISTINCT header FROM h)) GROUP BY ALL),
+  df AS MATERIALIZED (SELECT term, count(*) AS df FROM h JOIN tf USING (header) GROUP BY term),
+  idf AS (SELECT term, coalesce(df, 0) AS df, ln(((SELECT count(*) FROM h) + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0 AS idf FROM df),
+  a AS MATERIALIZED (SELECT header, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+  b AS MATERIALIZED (SELECT k, licence, term, n * coalesce(idf, ln((SELECT count(*) FROM h) + 1.0) + 1.0) AS v FROM (
+    SELECT k, licence, term, count(*) AS n FROM (SELECT k, licence, {terms.format("t")} AS term FROM (VALUES {known}) x(k, licence, t)) GROUP BY ALL) LEFT JOIN idf USING (term)),
+  cos AS MATERIALIZED (SELECT header, k, licence, round(sum(w * v) / (any_value(la) * any_value(lb)), 9) AS similarity FROM a JOIN b USING (term)
+    JOIN (SELECT header, sqrt(sum(w * w)) AS la FROM a GROUP BY header) USING (header) JOIN (SELECT k, sqrt(sum(v * v)) AS lb FROM b GROUP BY k) USING (k) GROUP BY ALL),
+  own AS MATERIALIZED (SELECT doc_id, licence, similarity FROM h JOIN cos USING (header) WHERE similarity >= {licences.LEAST}
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, licence) = 1),
+  w AS (SELECT doc_id, sum(len(string_split_regex(header, '[\\x20\\x09-\\x0D]+'))) AS hw FROM h GROUP BY doc_id),
+  whole AS MATERIALIZED (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, licence, similarity,
+    licence IS NOT NULL AND len({_WORDS.format(text="text")}) - coalesce(hw, 0) <= {licences.FILE_WORDS} AS is_file
+    FROM f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN w ON w.doc_id = f.doc_id),
+  held AS MATERIALIZED (SELECT dir AS up, licence AS held FROM whole WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, doc_id) = 1),
+  near AS MATERIALIZED (SELECT dir, up, held FROM (SELECT DISTINCT dir FROM whole) JOIN held ON up = '' OR dir = up OR starts_with(dir, up || '/')
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(up) DESC) = 1)
+  SELECT doc_id, path, coalesce(licence, held) AS licence, similarity,
+    CASE WHEN licence IS NOT NULL THEN 'header' WHEN held IS NOT NULL THEN 'directory' END AS found_in,
+    CASE WHEN licence IS NULL THEN up END AS holder FROM whole LEFT JOIN near USING (dir)"""
+
+
+ORACLE = {"op1_vector_dedup": vectors(), "op3_mix_sources": mixing.oracle_sql(), "op6_licence_scan": licence_scan(), "op7_secret_scan": secrets(), "op8_shingle_join": shingles()}
