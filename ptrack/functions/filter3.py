@@ -52,23 +52,46 @@ def run(t, z, start, p0, q, r):
 def element(t, z, q, r):
     """What a chunk does to any start state, as (A, b, C, eta, J): the filtered
     state is A (I + P J)^-1 (m + P eta) + b with covariance
-    A (I + P J)^-1 P A' + C. Elements are folded sample by sample."""
-    q = np.asarray(q, float)
-    A, C, J = np.eye(3), np.zeros((3, 3)), np.zeros((3, 3))
-    b, eta = np.zeros((3, 2)), np.zeros((3, 2))
-    for i in range(1, len(t)):
-        f = transition((t[i] - t[i - 1]) * 1e-6)
-        # predict, then condition on z with gain k
-        C = f @ C @ f.T + q
-        A, b = f @ A, f @ b
-        s = C[0, 0] + r
-        k = C[:, :1] / s
-        h = A[:1]
-        res = z[i:i + 1] - b[:1]
-        eta = eta + h.T @ res / s
-        J = J + h.T @ h / s
-        A, b, C = A - k @ h, b + k @ res, C - k @ C[:1]
-    return A, b, C, eta, J
+    A (I + P J)^-1 P A' + C. Elements are folded sample by sample, in plain numbers
+    as in ``run``: C and J are symmetric, A and b have a column per start value and axis."""
+    (q00, q01, q02), (_, q11, q12), (_, _, q22) = ((float(v) for v in row) for row in q)
+    cols = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]   # of A, then of b
+    c00 = c01 = c02 = c11 = c12 = c22 = 0.0
+    j00 = j01 = j02 = j11 = j12 = j22 = 0.0
+    eta = [0.0] * 6
+    ts, zs = np.asarray(t, float).tolist(), np.asarray(z, float).tolist()
+    for i in range(1, len(ts)):
+        d = (ts[i] - ts[i - 1]) * 1e-6
+        h = 0.5 * d * d
+        a00, a01, a02 = c00 + d * c01 + h * c02, c01 + d * c11 + h * c12, c02 + d * c12 + h * c22
+        a11, a12 = c11 + d * c12, c12 + d * c22
+        c00, c01, c02 = a00 + d * a01 + h * a02 + q00, a01 + d * a02 + q01, a02 + q02
+        c11, c12, c22 = a11 + d * a12 + q11, a12 + q12, c22 + q22
+        for v in cols:
+            v[0] += d * v[1] + h * v[2]
+            v[1] += d * v[2]
+        s = c00 + r
+        k0, k1, k2 = c00 / s, c01 / s, c02 / s
+        g0, g1, g2 = cols[0][0], cols[1][0], cols[2][0]
+        ex, ey = zs[i][0] - cols[3][0], zs[i][1] - cols[4][0]
+        for n, g in ((0, g0), (2, g1), (4, g2)):
+            eta[n] += g * ex / s
+            eta[n + 1] += g * ey / s
+        j00 += g0 * g0 / s
+        j01 += g0 * g1 / s
+        j02 += g0 * g2 / s
+        j11 += g1 * g1 / s
+        j12 += g1 * g2 / s
+        j22 += g2 * g2 / s
+        for v, e in zip(cols, (-g0, -g1, -g2, ex, ey)):
+            v[0] += k0 * e
+            v[1] += k1 * e
+            v[2] += k2 * e
+        c11, c12, c22 = c11 - k1 * c01, c12 - k1 * c02, c22 - k2 * c02
+        c00, c01, c02 = c00 - k0 * c00, c01 - k0 * c01, c02 - k0 * c02
+    m = np.array(cols).T
+    return (m[:, :3], m[:, 3:], np.array([[c00, c01, c02], [c01, c11, c12], [c02, c12, c22]]), np.array(eta).reshape(3, 2),
+            np.array([[j00, j01, j02], [j01, j11, j12], [j02, j12, j22]]))
 
 
 def advance(state, p, el):
