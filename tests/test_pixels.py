@@ -69,3 +69,31 @@ def test_pixel_counts(spark):
     c = raster.pixel_counts(slicing.slice_events(to_spark(spark, e), 100.0, 0.4)).toPandas()
     assert (c.n >= c.n_in).all() and not c.duplicated(["k", "x", "y"]).any()
     assert (c[c.k == 0].n == c[c.k == 0].n_in).all()
+
+
+def test_pixels_beyond_the_default_sensor(spark):
+    """A cluster at x = 1500, y = 900 is found like any other; a negative place is an error."""
+    import pytest
+    from ptrack import Params
+    from ptrack.operators import detect
+    near = [(i, 40 + i % 3, 30 + i % 2, float(i * 10)) for i in range(30)]
+    far = [(100 + i, 1500 + i % 3, 900 + i % 2, float(i * 10)) for i in range(30)]
+    make = lambda rows: spark.createDataFrame(rows, "event_idx bigint, x int, y int, t double")
+    for method in ("dbscan", "kdtree", "pixelwise"):
+        p = Params(dt=100.0, method=method, min_pts=3)
+        found = detect.run_once(make(near + far), p, detect.time_bounds(make(near + far))).clusters
+        per = found.groupBy("cluster_id").agg({"x": "min", "event_idx": "count"}).toPandas()
+        assert sorted(per["min(x)"]) == [40, 1500], method
+        assert per["count(event_idx)"].nunique() == 1, method
+    with pytest.raises(Exception, match="no pixel"):
+        detect.run_once(make([(0, -1, 5, 0.0)] + near), Params(dt=100.0, method="dbscan"), detect.time_bounds(make(near))).clusters.collect()
+
+
+def test_medoid_ties_do_not_turn_with_the_number():
+    from ptrack.functions.robust import angle_diff, circular_medoid
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 400, 700):
+        a, w = rng.uniform(-np.pi, np.pi, n), rng.uniform(0.1, 1, n)
+        cost = np.abs(angle_diff(a[:, None], a[None, :])) @ w
+        assert circular_medoid(a, w) == a[np.argmin(np.round(cost, 10))]
+    assert circular_medoid(np.array([0.5, 0.5 + 1e-14, -1.0, 2.0]), np.ones(4)) == 0.5
