@@ -91,8 +91,8 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), w[at]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: list) -> DataFrame:
-    """columns of docs and `score`, 0 to 1, from the whole text (null: empty)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: list, name: str = "score") -> DataFrame:
+    """columns of docs and the score, 0 to 1, from the whole text (null: empty)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     taken = docs.select(*columns, *([] if "text" in columns else ["text"]))
@@ -105,10 +105,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: list)
         for b in batches:
             s = np.array([w[features(t)].sum() for t in b.column(place).to_pylist()])
             out = [*b.columns[:len(columns)], pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))]
-            yield pa.RecordBatch.from_arrays(out, names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, name])
 
     kinds = dict(taken.dtypes)
-    return taken.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
+    return taken.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{name}` double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -134,4 +134,4 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, in one pass over the texts."""
-    return score(docs, model_of(docs, labels, sample), docs.columns).where(F.col("score") < threshold).drop("score")
+    return score(docs, model_of(docs, labels, sample), docs.columns, "__score").where(F.col("__score") < threshold).drop("__score")
