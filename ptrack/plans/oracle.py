@@ -380,11 +380,11 @@ FINAL: dict[str, str] = {
         ON b.k = a.k - 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY a.k, a.label""",
     "dbscan_core": "SELECT k, x, y, n, CAST(neighbours AS BIGINT) AS neighbours, core FROM core",
     "dbscan_labels": "SELECT k, x, y, n, label FROM dbscan",
-    "disc_filter": "SELECT k, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, hits FROM disc",
+    "disc_filter": "SELECT k, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, hits, round(hits / 29::DOUBLE, 9) AS v FROM disc",
     "otsu_threshold": "SELECT k, round(threshold, 9) AS threshold FROM otsu",
     "label_cc8": "SELECT k, x, y, label FROM lab8",
     "regionprops": "SELECT k, label, area, round(xm, 6) AS xm, round(ym, 6) AS ym FROM props",
-    "pf_centroids": "SELECT k, area, round(xm, 6) AS xm, round(ym, 6) AS ym FROM props WHERE area > 5",
+    "pf_centroids": "SELECT k, label, area, round(xm, 6) AS xm, round(ym, 6) AS ym FROM props WHERE area > 5",
     # spatial joins
     "radius_join": """SELECT c.k, c.label, count(s.event_idx) AS events, count(s.event_idx) > 7 AS claimed
         FROM (SELECT k + 1 AS k, label, xm, ym FROM cen WHERE k + 1 < (SELECT nn FROM bnd)) c LEFT JOIN sl s
@@ -417,7 +417,7 @@ FINAL: dict[str, str] = {
     "kalman_init_pf": "SELECT cluster_id, round(x0, 6) AS x0, round(vx0, 4) AS vx0, round(y0, 6) AS y0, round(vy0, 4) AS vy0 FROM cinit",
     "kalman_filter": f"SELECT cluster_id, seq, t, {_ROUND_S} FROM kal",
     "kalman_resample": f"SELECT cluster_id, g, t, {_ROUND_S} FROM kgrid",
-    "kalman_pf": f"SELECT cluster_id, g, t, round(px, 5) AS px, round(vx, 2) AS vx, round(py, 5) AS py, round(vy, 2) AS vy FROM cpf",
+    "kalman_pf": f"SELECT cluster_id, g, t, round(px, 5) AS px, round(vx, 2) AS vx, round(ax, 0) AS ax, round(py, 5) AS py, round(vy, 2) AS vy, round(ay, 0) AS ay FROM cpf",
     "kalman_endpoints": f"""SELECT cluster_id, seq, t, {_ROUND_S} FROM kal WHERE seq = 1 OR (cluster_id, seq) IN
         (SELECT cluster_id, max(seq) FROM kal GROUP BY cluster_id)""",
     "smooth3x2": "SELECT cluster_id, seq, t, round(x, 6) AS x, round(y, 6) AS y, round(u, 3) AS u, round(v, 3) AS v FROM ksm",

@@ -257,7 +257,7 @@ def dbscan_labels(spark, d):
 
 @query
 def disc_filter(spark, d):
-    return raster.disc_filter(raster.pseudo_frame(closed(spark, d)), P.filter_size).drop("v")
+    return rnd(raster.disc_filter(raster.pseudo_frame(closed(spark, d)), P.filter_size), {"v": 9})
 
 
 @query
@@ -278,7 +278,7 @@ def regionprops(spark, d):
 @query
 def pf_centroids(spark, d):
     _, props = cluster.frame_centroids(raster.pseudo_frame(closed(spark, d)), P.filter_size, P.area)
-    return rnd(props.drop("label"), {"xm": 6, "ym": 6})
+    return rnd(props, {"xm": 6, "ym": 6})
 
 
 # --- spatial joins and matches ------------------------------------------------
@@ -478,8 +478,8 @@ def kalman_resample(spark, d):
 
 @query
 def kalman_pf(spark, d):
-    g = kalman.kalman_centres(cut_lineage(centre_series(spark, d)), P).drop("ax", "ay")
-    return rnd(g, {"px": 5, "vx": 2, "py": 5, "vy": 2})
+    g = kalman.kalman_centres(cut_lineage(centre_series(spark, d)), P)
+    return rnd(g, {"px": 5, "vx": 2, "ax": 0, "py": 5, "vy": 2, "ay": 0})
 
 
 @query
