@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.llm.common import WordHashes, mix, stored
+from ptrack.llm.common import WordHashes, mix, pack_sorted, stored, unpack_sorted
 from ptrack.llm.tokens import slices
 
 BITS = 21
@@ -63,28 +63,38 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             key = [(k * 0x9E3779B97F4A7C15 >> 8) & ((1 << 48) - 1) for k in (i or 0 for i in b.column(0).to_pylist())]
             yield pa.RecordBatch.from_pydict({"shard": [k % SHARDS for k in key], "key": key, "at": at, "label": b.column(2).cast(pa.float64())}, schema=schema)
 
-    examples = stored(labelled.select("doc_id", "text", "label").mapInArrow(featurise, "shard int, key long, at binary, label double"), "examples")
+    fields = "shard int, key long, at binary, label double"
+    examples = stored(labelled.select("doc_id", "text", "label").mapInArrow(featurise, fields).repartition(SHARDS, "shard"), "examples")
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for _ in range(PASSES):
         at = np.flatnonzero(n).astype(np.int32)
-        state = spark.sparkContext.broadcast((at, z[at], n[at]))        # at most one entry per coordinate
-
-        def one_pass(rows: pd.DataFrame) -> pd.DataFrame:
-            own_z, own_n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-            a, b, c = state.value
-            own_z[a], own_n[a] = b, c
-            rows = rows.sort_values("key")
-            learn(((np.frombuffer(x, np.int32), y) for x, y in zip(rows["at"], rows["label"])), own_z, own_n)
-            hit = np.flatnonzero(own_n)
-            return pd.DataFrame({"at": hit.astype(np.int32), "z": own_z[hit], "n": own_n[hit]})
-
-        shards = examples.groupBy("shard").applyInPandas(one_pass, "at int, z double, n double")
-        got = shards.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toPandas()
-        # a coordinate that a shard never met counts as it was
-        at = got["at"].to_numpy()
-        many = got["k"].to_numpy()
-        z[at] = (got["z"].to_numpy() + (SHARDS - many) * z[at]) / SHARDS
-        n[at] = (got["n"].to_numpy() + (SHARDS - many) * n[at]) / SHARDS
+        state = spark.sparkContext.broadcast((at, z[at].astype(np.float32), n[at].astype(np.float32)))   # at most one entry per coordinate
+
+        def one_pass(batches):
+            # a shard is a part of the bounded sample
+            held: dict = {}
+            for rows in batches:
+                for shard, own in rows.groupby("shard"):
+                    held.setdefault(shard, []).append(own)
+            for own in held.values():
+                own_z, own_n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+                a, b, c = state.value
+                own_z[a], own_n[a] = b, c
+                rows = pd.concat(own).sort_values("key")
+                learn(((np.frombuffer(x, np.int32), y) for x, y in zip(rows["at"], rows["label"])), own_z, own_n)
+                hit = np.flatnonzero(own_n)
+                yield pd.DataFrame({"at": [pack_sorted(hit)], "z": [own_z[hit].astype("<f4").tobytes()], "n": [own_n[hit].astype("<f4").tobytes()]})
+
+        # a state for each shard, of bounded size; a coordinate that a shard never met counts as it was
+        learnt = examples.mapInPandas(one_pass, "at binary, z binary, n binary").collect()
+        sum_z, sum_n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for r in learnt:
+            own_z, own_n, hit = z.copy(), n.copy(), unpack_sorted(bytes(r.at)).astype(np.int64)
+            own_z[hit], own_n[hit] = np.frombuffer(r.z, "<f4"), np.frombuffer(r.n, "<f4")
+            sum_z += own_z
+            sum_n += own_n
+        if learnt:
+            z, n = sum_z / len(learnt), sum_n / len(learnt)
         state.unpersist()
     w = weights(z, n)
     at = np.flatnonzero(w)
