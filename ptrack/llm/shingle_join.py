@@ -191,6 +191,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _group_sets(groups: DataFrame, member: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id (of the group), n_shingles, shared: all shared shingles of a group's members."""
+    one = reps.join(groups.where("members = 1").select(F.col("g").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "shared")
+    several = (groups.where("members > 1").select("g", F.col("n_shingles").alias("n")).join(member, "g").join(reps.select("doc_id", "shared"), "doc_id")
+               .select("g", "n", F.explode("shared").alias("slot")).distinct())
+    return one.unionByName(several.groupBy("g", "n").agg(F.collect_list("slot").alias("shared"))
+                           .select(F.col("g").alias("doc_id"), F.col("n").alias("n_shingles"), "shared"))
+
+
 def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row with a doc_id: the least doc_id reachable
     by links. Texts link if 100 * common shingles >= percent * all shingles of both; a text
@@ -234,8 +243,10 @@ def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5)
     # where the shingles before are the same as well, the pair meets there (the filters agree)
     later = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
     met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.g") < F.col("y.g")) & ~one_class & ~later & may("x", "y"))
-    met = met.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct().unionByName(
-        span.where("lo <> hi").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
+    met = met.select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
+    # group pairs: what all members of a group hold bounds what any two have in common
+    met = stored(_verified(met, _group_sets(groups, member, reps), percent), "group-pairs").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    met = met.unionByName(span.where("lo <> hi").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
     of = lambda k: of_member.select(F.col("g").alias(f"g{k}"), F.col("doc_id").alias(k), F.col("c").alias(f"c{k}"))
     rest = met.join(of("a"), "ga").join(of("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b")
     more = stored(_verified(rest, reps, percent), "links")
