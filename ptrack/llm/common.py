@@ -56,6 +56,18 @@ def write_file(uri: str, chunks, attempt: str) -> None:
     fs.move(f"{path}.{attempt}", path)
 
 
+def read_file(uri: str) -> bytes:
+    fs, path = file_system(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
+def drop_file(uri: str) -> None:
+    """Delete a file that this run wrote and has read."""
+    fs, path = file_system(uri)
+    fs.delete_file(path)
+
+
 # --- arrays as bytes ----------------------------------------------------------
 
 def pack(a: np.ndarray) -> bytes:

@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.llm.common import WordHashes, mix, pack_sorted, stored, unpack_sorted
+from ptrack.llm.common import WordHashes, drop_file, mix, read_file, shared_folder, stored, write_file
 from ptrack.llm.tokens import slices
 
 BITS = 21
@@ -65,37 +65,38 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     fields = "shard int, key long, at binary, label double"
     examples = stored(labelled.select("doc_id", "text", "label").mapInArrow(featurise, fields).repartition(SHARDS, "shard"), "examples")
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for _ in range(PASSES):
-        at = np.flatnonzero(n).astype(np.int32)
-        state = spark.sparkContext.broadcast((at, z[at].astype(np.float32), n[at].astype(np.float32)))   # at most one entry per coordinate
+    folder = shared_folder(spark, "toxicity-model")
+    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    for k in range(PASSES):
+        state = f"{folder}/pass-{k}"
+        write_file(state, [z.tobytes(), n.tobytes()], "driver")          # two numbers for each coordinate
 
         def one_pass(batches):
+            from pyspark import TaskContext
+            task = TaskContext.get()
             # a shard is a part of the bounded sample
             held: dict = {}
             for rows in batches:
                 for shard, own in rows.groupby("shard"):
                     held.setdefault(shard, []).append(own)
-            for own in held.values():
-                own_z, own_n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-                a, b, c = state.value
-                own_z[a], own_n[a] = b, c
+            for shard, own in held.items():
+                own_z, own_n = np.frombuffer(read_file(state), np.float32).reshape(2, -1).astype(np.float64)
                 rows = pd.concat(own).sort_values("key")
                 learn(((np.frombuffer(x, np.int32), y) for x, y in zip(rows["at"], rows["label"])), own_z, own_n)
-                hit = np.flatnonzero(own_n)
-                yield pd.DataFrame({"at": [pack_sorted(hit)], "z": [own_z[hit].astype("<f4").tobytes()], "n": [own_n[hit].astype("<f4").tobytes()]})
-
-        # a state for each shard, of bounded size; a coordinate that a shard never met counts as it was
-        learnt = examples.mapInPandas(one_pass, "at binary, z binary, n binary").collect()
-        sum_z, sum_n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        for r in learnt:
-            own_z, own_n, hit = z.copy(), n.copy(), unpack_sorted(bytes(r.at)).astype(np.int64)
-            own_z[hit], own_n[hit] = np.frombuffer(r.z, "<f4"), np.frombuffer(r.n, "<f4")
-            sum_z += own_z
-            sum_n += own_n
+                uri = f"{state}-{task.partitionId()}-{shard}"
+                write_file(uri, [own_z.astype(np.float32).tobytes(), own_n.astype(np.float32).tobytes()], f"{task.taskAttemptId()}")
+                yield pd.DataFrame({"uri": [uri]})
+
+        # the states of the shards are averaged one by one
+        learnt = [r.uri for r in examples.mapInPandas(one_pass, "uri string").collect()]
+        sums = np.zeros((2, 1 << BITS))
+        for uri in learnt:
+            sums += np.frombuffer(read_file(uri), np.float32).reshape(2, -1)
         if learnt:
-            z, n = sum_z / len(learnt), sum_n / len(learnt)
-        state.unpersist()
+            z, n = (sums / len(learnt)).astype(np.float32)
+        for uri in [state, *learnt]:
+            drop_file(uri)
+    z, n = z.astype(np.float64), n.astype(np.float64)
     w = weights(z, n)
     at = np.flatnonzero(w)
     return at.astype(np.int32), w[at]
