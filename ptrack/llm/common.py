@@ -104,10 +104,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_kept: dict = {}
+
+
+def kept(name, make):
+    """What a worker process remembers for one kind of task, e.g. hashes of words. Workers
+    live on: a task of another kind makes them forget it, so that memory does not add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

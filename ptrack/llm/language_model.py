@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ptrack.llm.common import (WordHashes, file_system, mix, pack, pack_sorted, parts, shared_folder, stored, unpack, unpack_sorted, words,
+from ptrack.llm.common import (WordHashes, file_system, kept, mix, pack, pack_sorted, parts, shared_folder, stored, unpack, unpack_sorted, words,
                                write_file)
 
 FLUSH = 4_000_000                      # tokens that a task counts before it sends
@@ -24,7 +24,6 @@ END_WORD = b"\n"                       # no word holds a blank
 ROWS = "kind int, part int, a binary, b binary, c binary, d binary"
 SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in "abcd"]])
 PAIRS, FOLLOWERS, FOLLOWED, INFO = range(4)
-_hashes = WordHashes()
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -48,7 +47,7 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
         flat += w
         flat.append(END_WORD)
         many.append(len(w) + 1)
-    return _hashes.of(flat), np.array(many, np.int64)
+    return kept("language model", WordHashes).of(flat), np.array(many, np.int64)
 
 
 def ranges(keys: np.ndarray, n: int, last: int):

@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.llm.common import WordHashes, components, mix, pack, pack_sorted, parts, small, stored, unpack, unpack_sorted, words
+from ptrack.llm.common import WordHashes, components, kept, mix, pack, pack_sorted, parts, small, stored, unpack, unpack_sorted, words
 
-BATCH_SHINGLES = 2_500_000
+BATCH_SHINGLES = 1_500_000
 BATCH_DOCS = 60_000
 BITS = 48
 PARTS = 4                             # parts of the index for each shuffle partition
@@ -28,13 +28,12 @@ ROWS = "kind int, home long, key long, a binary, b binary, c binary"
 SCHEMA = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 INDEX, DOCS, TOGETHER, BACK = range(4)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-_hashes = WordHashes()
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Distinct shingles of a text as sorted 48-bit numbers. Fewer words than `size` are one
     shingle; a text without words has none."""
-    w = _hashes.of(words(text))
+    w = kept("shingles", WordHashes).of(words(text))
     if not len(w):
         return w
     k = min(size, len(w))

@@ -10,6 +10,8 @@ import re
 
 import numpy as np
 
+from ptrack.llm.common import kept
+
 # Characters that some engines count as blanks and others do not: such texts are encoded uncut.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 CONTROLS = re.compile("[\x1c-\x1f]")
@@ -94,14 +96,9 @@ class Encoder:
         return ids, np.diff(np.concatenate([[0], ends])[at])
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The encoder of a worker process."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def slices(texts: list, chars: int = 2_000_000):

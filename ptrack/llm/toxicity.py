@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.llm.common import WordHashes, drop_file, mix, read_file, shared_folder, stored, write_file
+from ptrack.llm.common import WordHashes, drop_file, kept, mix, read_file, shared_folder, stored, write_file
 from ptrack.llm.tokens import slices
 
 BITS = 21
@@ -25,12 +25,11 @@ THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 # odd numbers that tell the kinds of features apart
 WORD, PAIR, SKIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_hashes = WordHashes()
 
 
 def features(text: str | None) -> np.ndarray:
     """Coordinates of a text: the constant 0, and its words, pairs and skip-pairs, once each."""
-    h = _hashes.of(LETTERS.findall((text or "").lower()))
+    h = kept("toxicity", WordHashes).of(LETTERS.findall((text or "").lower()))
     kinds = [h * WORD, mix(h[:-1] * PAIR + h[1:]), mix(h[:-2] * SKIP + h[2:])]
     at = mix(np.concatenate(kinds)) >> np.uint64(64 - BITS)
     return np.concatenate([[0], np.unique(at[at > 0])]).astype(np.int32)
