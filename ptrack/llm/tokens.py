@@ -43,7 +43,7 @@ class Places(dict):
 class Encoder:
     """Ids of many texts; keeps what it has learnt of up to LIMIT chunks."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # one thread for each task
