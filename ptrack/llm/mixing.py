@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Tokens are counted per cell (source, language, topic). Raking scales the cells' token
-weights until their sums over each margin meet the targets; a document is then kept with
+weights, none beyond the cell's tokens, until their sums over each margin meet the targets; a document is then kept with
 the calibrated probability of its cell, by a hash of its id. Only cells are raked, in
 window sums over one margin at a time; the documents are read twice and never shuffled,
 but for the join with their cells."""
@@ -54,58 +54,95 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return per.withColumn("target", F.col("target") / F.sum("target").over(Window.partitionBy(F.lit(1))))
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
+def _level(total, bound: Column, free: Column, part: Window, order: list) -> Column:
+    """The x for which the sum of least(bound, x * free) over a part is `total`. With rows in
+    the order in which they reach their bound, taking the first j as full and the rest as not
+    full gives at most x, and x for the right j: the greatest of all. Where all bounds together
+    fall short, the last row is at its bound. Null where nothing is free."""
+    full_at = F.when(free > 0, bound / free)
+    first = part.orderBy(full_at.asc_nulls_last(), *[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    last = part.orderBy(full_at.desc_nulls_first(), *[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    full, rest = F.coalesce(F.sum(bound).over(first), F.lit(0.0)), F.sum(free).over(last)
+    return F.when(free > 0, (total - full) / rest)
+
+
+def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
     """cells (margins, tokens) with `weight`: token weights whose sums over the margins
     meet the targets (margin, target share), as far as the cells allow. Cells without
-    tokens or without a target weigh nothing."""
-    total = Window.partitionBy(F.lit(1))
-    w = cells
+    tokens or without a target weigh nothing.
+
+    With a budget also `rate`, the probability to keep a document, such that `budget` of all
+    tokens is expected to be kept: no cell weighs more than its tokens. Cells at that bound stay
+    in every sum, the others are scaled to meet it. Of a value whose target is more than its
+    tokens all are wanted, and what is missing goes to the other values of the margin in
+    proportion to their targets."""
+    everything = Window.partitionBy(F.lit(1))
+    w, able = cells, F.col("tokens") > 0
     for m, target in targets.items():
         w = w.join(target.withColumnRenamed("target", f"t_{m}"), m, "left")
-    w = stored(w.select("*", F.col("tokens").cast("double").alias("weight")), "rake")
+        able = able & (F.coalesce(f"t_{m}", F.lit(0.0)) > 0)
+    bound = F.lit(float("inf")) if budget is None else F.col("tokens").cast("double")
+    w = w.withColumn("bound", F.when(able, bound).otherwise(0.0)).withColumn("free", F.when(able, F.col("tokens").cast("double")).otherwise(0.0))
+    w = stored(w, "rake")
+    kept = 1.0
+    if budget is not None:
+        tokens, most = w.agg(F.sum("tokens"), F.sum("bound")).first()
+        kept = min(budget * (tokens or 0), most or 0.0)
+    for m in targets:
+        per = w.where("bound > 0").groupBy(m).agg(F.sum("bound").alias("cap"), F.max(f"t_{m}").alias("t"))
+        x = F.max("x").over(everything)
+        per = per.withColumn("x", _level(F.lit(float(kept)), F.col("cap"), F.col("t"), everything, [m]))
+        w = w.join(per.select(m, F.least("cap", x * F.col("t")).alias(f"g_{m}")), m, "left")
+    w = stored(w.drop(*[f"t_{m}" for m in targets]), "rake")
     for _ in range(rounds):
         for m in targets:
-            own = F.sum("weight").over(Window.partitionBy(m))
-            w = w.withColumn("weight", F.when(own > 0, F.col("weight") * F.coalesce(f"t_{m}", F.lit(0.0)) / own).otherwise(0.0))
+            own = Window.partitionBy(m)
+            w = w.withColumn("x", _level(F.col(f"g_{m}"), F.col("bound"), F.col("free"), own, list(targets)))
+            w = w.withColumn("free", F.when(F.col("free") > 0, F.col("free") * F.max("x").over(own)).otherwise(0.0))
         w = stored(w, "rake")
-    return w.withColumn("weight", F.col("weight") / F.sum("weight").over(total)).drop(*[f"t_{m}" for m in targets])
-
-
-def rates(raked: DataFrame, budget: float) -> DataFrame:
-    """raked cells with `rate`: the probability to keep a document, in proportion to weight
-    over tokens, at most 1, such that `budget` of all tokens is expected to be kept. What
-    cells at 1 cannot give, the others give; `CAPS` passes settle that."""
-    f = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    r = raked.withColumn("factor", f)
-    all_tokens = r.agg(F.sum("tokens")).first()[0] or 0
-    scale = budget * all_tokens
-    for _ in range(CAPS):
-        full = F.col("factor") * scale >= 1
-        capped, free = r.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        if not free:
-            break
-        scale = (budget * all_tokens - capped) / free
-    return r.withColumn("rate", F.least(F.lit(1.0), F.col("factor") * F.lit(float(scale))))
+    least = F.least("bound", "free")
+    w = w.withColumn("weight", F.when(F.sum(least).over(everything) > 0, least / F.sum(least).over(everything)).otherwise(0.0))
+    if budget is not None:
+        w = w.withColumn("rate", F.when(F.col("bound") > 0, F.least(F.lit(1.0), F.col("free") / F.col("bound"))).otherwise(0.0))
+    return w.drop("x", "bound", "free", *[f"g_{m}" for m in targets])
+
+
+def misses(raked: DataFrame, targets: dict) -> DataFrame:
+    """(margin, value, target, share): of every value of the margins its target and its share
+    of the tokens that raked cells are expected to keep."""
+    out = None
+    for m, target in targets.items():
+        per = raked.groupBy(m).agg(F.sum("weight").alias("share")).join(target, m, "full")
+        per = per.select(F.lit(m).alias("margin"), F.col(m).alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("share", F.lit(0.0)).alias("share"))
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+def raked_cells(cut: DataFrame, budget: float, power: float, targets: dict | None = None) -> tuple[DataFrame, dict]:
+    """Cells of a table that with_cells made, with weight and rate, and the targets they were raked to."""
+    cells = stored(cut.groupBy(*[f"__{m}" for m in MARGINS]).agg(F.sum("__tokens").alias("tokens")), "cells")
+    given = targets or {}
+    goals = {f"__{m}": given[m].withColumnRenamed(m, f"__{m}") if m in given else tempered(cells, f"__{m}", power) for m in MARGINS}
+    return rake(cells, goals, budget=budget), goals
 
 
 def mix(docs: DataFrame, budget: float = 0.5, power: float = 0.5, seed: str = "mix", targets: dict | None = None) -> DataFrame:
     """docs with the margins __source, __lang, __topic, and __tokens, __rate and __sampled.
 
     targets: margin -> (margin, target) table with shares that add to 1; margins left out get
-    their own shares to the power `power`. Documents without words count as no tokens and are
+    their own shares to the power `power`. Targets beyond the tokens there are stay missed (no
+    document is drawn twice): see `rake`, and `misses` for how far. Documents without words count as no tokens and are
     kept with the rate of their cell; an empty table stays empty. Every row is drawn by its
     doc_id, so repeated rows are kept or left together."""
     cut = with_cells(docs)
     names = [f"__{m}" for m in MARGINS]
-    cells = stored(cut.groupBy(*names).agg(F.sum("__tokens").alias("tokens")), "cells")
-    given = targets or {}
-    goals = {f"__{m}": given[m].withColumnRenamed(m, f"__{m}") if m in given else tempered(cells, f"__{m}", power) for m in MARGINS}
-    cell_rates = stored(rates(rake(cells, goals), budget).select(*names, F.col("rate").alias("__rate")), "rates")
+    raked, _ = raked_cells(cut, budget, power, targets)
+    cell_rates = stored(raked.select(*names, F.col("rate").alias("__rate")), "rates")
     return cut.join(small(cell_rates), names).withColumn("__sampled", uniform(F.col("doc_id"), seed) < F.col("__rate"))
 
 
 def oracle_sql(budget: float = 0.5, power: float = 0.5, seed: str = "mix") -> str:
-    """The same in DuckDB."""
+    """The rule before bounded raking in DuckDB: `ROUNDS` rounds without bounds, then rates cut at 1."""
     t = "'prose'"
     for name, marks in reversed(TOPICS):
         t = f"CASE WHEN {' OR '.join(f"contains(lower(text), '{m}')" for m in marks)} THEN '{name}' ELSE {t} END"

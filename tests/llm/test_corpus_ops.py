@@ -229,6 +229,25 @@ def test_raking_meets_targets(spark):
     assert np.allclose(w.groupby("m_lang").weight.sum().to_numpy(), [0.25, 0.75], atol=1e-9)
 
 
+def test_mixing_meets_targets_with_full_cells(spark):
+    """A source with fewer tokens than its target is kept whole, and the other margins meet theirs."""
+    rng = random.Random(13)
+    rows = [(f"{s}", g, rng.randint(2000, 3000) if s else 60) for s in range(4) for g in "xyz"]
+    cells = spark.createDataFrame(rows, "m_source string, m_lang string, tokens long")
+    goal = {"m_source": spark.createDataFrame([("0", 0.25), ("1", 0.15), ("2", 0.2), ("3", 0.4)], "m_source string, target double"),
+            "m_lang": spark.createDataFrame([("x", 0.2), ("y", 0.3), ("z", 0.5)], "m_lang string, target double")}
+    raked = mixing.rake(cells, goal, budget=0.5)
+    c = raked.toPandas()
+    kept = c.tokens * c.rate
+    total = 0.5 * c.tokens.sum()
+    assert c.rate.between(0, 1).all() and (c.rate == 1).sum() >= 3 and abs(kept.sum() - total) < 1e-6 * total
+    assert np.allclose(kept.groupby(c.m_lang).sum() / total, [0.2, 0.3, 0.5], atol=0.005)
+    rest = total - 180
+    assert np.allclose(kept.groupby(c.m_source).sum(), [180, rest * 0.2, rest * 4 / 15, rest * 8 / 15], rtol=0.01)
+    share = {(r.margin, r.value): (r.target, r.share) for r in mixing.misses(raked, goal).collect()}
+    assert abs(share["m_source", "0"][1] - 180 / total) < 1e-3 and share["m_source", "0"][0] == 0.25
+
+
 # --- 4 ----------------------------------------------------------------------------
 
 def test_language_model(rows, odd, empty):
