@@ -7,6 +7,7 @@ window sums over one margin at a time; the documents are read twice and never sh
 but for the join with their cells."""
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,7 +19,11 @@ MARGINS = ("source", "lang", "topic")
 TOPICS = (("legal", ("license", "licence", "copyright")), ("access", ("password", "secret", "token", "api_key", "apikey", "akia")),
           ("contact", ("@",)), ("table", ("|",)), ("markup", ("###", "$$$", "%%%", "&&&", "***")))
 BLANKS = " \t\n\x0b\x0c\r"
-ROUNDS = 6
+TOLERANCE = 1e-3                      # of its goal, what a margin's sum may be off
+STEP = 4                              # rounds between two looks at that
+AHEAD = 1.7                           # power of the factors of all rounds of a step but the last
+IDLE = 3                              # looks without progress after which the goals count as out of reach
+ROUNDS = 6                            # of the DuckDB statement, as CAPS
 CAPS = 4
 NONE = "(none)"
 
@@ -66,10 +71,47 @@ def _level(total, bound: Column, free: Column, part: Window, order: list) -> Col
     return F.when(free > 0, (total - full) / rest)
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
+class RakingWarning(UserWarning):
+    """Raking ended with sums that do not meet their goals."""
+
+
+def _swept(w: DataFrame, margins: list, rounds: int, ahead: float = 1.0) -> DataFrame:
+    """Cells (bound, free, g_ the goal of each margin) after so many rounds, with `miss`: the
+    greatest relative distance of the cell's margin sums from their goals. All rounds but the
+    last may go ahead of their goals (over-relaxation), which takes fewer rounds."""
+    for k in range(rounds):
+        for m in margins:
+            own = Window.partitionBy(m)
+            w = w.withColumn("x", _level(F.col(f"g_{m}"), F.col("bound"), F.col("free"), own, margins))
+            factor = F.pow(F.max("x").over(own), F.lit(ahead if k < rounds - 1 else 1.0))
+            w = w.withColumn("free", F.when(F.col("free") > 0, F.col("free") * factor).otherwise(0.0))
+    off = F.lit(0.0)
+    for m in margins:
+        goal = F.col(f"g_{m}")
+        off = F.greatest(off, F.when(goal > 0, F.abs(F.sum(F.least("bound", "free")).over(Window.partitionBy(m)) - goal) / goal))
+    return w.withColumn("miss", off)
+
+
+def _settled(w: DataFrame, margins: list) -> DataFrame:
+    best, idle = float("inf"), 0
+    while True:
+        w = stored(_swept(w, margins, STEP, AHEAD if best < float("inf") else 1.0), "rake")
+        miss = w.agg(F.max("miss")).first()[0] or 0.0
+        if miss <= TOLERANCE:
+            return w
+        idle = 0 if miss < 0.98 * best else idle + 1
+        best = min(best, miss)
+        if idle == IDLE:
+            warnings.warn(f"raking ends {miss:.3g} of a goal away, {TOLERANCE} wanted: the goals contradict each other on these cells", RakingWarning, stacklevel=3)
+            return w
+
+
+def rake(cells: DataFrame, targets: dict, rounds: int | None = None, budget: float | None = None) -> DataFrame:
     """cells (margins, tokens) with `weight`: token weights whose sums over the margins
     meet the targets (margin, target share), as far as the cells allow. Cells without
-    tokens or without a target weigh nothing.
+    tokens or without a target weigh nothing. Without `rounds` the sweeps go on until every
+    sum is within `TOLERANCE` of its goal; goals that contradict each other cannot be reached,
+    which shows in sums that come no closer: a RakingWarning then tells how far they are.
 
     With a budget also `rate`, the probability to keep a document, such that `budget` of all
     tokens is expected to be kept: no cell weighs more than its tokens. Cells at that bound stay
@@ -94,17 +136,16 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, budget: float |
         per = per.withColumn("x", _level(F.lit(float(kept)), F.col("cap"), F.col("t"), everything, [m]))
         w = w.join(per.select(m, F.least("cap", x * F.col("t")).alias(f"g_{m}")), m, "left")
     w = stored(w.drop(*[f"t_{m}" for m in targets]), "rake")
-    for _ in range(rounds):
-        for m in targets:
-            own = Window.partitionBy(m)
-            w = w.withColumn("x", _level(F.col(f"g_{m}"), F.col("bound"), F.col("free"), own, list(targets)))
-            w = w.withColumn("free", F.when(F.col("free") > 0, F.col("free") * F.max("x").over(own)).otherwise(0.0))
-        w = stored(w, "rake")
+    if rounds is None:
+        w = _settled(w, list(targets))
+    else:
+        for k in range(0, rounds, STEP):
+            w = stored(_swept(w, list(targets), min(STEP, rounds - k)), "rake")
     least = F.least("bound", "free")
     w = w.withColumn("weight", F.when(F.sum(least).over(everything) > 0, least / F.sum(least).over(everything)).otherwise(0.0))
     if budget is not None:
         w = w.withColumn("rate", F.when(F.col("bound") > 0, F.least(F.lit(1.0), F.col("free") / F.col("bound"))).otherwise(0.0))
-    return w.drop("x", "bound", "free", *[f"g_{m}" for m in targets])
+    return w.drop("x", "miss", "bound", "free", *[f"g_{m}" for m in targets])
 
 
 def misses(raked: DataFrame, targets: dict) -> DataFrame:

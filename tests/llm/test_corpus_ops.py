@@ -248,6 +248,30 @@ def test_mixing_meets_targets_with_full_cells(spark):
     assert abs(share["m_source", "0"][1] - 180 / total) < 1e-3 and share["m_source", "0"][0] == 0.25
 
 
+def test_raking_goes_on_until_targets_are_met(spark):
+    """Sources with two of four languages each: six rounds leave the targets far off."""
+    rows = [(f"{k}", "wxyz"[g], 10 ** (1 + (3 * k + 2 * g) % 6)) for k in range(12) for g in (k % 4, (k + 1) % 4)]
+    cells = spark.createDataFrame(rows, "m_source string, m_lang string, tokens long")
+    want = cells.toPandas()
+    want["w"] = [1.0 + 0.3 * (k % 5) for k in range(len(want))]                        # targets that some weights meet
+    want["w"] /= want.w.sum()
+    goal = {m: spark.createDataFrame(want.groupby(m).w.sum().reset_index(), f"{m} string, target double") for m in ("m_source", "m_lang")}
+
+    def off(w):
+        return max(abs(w.groupby(m).weight.sum() / want.groupby(m).w.sum() - 1).max() for m in goal)
+
+    assert off(mixing.rake(cells, goal, rounds=6).toPandas()) > 0.02
+    assert off(mixing.rake(cells, goal).toPandas()) < 2e-3
+
+
+def test_raking_tells_of_targets_out_of_reach(spark):
+    cells = spark.createDataFrame([("a", "x", 9), ("b", "y", 9)], "m_source string, m_lang string, tokens long")
+    goal = {"m_source": spark.createDataFrame([("a", 0.7), ("b", 0.3)], "m_source string, target double"),
+            "m_lang": spark.createDataFrame([("x", 0.4), ("y", 0.6)], "m_lang string, target double")}
+    with pytest.warns(mixing.RakingWarning):
+        mixing.rake(cells, goal)
+
+
 # --- 4 ----------------------------------------------------------------------------
 
 def test_language_model(rows, odd, empty):
