@@ -3,7 +3,7 @@
 Positions of all matches of a pattern come from the lengths of what lies between them
 (split) and of the matches themselves, summed along the text; only lengths are shuffled.
 Weak parts (names of accounts, random-looking strings, addresses) are reported only if a
-complementary part lies within the scope, found by an interval join on cells of the text.
+complementary part lies within the scope, whatever the length of both, found by an interval join on cells of the text.
 
 Null texts count as empty; every input row gives one row, repeated ids included."""
 from __future__ import annotations
@@ -65,16 +65,23 @@ def pattern_spans(docs: DataFrame, keys: list) -> DataFrame:
 
 
 def linked_spans(spans: DataFrame, keys: list, scope: int = SCOPE) -> DataFrame:
-    """Adds `linked`: whether a complementary part starts within `scope` characters.
-    Interval join: parts meet in cells of the scope's width, each also in the cells beside it."""
+    """Adds `linked`: whether at most `scope` characters lie between it and a complementary
+    part; parts that overlap have none between them. Interval join: a part is in all cells of
+    the scope's width from its start to its end, and looks into those from `scope` before to
+    `scope` behind it."""
     role = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])]), F.col("kind"))
-    parts = spans.where("kind is not null").withColumn("role", role).withColumn("cell", F.floor(F.col("start") / scope))
+    parts = spans.where("kind is not null").withColumn("role", role)
+
+    def cells(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / scope), F.floor(end / scope)))
+
     needs = F.explode(F.array(*[F.struct(F.lit(a).alias("role"), F.lit(b).alias("need")) for a, b in COMPLEMENTS]))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    asks = parts.withColumn("n", needs).where("n.role = role").withColumn("near", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])))
+    asks = parts.withColumn("n", needs).where("n.role = role").withColumn("near", cells(F.col("start") - scope, F.col("end") + scope))
+    within = parts.select(*keys, "role", "start", "end", cells(F.col("start"), F.col("end")).alias("cell"))
     on = [*same, F.col("a.near") == F.col("b.cell"), F.col("a.n.need") == F.col("b.role"),
-          F.abs(F.col("a.start") - F.col("b.start")) <= scope]
-    linked = (asks.alias("a").join(parts.select(*keys, "role", "cell", "start").alias("b"), on, "left_semi")
+          F.greatest("a.start", "b.start") - F.least("a.end", "b.end") <= scope]
+    linked = (asks.alias("a").join(within.alias("b"), on, "left_semi")
               .select(*keys, "kind", "start").distinct().withColumn("linked", F.lit(True)))
     on = [F.col(f"s.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*keys, "kind", "start"]]
     return (spans.alias("s").join(linked.alias("l"), on, "left")

@@ -384,6 +384,19 @@ def test_redact(rows, odd):
         assert p[i].n_chars == (None if t is None else len(p[i].text))
 
 
+def test_long_parts_are_linked(spark):
+    """The scope is what lies between two parts: their own length does not count."""
+    key = "Qx7Zk2Lm9Pq4Rt6Vw8Yb1" * 40
+    texts = [f"{key} login=bob", f"login=bob {key}", f"https://db.example.com/{'p' * 900} {key}", f"{key}{' ' * 200}login=bob",
+             f"{key}{' ' * 201}login=bob", f"login=bob{' ' * 201}{key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r.doc_id: sorted(x.split(":")[0] for x in r.spans.split(",") if x) for r in secrets.secret_report(df).collect()}
+    pair = ["ident", "random"]
+    assert kinds == {0: pair, 1: pair, 2: ["endpoint", "random"], 3: pair, 4: [], 5: []}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[0] == "[secret] [secret]" and all(key not in clean[i] for i in range(4)) and clean[4] == texts[4]
+
+
 # --- 8 ----------------------------------------------------------------------------
 
 def shingle_sets(rows, k=5):
