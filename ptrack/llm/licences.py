@@ -3,8 +3,8 @@
 The lines of a text that speak of a licence are its header. Headers and templates are
 sparse vectors of words, weighted by their frequency and by how rare they are among all
 headers; words outside the templates count in the length of a header only. A header takes
-the template of the greatest cosine. Short texts that are little else than such a header
-are licence files: they hold for their directory, and a file without a header inherits
+the template of the greatest cosine. Files with such a header that are named like a licence
+file, and short texts that are little else, are licence files: they hold for their directory, and a file without a header inherits
 from the nearest directory above it, found by joins on paths."""
 from __future__ import annotations
 
@@ -33,6 +33,9 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
 )
 LEAST = 0.6
+# Files that hold for their directory by name, however long: LICENSE, LICENCE.md, COPYING.LESSER, LICENSE-MIT, MIT-LICENSE.txt
+FILE_NAMES = "(?i)(^|/)([a-z0-9.]+[-_])?(un)?(licen[sc]e|copying)([-_.][a-z0-9._-]+)?$"
+FILE_NAMES_NOT = "(?i)[.](py|js|ts|java|c|cc|cpp|h|hpp|rs|go|rb|php|sh|cs|html?|css|json|xml|ya?ml)$"
 FILE_WORDS = 40                       # a licence file has at most so many words besides its header
 
 
@@ -93,8 +96,9 @@ def licence_scan(files: DataFrame, least: float = LEAST, file_words: int = FILE_
     words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     per = heads.groupBy("file").agg(F.sum(F.size(F.split("header", "[\\x20\\x09-\\x0D]+"))).alias("header_words"))
     listed = files.select("file", "path", words.alias("words"), F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
+    named = F.col("path").rlike(FILE_NAMES) & ~F.col("path").rlike(FILE_NAMES_NOT)
     whole = stored(listed.join(own, "file", "left").join(per, "file", "left").withColumn(
-        "is_licence_file", F.col("licence").isNotNull() & (F.col("words") - F.coalesce("header_words", F.lit(0)) <= file_words)), "licence-files")
+        "is_licence_file", F.col("licence").isNotNull() & (named | (F.col("words") - F.coalesce("header_words", F.lit(0)) <= file_words))), "licence-files")
     held = directory_licences(whole)
     # directories once each, however many files they hold, with all that lie above them
     steps = F.filter(F.split("dir", "/"), lambda x: x != "")

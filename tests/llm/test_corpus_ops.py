@@ -347,6 +347,39 @@ def test_licences(spark):
     assert licences.licence_scan(df.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_licence_file_holds_for_its_directory(spark):
+    body = sentence(random.Random(2), 80)
+    files = [(1, "p/LICENSE", MIT), (2, "p/src/a.txt", body), (3, "q/notes.txt", MIT), (4, "q/b.txt", body), (5, "r/license.py", MIT), (6, "r/c.txt", body),
+             (7, "s/LICENSE.txt", body), (8, "s/d.txt", body)]
+    got = {r.file: (r.licence, r.found_in, r.holder) for r in licences.licence_scan(spark.createDataFrame(files, "file long, path string, text string")).collect()}
+    own, none = ("MIT", "header", None), (None, None, None)
+    assert got == {1: own, 2: ("MIT", "directory", "p"), 3: own, 4: none, 5: own, 6: none, 7: none, 8: none}
+
+
 # --- 7 ----------------------------------------------------------------------------
 
 def base_spans(t):
