@@ -4,7 +4,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ptrack.session import _ensure_checkpoint_dir
@@ -39,6 +39,23 @@ def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, order: list, groups=(), name: str = "number") -> DataFrame:
+    """df with a number from 0, gapless within each combination of the groups (not null), in the
+    given order; rows alike in it come in any order. Rows are sorted in ranges, which rows alike in the order do
+    not bind together, and a row's place in its range is corrected by counts of (range, group)."""
+    spark, groups = df.sparkSession, list(groups)
+    tie = F.monotonically_increasing_id()
+    ranged = (df.withColumn("__tie", tie).repartitionByRange(parts(spark), *order, "__tie").sortWithinPartitions(*groups, *order, "__tie").drop("__tie")
+              .withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).withColumn("__range", F.spark_partition_id()))
+    ranged = stored(ranged, "ranges")
+    per = ranged.groupBy("__range", *groups).agg(F.count(F.lit(1)).alias("n"))
+    lower = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range and group
+    inside = lower(Window.partitionBy("__range").orderBy(*groups)) if groups else F.lit(0)
+    shift = stored(per.select("__range", *groups, (lower(Window.partitionBy(*(groups or [F.lit(1)])).orderBy("__range")) - inside).alias("__shift")), "range-counts")
+    return ranged.join(small(shift), ["__range", *groups]).withColumn(name, F.col("__place") + F.col("__shift")).drop("__range", "__place", "__shift")
+
+
 def file_system(uri: str):
     """(file system, path) of a shared URI, inside a task."""
     from pyarrow import fs

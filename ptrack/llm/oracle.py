@@ -2,7 +2,10 @@
 from __future__ import annotations
 
 from ptrack.llm import licences, mixing
+from ptrack.llm.clusters import CENTROIDS, DIM, ROUNDS, SCALE, SEED
+from ptrack.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT, SEED as SEED_13
 from ptrack.llm.secrets import COMPLEMENTS, KINDS, PATTERNS, ROLE, SCOPE, STRONG
+from ptrack.llm.shards import DIGITS, SHARDS
 
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _COMPONENTS = """reach(node, root) AS (SELECT id, id FROM nodes
@@ -87,4 +90,58 @@ def licence_scan() -> str:
     CASE WHEN licence IS NULL THEN up END AS holder FROM whole LEFT JOIN near USING (dir)"""
 
 
-ORACLE = {"op1_vector_dedup": vectors(), "op3_mix_sources": mixing.oracle_sql(), "op6_licence_scan": licence_scan(), "op7_secret_scan": secrets(), "op8_shingle_join": shingles()}
+# crc32 as SQL: the table of 256 entries from the polynomial, then a fold over the bytes
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::UBIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT"""
+
+
+def clusters(count: int = CENTROIDS, rounds: int = ROUNDS, dim: int = DIM, scale: int = SCALE, seed: str = SEED) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT id, any_value(vec_id) AS vec_id, any_value(v.e) AS e, min(struct_pack(d := d, k := k)) AS best FROM (
+          SELECT id, vec_id, v.e, k, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r} c) v GROUP BY id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT k, list(f ORDER BY i) AS e FROM (
+              SELECT k, i, (s - ((s % n) + n) % n) // n AS f FROM (SELECT best.k AS k, i, sum(e[i]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, {dim + 1})) AS i) GROUP BY ALL))
+              GROUP BY k) m ON m.k = c.k)""")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dim}),
+  c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR), e) - 1 AS k, e FROM v WHERE vec_id IS NOT NULL QUALIFY k < {count}),
+  {", ".join(steps)}
+  SELECT vec_id, best.k::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.k = a.best.k"""
+
+
+def shards(count: int = SHARDS) -> str:
+    bids = ", ".join(f"ln((('0x' || substr(md5('{i}:' || coalesce(doc_id::VARCHAR, '')), 1, {DIGITS}))::BIGINT::DOUBLE + 0.5) / {16 ** DIGITS}.0)" for i in range(count + 1))
+    return f"""WITH {_CRC_TABLE},
+  b AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, [{bids}] AS bids FROM documents),
+  r AS MATERIALIZED (SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS size, {_crc("text")} AS text_crc32, 'key' AS law,
+    (list_position(bids[1:{count}], list_max(bids[1:{count}])) - 1)::INTEGER AS shard, (list_position(bids, list_max(bids)) - 1)::INTEGER AS grown_shard FROM b, crc)
+  SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM r"""
+
+
+def resampling(percent: int = PERCENT, least: int = LEAST_WORDS, buckets: int = BUCKETS, seed: str = SEED_13) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    found = f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH {_CRC_TABLE},
+  d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {found} AS w FROM documents),
+  dw AS MATERIALIZED (SELECT id, unnest(w) AS w FROM d), tw AS MATERIALIZED (SELECT unnest({found}) AS w FROM benchmark),
+  h AS MATERIALIZED (SELECT w, {_crc("w")} % {buckets} AS b FROM (SELECT w FROM dw UNION SELECT w FROM tw), crc),
+  own AS MATERIALIZED (SELECT b, count(*) AS n FROM dw JOIN h USING (w) GROUP BY b), aim AS MATERIALIZED (SELECT b, count(*) AS n FROM tw JOIN h USING (w) GROUP BY b),
+  gain AS MATERIALIZED (SELECT own.b, floor(1000 * ln((coalesce(aim.n, 0)::DOUBLE + 1) * ((SELECT count(*) FROM dw)::DOUBLE + {buckets}) /
+    ((own.n::DOUBLE + 1) * ((SELECT count(*) FROM tw)::DOUBLE + {buckets}))))::BIGINT AS g FROM own LEFT JOIN aim USING (b)),
+  per AS (SELECT id, count(*) AS n, sum(g) AS s FROM dw JOIN h USING (w) JOIN gain USING (b) GROUP BY id),
+  s AS MATERIALIZED (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((s - ((s % n) + n) % n) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS noise FROM d LEFT JOIN per USING (id)),
+  r AS (SELECT doc_id, n_features, weight, weight + noise AS score, n_features >= {least} AS able FROM s),
+  k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n FROM r)
+  SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= {percent} * n // 100 THEN place END AS rank FROM k"""
+
+
+ORACLE = {"op11_centroid_clusters": clusters(), "op12_rendezvous_shards": shards(), "op13_importance_resampling": resampling(), "op1_vector_dedup": vectors(), "op3_mix_sources": mixing.oracle_sql(), "op6_licence_scan": licence_scan(), "op7_secret_scan": secrets(), "op8_shingle_join": shingles()}

@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ptrack.llm import language_model, licences, mixing, packing, secrets, shingle_join, simhash, token_files, toxicity, vectors
+from ptrack.llm import (clusters, language_model, licences, mixing, packing, resampling, secrets, shards, shingle_join, simhash, token_files,
+                        toxicity, vectors)
 from ptrack.llm.common import table
 from ptrack.llm.oracle import ORACLE  # noqa: F401
 from ptrack.llm.tokens import vocabulary
@@ -70,3 +71,18 @@ def op8_shingle_join(spark, d):
 @query
 def op4_language_model(spark, d):
     return language_model.score_documents(table(spark, d, "documents"))
+
+
+@query
+def op11_centroid_clusters(spark, d):
+    return clusters.clusters(table(spark, d, "embeddings"))
+
+
+@query
+def op12_rendezvous_shards(spark, d):
+    return shards.shard_report(table(spark, d, "documents"))
+
+
+@query
+def op13_importance_resampling(spark, d):
+    return resampling.importance_ranks(table(spark, d, "documents"), table(spark, d, "benchmark"))
