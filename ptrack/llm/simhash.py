@@ -15,7 +15,7 @@ from ptrack.llm.common import stored
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 LANES = 0x0001000100010001
-STRETCH = 8192                       # words whose votes are added in 16-bit lanes: 8192 * 7 < 65536
+STRETCH = 4096                       # words whose votes are added in 16-bit lanes: 4096 * 7 < 32768, as the top lane holds the sign
 HEAVIEST = 7
 BLOCKS = (13, 13, 13, 13, 12)         # bits of the blocks; more blocks make longer keys and more tables
 

@@ -519,3 +519,22 @@ def test_near_pairs(spark):
     mask = (1 << 64) - 1
     want = {(a, b): d for a in signed for b in signed if a < b and (d := bin((a ^ b) & mask).count("1")) <= 3}
     assert got == want and len(want) > 60
+
+
+def plain_simhash(text):
+    import xxhash
+    votes, total = np.zeros(64, np.int64), 0
+    for w in re.split("[\x20\x09-\x0d]+", text):
+        if w:
+            weight = min(max(len(w) - 2, 1), 7)
+            total += weight
+            h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+            votes += np.array([h >> b & 1 for b in range(64)]) * weight
+    return sum(1 << b for b in range(64) if 2 * votes[b] > total)
+
+
+def test_simhash_is_the_plain_one(spark, rows):
+    texts = [t or "" for _, t, *_ in rows] + ["extraordinary " * 20_000, ("considerable " + "remarkable ") * 10_000, "a " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(df, ["doc_id"]).collect()}
+    assert got == {i: plain_simhash(t) for i, t in enumerate(texts)}
