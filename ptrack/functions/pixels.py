@@ -111,11 +111,11 @@ def dbscan(codes, n, first, eps: float, min_pts: int) -> np.ndarray:
     return out
 
 
-def weighted_median(v: np.ndarray, n: np.ndarray) -> float:
-    """Median of values repeated n times."""
-    o = np.argsort(v, kind="stable")
-    c = np.cumsum(n[o])
-    half = c[-1] / 2
-    lo = v[o][np.searchsorted(c, half, side="left")]
-    hi = v[o][min(np.searchsorted(c, half, side="right"), len(v) - 1)]
-    return (lo + hi) / 2
+def weighted_medians(group: np.ndarray, v: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
+    """Median of the values of each group 0, 1, ... (none empty), repeated n times."""
+    o = np.lexsort((v, group))
+    v, upto = v[o], np.cumsum(n[o])
+    ends = np.cumsum(np.bincount(group, minlength=groups))
+    total = upto[ends - 1] if groups else np.zeros(0)
+    half = (total + np.concatenate([[0], total[:-1]])[:groups]) / 2
+    return (v[np.searchsorted(upto, half, side="left")] + v[np.minimum(np.searchsorted(upto, half, side="right"), ends - 1)]) / 2

@@ -3,16 +3,22 @@
 The tracker's state after slice k depends on slice k-1 only through the live
 tracks, and that memory fades within a few slices. Each block of slices is
 therefore simulated from a guess of its start state, made by running the slices
-just before it. The guess is checked against the end state of the block before:
-blocks that started wrong run again from the true state until none is left, so
-the result equals the one-pass fold. A task never holds more than one block, i.e.
-block_slices + warmup_slices times the sensor's pixels.
+just before it, and the guess is checked against the end state of the block before.
+
+Where a border does not fit, tracking goes on from the true state until it meets the
+recorded state at a later border. A check gathers such borders in runs of blocks, twice
+as long each time; a run is read block by block in order, so a task holds one block,
+i.e. block_slices + warmup_slices times the sensor's pixels. After the check with runs
+of 2^r blocks only borders between runs can be open, so at most log2(blocks) + 1
+checks lead to the result of the one-pass fold, and some more where the order of equally
+near old tracks decides. Each check writes the blocks it changed and nothing else.
 """
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -76,6 +82,10 @@ class Tracker:
         self.own = self.groups()
         self.entry = np.ones(len(self.own), bool)
 
+    def order(self) -> str:
+        """Numbers of the start-state tracks by birth."""
+        return ",".join(map(str, self.own[np.lexsort((self.own, self.key))]))
+
 
 def _slices(pdf: pd.DataFrame) -> dict[int, Slice]:
     out = {}
@@ -91,27 +101,15 @@ def _slices(pdf: pd.DataFrame) -> dict[int, Slice]:
 _NONE = np.empty(0, np.int64)
 
 
-def _run_block(blk: int, pdf: pd.DataFrame, make: Callable[[], Tracker], p: Params, given: bool) -> pd.DataFrame:
-    b = p.block_slices
-    k0, k1 = blk * b, blk * b + b - 1
+def _simulated(blk: int, pdf: pd.DataFrame, tr: Tracker, p: Params, used: str) -> pd.DataFrame:
+    """Advance by the slices of a block: its claims, its end state and its meta row."""
+    k0, k1 = blk * p.block_slices, (blk + 1) * p.block_slices - 1
     slices = _slices(pdf[pdf.kind == "p"])
-    tr = make()
-    empty = lambda k: Slice(k, _NONE, _NONE, _NONE, _NONE)
-    used = ""
-    if given:
-        st = pdf[pdf.kind == "s"]
-        tr.load(st)
-        used = order_text(st)
-    elif blk > 0:
-        for k in range(max(0, k0 - p.warmup_slices), k0):
-            tr.step(slices.get(k, empty(k)))
-        tr.rename_to_entry()
-        tr.sensitive = False
-        used = order_text(pd.DataFrame({"key": tr.key, "g": tr.own}))
+    tr.sensitive = False
     dstart = tr.digest()
     parts = []
     for k in range(k0, k1 + 1):
-        s = slices.get(k, empty(k))
+        s = slices.get(k) or Slice(k, _NONE, _NONE, _NONE, _NONE)
         at, who = tr.step(s)
         parts.append(pd.DataFrame({
             "kind": "p", "k": k, "x": s.code[at] // px.STRIDE, "y": s.code[at] % px.STRIDE, "n": s.n[at],
@@ -124,56 +122,113 @@ def _run_block(blk: int, pdf: pd.DataFrame, make: Callable[[], Tracker], p: Para
     return out.reindex(columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
-def order_text(st: pd.DataFrame) -> str:
-    d = st[["key", "g"]].drop_duplicates().sort_values(["key", "g"])
-    return ",".join(str(int(g)) for g in d.g)
-
-
-def block_fold(counts: DataFrame, make: Callable[[], Tracker], p: Params) -> DataFrame:
-    """counts: pixel_counts of all slices. Returns (k, x, y, n, n_in, cluster_id)."""
+def _guessed(blk: int, pdf: pd.DataFrame, tr: Tracker, p: Params) -> pd.DataFrame:
+    """A block from the state that its warm-up slices leave."""
+    used = ""
+    if blk > 0:
+        k0 = blk * p.block_slices
+        slices = _slices(pdf[pdf.k < k0])
+        for k in range(max(0, k0 - p.warmup_slices), k0):
+            tr.step(slices.get(k) or Slice(k, _NONE, _NONE, _NONE, _NONE))
+        tr.rename_to_entry()
+        used = tr.order()
+    return _simulated(blk, pdf, tr, p, used)
+
+
+def _blocks(batches):
+    """(run, block, rows) of batches that are sorted by both."""
+    held: list = []
+    for b in batches:
+        for key, rows in b.groupby(["run", "blk"], sort=True):
+            if held and held[0][0] != key:
+                yield *held[0][0], pd.concat([r for _, r in held])
+                held = []
+            held.append((key, rows))
+    if held:
+        yield *held[0][0], pd.concat([r for _, r in held])
+
+
+def _repaired(batches, make: Callable[[], Tracker], p: Params):
+    """Blocks of a run, in order: tracking starts at an open border from the state given
+    there and ends where it meets the state that the next block has started from."""
+    at, tr = None, None
+    for run, blk, pdf in _blocks(batches):
+        if run != at:
+            at, tr = run, None
+        meta = pdf[pdf.kind == "m"].iloc[0]
+        if tr is not None:
+            tr.rename_to_entry()
+            if tr.digest() == meta.dstart and (not meta.sensitive or tr.order() == meta.used):
+                tr = None
+        if tr is None and meta.open:
+            tr = make()
+            tr.load(pdf[pdf.kind == "s"])
+        if tr is not None:
+            yield _simulated(int(blk), pdf, tr, p, tr.order())
+
+
+def _chain_nodes(state: DataFrame) -> DataFrame:
+    """End states as links from a track's number at a border to its birth, or to its number
+    at the border before."""
+    return (state.select("blk", "g", "own", "entry").distinct()
+            .select((F.shiftleft(F.col("blk") + 1, LABEL_BITS) + F.col("g")).alias("node"),
+                    F.when(F.col("entry"), F.shiftleft(F.col("blk"), LABEL_BITS) + F.col("own"))
+                    .otherwise(F.col("own")).alias("ref"), F.col("entry").alias("open")))
+
+
+def block_fold(counts: DataFrame, make: Callable[[], Tracker], p: Params, log: list | None = None) -> DataFrame:
+    """counts: pixel_counts of all slices. Returns (k, x, y, n, n_in, cluster_id). `log`
+    gets the number of open borders at each check."""
     b, w = p.block_slices, p.warmup_slices
-    src = counts.select(*_IN)
+    src = cut_lineage(counts.select(*_IN))
     own = F.floor(F.col("k") / b)
     homes = F.when(F.pmod("k", F.lit(b)) >= b - w, F.array(own, own + 1)).otherwise(F.array(own))
-    state_cols = [F.lit(None).cast(t).alias(c) for c, t in
-                  (("g", "bigint"), ("key", "bigint"), ("xm", "double"), ("ym", "double"))]
-    first = src.select(F.explode(homes).alias("blk"), F.lit("p").alias("kind"), *_IN, *state_cols)
-
-    def runner(given):
-        def run(key, pdf):
-            return _run_block(int(key[0]), pdf, make, p, given)
-        return run
-
+    first = src.select(F.explode(homes).alias("blk"), F.lit("p").alias("kind"), *_IN)
     # a block that only holds warm-up rows of the block before emits its own (empty) result
-    out = cut_lineage(grouped(first, "blk").applyInPandas(runner(False), _OUT))
+    found = [cut_lineage(grouped(first, "blk").applyInPandas(lambda key, pdf: _guessed(int(key[0]), pdf, make(), p), _OUT)
+                         .withColumn("version", F.lit(0)))]
+    length = 2
     while True:
-        meta = out.where("kind = 'm'")
-        state = out.where("kind = 's'")
-        nodes = (state.select("blk", "g", "own", "entry").distinct()
-                 .select((F.shiftleft(F.col("blk") + 1, LABEL_BITS) + F.col("g")).alias("node"),
-                         F.when(F.col("entry"), F.shiftleft(F.col("blk"), LABEL_BITS) + F.col("own"))
-                         .otherwise(F.col("own")).alias("ref"), F.col("entry").alias("open")))
-        roots = pointer_double(nodes)
-        start = (state.withColumn("node", F.shiftleft(F.col("blk") + 1, LABEL_BITS) + F.col("g"))
-                 .join(roots.select("node", F.col("ref").alias("key")), "node")
-                 .withColumn("blk", F.col("blk") + 1))
-        order = (start.select("blk", "key", "g").distinct().groupBy("blk")
-                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "g"))),
-                                               lambda s: s["g"].cast("string")), ",").alias("now")))
+        every = reduce(DataFrame.unionByName, found)
+        meta = (every.where("kind = 'm'").groupBy("blk")
+                .agg(F.max_by(F.struct("version", "dstart", "dend", "sensitive", "used"), "version").alias("m")).select("blk", "m.*"))
         prev = meta.select((F.col("blk") + 1).alias("blk"), F.col("dend").alias("want"))
-        stale = ((F.col("blk") > 0) & ((F.col("dstart") != F.coalesce("want", F.lit(_EMPTY)))
-                                       | (F.col("sensitive") & (F.col("used") != F.coalesce("now", F.lit(""))))))
-        dirty = cut_lineage(meta.join(prev, "blk", "left").join(order, "blk", "left").where(stale).select("blk"))
-        if not dirty.limit(1).count():
+        meta = cut_lineage(meta.join(prev, "blk", "left")
+                           .withColumn("open", (F.col("blk") > 0) & (F.col("dstart") != F.coalesce("want", F.lit(_EMPTY)))))
+        latest = every.join(meta.select("blk", "version"), ["blk", "version"], "left_semi")
+        state = latest.where("kind = 's'")
+        n_open, n_sensitive = meta.agg(F.count_if("open"), F.count_if("sensitive")).first()
+        key = F.col("g")
+        if n_sensitive or not n_open:
+            roots = pointer_double(_chain_nodes(state))
+        if n_sensitive:
+            # ties were decided by the order of older tracks: compare it with that of their births
+            node = F.shiftleft(F.col("blk") + 1, LABEL_BITS) + F.col("g")
+            state = state.withColumn("node", node).join(roots.select("node", F.col("ref").alias("birth")), "node")
+            key = F.col("birth")
+            order = (state.select((F.col("blk") + 1).alias("blk"), key.alias("key"), "g").distinct().groupBy("blk")
+                     .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "g"))),
+                                                   lambda s: s["g"].cast("string")), ",").alias("now")))
+            meta = cut_lineage(meta.join(order, "blk", "left").withColumn(
+                "open", F.col("open") | ((F.col("blk") > 0) & F.col("sensitive") & (F.col("used") != F.coalesce("now", F.lit(""))))))
+            n_open = meta.where("open").count()
+        if log is not None:
+            log.append(n_open)
+        if not n_open:
             break
-        rows = (src.select(own.alias("blk"), F.lit("p").alias("kind"), *_IN, *state_cols)
-                .unionByName(start.select("blk", F.lit("s").alias("kind"), "k", "x", "y", "n", "n_in",
-                                          F.lit(None).cast("double").alias("first_t"),
-                                          F.lit(None).cast("bigint").alias("first_idx"), "g", "key", "xm", "ym"))
-                .join(dirty, "blk", "left_semi"))
-        again = grouped(rows, "blk").applyInPandas(runner(True), _OUT)
-        out = cut_lineage(out.join(dirty, "blk", "left_anti").unionByName(again))
-    claims = out.where("kind = 'p'")
+        run = F.floor(F.col("blk") / length)
+        runs = meta.where("open").groupBy(run.alias("run")).agg(F.min("blk").alias("from"))
+        rows = (src.select(own.alias("blk"), F.lit(2).alias("place"), F.lit("p").alias("kind"), *_IN)
+                .unionByName(meta.select("blk", F.lit(0).alias("place"), F.lit("m").alias("kind"), "dstart", "used", "sensitive", "open"), allowMissingColumns=True)
+                .unionByName(state.select((F.col("blk") + 1).alias("blk"), F.lit(1).alias("place"), "kind", "k", "x", "y", "n", "n_in", "g", "xm", "ym", key.alias("key"))
+                             .join(meta.where("open").select("blk"), "blk", "left_semi"), allowMissingColumns=True)
+                .withColumn("run", run).join(runs, "run").where("blk >= from").drop("from"))
+        parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        again = (rows.repartition(parts, "run").sortWithinPartitions("run", "blk", "place", "k")
+                 .mapInPandas(lambda batches: _repaired(batches, make, p), _OUT))
+        found.append(cut_lineage(again.withColumn("version", F.lit(len(found)))))
+        length *= 2
+    claims = latest.where("kind = 'p'")
     node = F.shiftleft(F.col("blk"), LABEL_BITS) + F.col("own")
     return (claims.withColumn("node", F.when(F.col("entry"), node))
             .join(roots.select("node", F.col("ref").alias("root")), "node", "left")

@@ -1,8 +1,6 @@
 """Radius search: events near a track's last centre extend it."""
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pandas as pd
 
@@ -25,38 +23,37 @@ class RadiusTracker(Tracker):
     def step(self, s: Slice):
         r = self.p.epsilon + RANGE_MARGIN
         x, y = s.code // px.STRIDE, s.code % px.STRIDE
+        # pixels in the strip of each track, then those within the radius
+        lo, hi = np.searchsorted(x, np.ceil(self.cx - r)), np.searchsorted(x, np.floor(self.cx + r) + 1)
+        many = hi - lo
+        of = np.repeat(np.arange(len(self.own)), many)
+        near = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+        ok = (x[near] - self.cx[of]) ** 2 + (y[near] - self.cy[of]) ** 2 <= r * r
+        of, near = of[ok], near[ok]
+        alive = np.flatnonzero(np.bincount(of, weights=s.n[near], minlength=len(self.own)) > self.p.min_pts)
+        place = np.full(len(self.own), -1)
+        place[alive] = np.arange(len(alive))
+        ok = place[of] >= 0
+        who, at = place[of[ok]], near[ok]
         taken = np.zeros(len(x), bool)
-        at, cx, cy, alive = [], [], [], []
-        for i in range(len(self.own)):
-            lo, hi = np.searchsorted(x, [ceil(self.cx[i] - r), int(self.cx[i] + r) + 1])
-            near = lo + np.flatnonzero((x[lo:hi] - self.cx[i]) ** 2 + (y[lo:hi] - self.cy[i]) ** 2 <= r * r)
-            if s.n[near].sum() > self.p.min_pts:
-                alive.append(i)
-                at.append(near)
-                cx.append(px.weighted_median(x[near], s.n[near]))
-                cy.append(px.weighted_median(y[near], s.n[near]))
-                taken[near] = True
+        taken[at] = True
         rest = np.flatnonzero(~taken)
         lab = px.dbscan(s.code[rest], s.n[rest], s.rank[rest], self.p.epsilon, self.p.min_pts)
         top = lab.max(initial=-1) + 1
-        spawn = range(top)
+        spawn = np.arange(top)
         if self.p.compat_offbyone:
-            spawn = range(top - 1) if s.k == 0 else range(1, top)
-        born = []
-        for l in spawn:
-            idx = rest[lab == l]
-            at.append(idx)
-            cx.append(px.weighted_median(x[idx], s.n[idx]))
-            cy.append(px.weighted_median(y[idx], s.n[idx]))
-            born.append((s.k << LABEL_BITS) | l)
-        born = np.array(born, np.int64)
-        alive = np.array(alive, np.int64)
+            spawn = spawn[:-1] if s.k == 0 else spawn[1:]
+        number = np.full(top + 1, -1)                                    # the last entry stands for noise
+        number[spawn] = len(alive) + np.arange(len(spawn))
+        new = number[lab] >= 0
+        at, who = np.concatenate([at, rest[new]]), np.concatenate([who, number[lab[new]]])
+        n = len(alive) + len(spawn)
+        born = (np.int64(s.k) << LABEL_BITS) | spawn
         self.own = np.concatenate([self.own[alive], born])
         self.entry = np.concatenate([self.entry[alive], np.zeros(len(born), bool)])
         self.key = np.concatenate([self.key[alive], born])
-        self.cx, self.cy = np.array(cx, float), np.array(cy, float)
-        who = np.repeat(np.arange(len(at)), [len(a) for a in at])
-        return (np.concatenate(at) if at else np.empty(0, np.int64)), who
+        self.cx, self.cy = (px.weighted_medians(who, v[at], s.n[at], n) for v in (x, y))
+        return at, who
 
     def groups(self):
         g = np.empty(len(self.own), np.int64)

@@ -7,6 +7,7 @@ import pandas as pd
 from ptrack.functions import pixels as px
 from ptrack.functions.chains import LABEL_BITS
 from ptrack.operators.blockfold import Slice, Tracker
+from ptrack.params import SENSOR_X, SENSOR_Y
 
 # Smallest group of a split, and the distance below which two
 # tracks in one region cannot be told apart.
@@ -29,39 +30,47 @@ class PixelwiseTracker(Tracker):
         dil = px.label(lit, px.HALF4)
         lab = dil[np.searchsorted(lit, s.code)]
         if s.k == 0:
-            keep = np.bincount(dil, minlength=1) >= self.p.min_pixels
+            keep = np.bincount(dil, minlength=1)[1:] >= self.p.min_pixels
         else:
-            keep = np.bincount(lab, weights=s.n, minlength=1) >= self.p.min_pixels
-        order = np.argsort(lab, kind="stable")
-        cuts = np.searchsorted(lab[order], np.arange(1, len(keep) + 1))
-        owner = self._owners(s.code)
-        free = np.ones(len(self.own), bool)
-        at, who, fresh = [], [], []
-        for l in range(1, len(keep)):
-            if not keep[l]:
-                continue
-            idx = order[cuts[l - 1]:cuts[l]]
-            seen = owner[idx]
-            if self.wide and size > 1:
-                seen = self._owners(self._reach(s.code[idx], size))
-            seen = np.unique(seen[seen >= 0])
-            seen = seen[free[seen]]
-            if len(seen) == 0:
-                fresh.append((l, idx))
-            elif len(seen) == 1:
-                at.append(idx)
-                who.append(np.full(len(idx), seen[0]))
-                free[seen] = False
-            else:
-                self._split(s, idx, seen[np.argsort(self.key[seen])], free, at, who)
-        n_old = len(self.own)
-        born = []
-        for l, idx in fresh:
-            if s.k == 0 or s.n_in[idx].sum() > self.p.spawn_min_events:
-                at.append(idx)
-                who.append(np.full(len(idx), n_old + len(born)))
-                born.append((s.k << LABEL_BITS) | l)
-        return self._advance(s, at, who, np.array(born, np.int64))
+            keep = np.bincount(lab, weights=s.n, minlength=1)[1:] >= self.p.min_pixels
+        lost, seen = self._pairs(s.code, lab, keep, size)
+        many, claimed = np.bincount(lost, minlength=len(keep) + 1), np.bincount(seen, minlength=len(self.own))
+        # a region and a track that meet nothing else belong together
+        plain = (many[lost] == 1) & (claimed[seen] == 1)
+        track = np.full(len(keep) + 1, -1)
+        track[lost[plain]] = seen[plain]
+        fresh = (many[1:] == 0) & keep
+        at, who = [], []
+        if not plain.all():
+            order = np.argsort(lab, kind="stable")
+            cuts = np.searchsorted(lab[order], np.arange(1, len(keep) + 2))
+            free = np.ones(len(self.own), bool)
+            for l in np.unique(lost[~plain]):
+                mine = seen[lost == l]
+                mine = mine[free[mine]]
+                if len(mine) == 0:
+                    fresh[l - 1] = True
+                elif len(mine) == 1:
+                    track[l] = mine[0]
+                    free[mine] = False
+                else:
+                    self._split(s, order[cuts[l - 1]:cuts[l]], mine[np.argsort(self.key[mine])], free, at, who)
+        if s.k:
+            fresh &= np.bincount(lab, weights=s.n_in, minlength=len(keep) + 1)[1:] > self.p.spawn_min_events
+        born = np.flatnonzero(fresh) + 1
+        track[born] = len(self.own) + np.arange(len(born))
+        whole = np.flatnonzero(track[lab] >= 0)
+        return self._advance(s, [*at, whole], [*who, track[lab[whole]]], (np.int64(s.k) << LABEL_BITS) | born)
+
+    def _pairs(self, codes, lab, keep, size):
+        """Regions and the live tracks they touch, by region and track."""
+        if self.wide and size > 1 and len(codes):
+            codes, lab = self._reach(codes, lab, keep, size)
+        owner = self._owners(codes)
+        hit = (owner >= 0) & keep[lab - 1] if len(codes) else np.zeros(0, bool)
+        n = len(self.own) + 1
+        both = np.unique(lab[hit] * n + owner[hit])
+        return both // n, both % n
 
     def _owners(self, codes):
         if len(self.code) == 0 or len(codes) == 0:
@@ -70,11 +79,20 @@ class PixelwiseTracker(Tracker):
         return np.where(self.code[i] == codes, self.who[i], -1)
 
     @staticmethod
-    def _reach(codes, size):
+    def _reach(codes, lab, keep, size):
+        """Pixels of each region after dilation, within one pixel around its box."""
         x, y = codes // px.STRIDE, codes % px.STRIDE
-        d = px.dilate(codes, size)
-        dx, dy = d // px.STRIDE, d % px.STRIDE
-        return d[(dx >= x.min() - 1) & (dx <= x.max() + 1) & (dy >= y.min() - 1) & (dy <= y.max() + 1)]
+        top = len(keep) + 1
+        lo, hi = np.full((2, top), px.STRIDE), np.full((2, top), -1)
+        for j, v in enumerate((x, y)):
+            np.minimum.at(lo[j], lab, v)
+            np.maximum.at(hi[j], lab, v)
+        h = size // 2
+        i, j = (g.ravel() for g in np.mgrid[-h:h + 1, -h:h + 1])
+        xx, yy, ll = (x[:, None] + i).ravel(), (y[:, None] + j).ravel(), np.repeat(lab, len(i))
+        ok = (xx >= np.maximum(lo[0][ll] - 1, 0)) & (xx <= hi[0][ll] + 1) & (xx < np.maximum(SENSOR_X, hi[0][ll] + 1))
+        ok &= (yy >= np.maximum(lo[1][ll] - 1, 0)) & (yy <= hi[1][ll] + 1) & (yy < np.maximum(SENSOR_Y, hi[1][ll] + 1))
+        return px.code(xx[ok], yy[ok]), ll[ok]
 
     def _split(self, s, idx, tracks, free, at, who):
         """Give each pixel of a region shared by several tracks to the nearest one."""

@@ -46,11 +46,12 @@ def test_disc_filter_and_otsu_at_the_border(spark):
     assert np.isclose(raster.otsu(raster.disc_filter(frame(spark, pts))).first().threshold, t)
 
 
-def test_weighted_median():
+def test_weighted_medians():
     r = np.random.default_rng(2)
-    for _ in range(50):
-        v, n = r.integers(0, 9, 7), r.integers(1, 5, 7)
-        assert px.weighted_median(v, n) == np.median(np.repeat(v, n))
+    v, n, g = r.integers(0, 9, 400), r.integers(1, 5, 400), np.concatenate([np.arange(50), r.integers(0, 50, 350)])
+    got = px.weighted_medians(g, v, n, 50)
+    assert got.tolist() == [np.median(np.repeat(v[g == k], n[g == k])) for k in range(50)]
+    assert len(px.weighted_medians(g[:0], v[:0], n[:0], 0)) == 0
 
 
 def test_slices_are_closed_and_overlap(spark):

@@ -2,13 +2,19 @@
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import blobs, flood, partition, to_spark
 
 from ptrack import Params
+from ptrack.fixtures import pixel_events
+from ptrack.functions import pixels as px
 from ptrack.functions.assign import assign
-from ptrack.operators import detect
-from ptrack.operators.slicing import time_bounds
+from ptrack.operators import detect, filters, raster
+from ptrack.operators.blockfold import block_fold
+from ptrack.operators.kdtree import RadiusTracker
+from ptrack.operators.pixelwise import PixelwiseTracker
+from ptrack.operators.slicing import slice_events, time_bounds
 
 DT = 100.0
 
@@ -152,6 +158,53 @@ def test_kdtree(spark, compat, block, warm):
     assert run(spark, e, p) == simulate_kdtree(e, p)
 
 
+@pytest.mark.parametrize("make", [PixelwiseTracker, RadiusTracker])
+def test_few_checks(spark, sf, make):
+    """Blocks of one slice without warm-up: every start state is a wrong guess."""
+    p = Params(block_slices=1, warmup_slices=0)
+    ev = filters.positive(pixel_events(spark, sf))
+    b = time_bounds(ev)
+    counts = raster.pixel_counts(slice_events(ev, p.dt, p.overlap, b) if make is PixelwiseTracker else slice_events(ev, p.dt, bounds=b)).cache()
+    n, log = counts.select("k").distinct().count(), []
+    got = sorted(map(tuple, block_fold(counts, lambda: make(p), p, log).collect()))
+    assert len(log) <= np.ceil(np.log2(n)) + 2 and log[0] > n // 2 and log[-1] == 0
+    whole = p.with_(block_slices=128)
+    assert got == sorted(map(tuple, block_fold(counts, lambda: make(whole), whole).collect()))
+
+
+def test_long_memory(spark):
+    """Two tracks that share a region all the time: a wrong start is never forgotten."""
+    rows = [(3 * k + i, x, 5, DT * k + 4 * i) for k in range(70) for i, x in enumerate(range(20, 44))]
+    rows += [(10_000 + i, x, 5, 5.0 * i) for i, x in enumerate([20, 21, 22, 23, 24, 40, 41, 42, 43])]
+    e = pd.DataFrame(sorted(rows, key=lambda r: r[3]), columns=["event_idx", "x", "y", "t"])
+    e["event_idx"] = range(len(e))
+    p, log = Params(dt=DT, overlap=0.0, block_slices=1, warmup_slices=0), []
+    ev = to_spark(spark, e)
+    counts = raster.pixel_counts(slice_events(ev, p.dt, p.overlap, time_bounds(ev))).cache()
+    got = sorted(map(tuple, block_fold(counts, lambda: PixelwiseTracker(p), p, log).collect()))
+    whole = p.with_(block_slices=128)
+    assert got == sorted(map(tuple, block_fold(counts, lambda: PixelwiseTracker(whole), whole).collect()))
+    assert len(log) <= 9
+
+
+@pytest.mark.parametrize("size", [3, 5])
+def test_reach_of_regions(size):
+    """Dilation of all regions at once against one region at a time."""
+    r = np.random.default_rng(size)
+    code = np.unique(np.concatenate([px.code(r.integers(0, 60, 150), r.integers(0, 40, 150)), px.code(r.integers(1270, 1280, 30), r.integers(700, 730, 30))]))
+    lab = px.label(code, px.HALF4)
+    keep = np.ones(lab.max(), bool)
+    got = set(zip(*(a.tolist() for a in PixelwiseTracker._reach(code, lab, keep, size))))
+    want = set()
+    for l in range(1, lab.max() + 1):
+        own = code[lab == l]
+        x, y = own // px.STRIDE, own % px.STRIDE
+        for c in px.dilate(own, size).tolist():
+            if x.min() - 1 <= c // px.STRIDE <= x.max() + 1 and y.min() - 1 <= c % px.STRIDE <= y.max() + 1:
+                want.add((c, l))
+    assert got == want
+
+
 @pytest.mark.parametrize("compat", [False, True])
 def test_dbscan(spark, compat):
     e = blobs(5, particles=15)
