@@ -14,7 +14,7 @@ Q0, Q1, Q2, R = "2e-6::DOUBLE", "1::DOUBLE", "4e5::DOUBLE", "1::DOUBLE"
 
 _ITEMS: dict[str, str] = {}
 # read by several others: to be computed once
-ONCE = {"trk", "shape", "shp2", "meds", "mads", "zed", "clip", "qs", "qual", "checked", "sl", "px", "dbscan", "chain", "dbx", "dbm", "rest", "clu1"}
+ONCE = {"trk", "shape", "shp2", "meds", "mads", "zed", "clip", "qs", "qual", "checked", "sl", "px", "dbscan", "chain", "dbx", "dbm", "rest", "clu1", "lab4", "pxo", "reg", "reg_w", "rgs", "rgk", "pwc", "pclu"}
 
 
 def _item(name: str, body: str, cols: str = "") -> None:
@@ -115,6 +115,45 @@ _item("sl2", f"""SELECT p.*, k FROM rest p CROSS JOIN bnd JOIN ks2
   ON p.t >= t0 + k * 2 * {DT} AND p.t <= t0 + (k + 1) * 2 * {DT}""")
 _density("r_", "sl2", 14)
 
+# --- pixelwise tracking, region by region: regions that share a region of the slice before are
+# taken one after the other, by label; all others of a slice in one step (wave 0)
+_item("reg", """SELECT l.k, l.label, p.x, p.y, p.n, p.n_in FROM lab4 l JOIN pxo p ON p.k = l.k AND p.x = l.x AND p.y = l.y
+  QUALIFY CASE WHEN l.k = 0 THEN count(*) OVER (PARTITION BY l.k, l.label) ELSE sum(p.n) OVER (PARTITION BY l.k, l.label) END >= 5""")
+_item("reg_o", "SELECT DISTINCT a.k, a.label, b.label AS prev FROM reg a JOIN reg b ON b.k = a.k - 1 AND b.x = a.x AND b.y = a.y")
+_item("reg_s", "SELECT DISTINCT a.k, a.label FROM reg_o a JOIN reg_o b ON a.k = b.k AND a.prev = b.prev AND a.label <> b.label")
+_item("reg_w", """SELECT k, label, dense_rank() OVER (ORDER BY k, wave) AS step FROM (
+  SELECT r.k, r.label, CASE WHEN s.label IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY r.k, s.label IS NULL ORDER BY r.label) END AS wave
+  FROM (SELECT DISTINCT k, label FROM reg) r LEFT JOIN reg_s s ON s.k = r.k AND s.label = r.label)""")
+_item("rgs", "SELECT w.step, r.* FROM reg r JOIN reg_w w ON w.k = r.k AND w.label = r.label")
+_item("rgk", "SELECT DISTINCT step, k FROM reg_w")
+# kinds: o live pixels of the slice before, c claimed in this slice, n claimed in this step, z keeps the recursion going
+_item("pw", """SELECT 0::BIGINT, -1, 'z', NULL::BIGINT, NULL::INTEGER, NULL::INTEGER, NULL::BIGINT
+  UNION ALL (WITH nk AS (SELECT step, k FROM rgk WHERE step = (SELECT max(step) + 1 FROM pw)),
+    cur AS (SELECT CASE WHEN nk.k = pw.k AND kind <> 'o' THEN 'c' ELSE 'o' END AS kind, id, x, y, w FROM pw, nk
+      WHERE kind <> 'z' AND (nk.k = pw.k OR (nk.k = pw.k + 1 AND kind <> 'o'))),
+    r AS (SELECT g.* FROM rgs g JOIN nk ON g.step = nk.step),
+    t AS (SELECT DISTINCT r.label, o.id FROM r JOIN cur o ON o.kind = 'o' AND o.x = r.x AND o.y = r.y
+      WHERE o.id NOT IN (SELECT id FROM cur WHERE kind = 'c')),
+    m AS (SELECT label, count(*) AS tracks, min(id) AS id FROM t GROUP BY label),
+    c AS (SELECT label, t.id, cx, cy FROM t JOIN (SELECT id, sum(x * w)::DOUBLE / sum(w)::DOUBLE AS cx, sum(y * w)::DOUBLE / sum(w)::DOUBLE AS cy
+      FROM cur WHERE kind = 'o' GROUP BY id) q ON q.id = t.id WHERE label IN (SELECT label FROM m WHERE tracks > 1)),
+    lost AS (SELECT DISTINCT a.label, a.id FROM c a JOIN c b ON a.label = b.label AND a.id <> b.id
+      WHERE sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) < 4),
+    ctr AS (SELECT c.label, c.id, CASE WHEN l.id IS NULL THEN cx ELSE -1000 END AS cx, CASE WHEN l.id IS NULL THEN cy ELSE -1000 END AS cy
+      FROM c LEFT JOIN lost l ON l.label = c.label AND l.id = c.id),
+    near AS (SELECT r.k, r.label, r.x, r.y, r.n, ctr.id FROM r JOIN ctr ON ctr.label = r.label
+      QUALIFY row_number() OVER (PARTITION BY r.x, r.y ORDER BY (r.x - cx) * (r.x - cx) + (r.y - cy) * (r.y - cy), ctr.id) = 1),
+    found AS (SELECT r.k, m.id, r.x, r.y, r.n FROM r JOIN m ON m.label = r.label WHERE tracks = 1
+      UNION ALL SELECT k, id, x, y, n FROM near QUALIFY sum(n) OVER (PARTITION BY label, id) >= 4
+      UNION ALL SELECT k, id, x, y, n FROM (SELECT r.k, r.k::BIGINT * 1048576 + r.label AS id, r.x, r.y, r.n, sum(n_in) OVER (PARTITION BY r.label) AS own
+        FROM r LEFT JOIN m ON m.label = r.label WHERE m.label IS NULL) WHERE k = 0 OR own > 5)
+    SELECT step, k, kind, id, x, y, w FROM cur, nk
+    UNION ALL SELECT nk.step, nk.k, 'n', id, x, y, CASE WHEN nk.k = 0 THEN 1 ELSE n END FROM found, nk
+    UNION ALL SELECT step, k, 'z', NULL, NULL, NULL, NULL FROM nk)""", "(step, k, kind, id, x, y, w)")
+_item("pwc", "SELECT k, x, y, id AS cluster_id FROM pw WHERE kind = 'n'")
+_item("pclu", """SELECT c.cluster_id, s.k, s.event_idx, s.x, s.y, s.t FROM so s JOIN pwc c ON c.k = s.k AND c.x = s.x AND c.y = s.y
+  WHERE NOT s.is_overlap""")
+
 # --- truth clusters: the particle of an event is its cluster
 _item("tr", "SELECT event_idx, pid AS cluster_id, x, y, t FROM pos")
 _item("cen", """SELECT pid AS label, k, median(x) AS xm, median(y) AS ym, median(t) AS tm, count(*) AS events
@@ -437,6 +476,7 @@ FINAL: dict[str, str] = {
     "quantile_norm": "SELECT cluster_id, round(q_angle, 5) AS q_angle, round(q_velo, 5) AS q_velo, round(q_inv, 5) AS q_inv FROM qual",
     "quality_score": "SELECT cluster_id, round(score, 5) AS score FROM qual",
     "quality_filter": "SELECT cluster_id, seq, t FROM checked WHERE ok",
+    "track_pixelwise": "SELECT cluster_id, k, event_idx, x, y, t FROM pclu",
     "weighted_median": "SELECT cluster_id, seq, round(med_u, 9) AS med_u, round(med_v, 9) AS med_v FROM nb WHERE n_neighbors >= 3",
     "weighted_mad": "SELECT cluster_id, seq, round(mad_u, 9) AS mad_u, round(mad_v, 9) AS mad_v FROM nb WHERE n_neighbors >= 3",
     "circular_medoid": "SELECT cluster_id, seq, round(med_angle, 6) AS med_angle, round(mad_angle, 6) AS mad_angle FROM nb WHERE n_neighbors >= 3",
