@@ -262,7 +262,7 @@ _item("mads", """SELECT median(abs(angle - ma)) AS da, median(abs(velo - mv)) AS
   FROM shp2, meds""")
 _item("zed", """SELECT shp2.*, (angle - ma) / (da + 1e-8) AS z_angle, (velo - mv) / (dv + 1e-8) AS z_velo,
   (inv - mi) / (di + 1e-8) AS z_inv FROM shp2 CROSS JOIN meds CROSS JOIN mads""")
-_item("clip", "SELECT *, greatest(z_angle, 0) AS ca, greatest(z_velo, 0) AS cv, greatest(z_inv, 0) AS ci FROM zed")
+_item("clip", "SELECT *, greatest(z_angle, 0) AS ca, greatest(z_velo, 0) AS cv, CASE WHEN z_inv IS NOT NULL THEN greatest(z_inv, 0) END AS ci FROM zed")
 _item("qs", """SELECT quantile_cont(ca, 0.95) AS qa, quantile_cont(cv, 0.95) AS qv, quantile_cont(ci, 0.95) AS qi FROM clip""")
 _item("qual", """SELECT clip.*, ca / (qa + 1e-8) AS q_angle, cv / (qv + 1e-8) AS q_velo, ci / (qi + 1e-8) AS q_inv,
   ca / (qa + 1e-8) + cv / (qv + 1e-8) + ci / (qi + 1e-8) AS score FROM clip CROSS JOIN qs""")
@@ -355,6 +355,53 @@ _item("links", """SELECT unnest(ts) AS target, unnest(ss) AS source FROM (SELECT
 _item("climb", """SELECT source, target FROM links
   UNION ALL SELECT c.node, l.target FROM climb c JOIN links l ON l.source = c.root""", "(node, root)")
 
+def _cand(ends: str, dt: str, dist2: str) -> str:
+    return f"""SELECT a.cluster_id AS target, b.cluster_id AS source FROM {ends} a JOIN {ends} b
+      ON a.cluster_id <> b.cluster_id AND abs(a.ts - b.te) > 0 AND abs(a.ts - b.te) <= {dt}
+      AND (a.xs - b.xe) ** 2 + (a.ys - b.ye) ** 2 <= {dist2}"""
+
+
+# --- detection: a run, repaired, filtered, repaired again
+def _repair(x: str, src: str) -> None:
+    """Items {x}roots (cluster_id, root) of the clusters that move and {x}clu, the events of ``src`` after the move."""
+    _item(f"{x}span", f"SELECT cluster_id, min(t) AS ts, max(t) AS te FROM {src} GROUP BY cluster_id")
+    _item(f"{x}ends", f"""SELECT cluster_id, ts, te, median(x) FILTER (t < ts + {DT}) AS xs, median(y) FILTER (t < ts + {DT}) AS ys,
+        median(x) FILTER (t > te - {DT}) AS xe, median(y) FILTER (t > te - {DT}) AS ye
+      FROM {src} JOIN {x}span USING (cluster_id) GROUP BY cluster_id, ts, te""")
+    _item(f"{x}pairs", _cand(f"{x}ends", DT, "25"))
+    _item(f"{x}cands", f"SELECT *, row_number() OVER (ORDER BY target, source) AS i FROM {x}pairs")
+    _item(f"{x}greedy", _ITEMS["greedy"].split(" AS (", 1)[1][:-1].replace("greedy", f"{x}greedy").replace("cands", f"{x}cands"), "(i, ts, ss)")
+    _item(f"{x}links", f"SELECT unnest(ts) AS target, unnest(ss) AS source FROM (SELECT * FROM {x}greedy ORDER BY i DESC LIMIT 1)")
+    _item(f"{x}climb", f"""SELECT source, target FROM {x}links
+      UNION SELECT c.node, l.target FROM {x}climb c JOIN {x}links l ON l.source = c.root""", "(node, root)")
+    # a ring of clusters stays with its smallest member
+    _item(f"{x}roots", f"""SELECT node AS cluster_id, coalesce(min(root) FILTER (root NOT IN (SELECT source FROM {x}links)), least(node, min(root))) AS root
+      FROM {x}climb GROUP BY node""")
+    _item(f"{x}clu", f"SELECT * REPLACE (coalesce(root, cluster_id) AS cluster_id) FROM {src} LEFT JOIN {x}roots USING (cluster_id)")
+
+
+ONCE |= {f"{x}{n}" for x in ("pa_", "pb_") for n in ("pairs", "cands", "links", "roots", "clu")} | {"pfil"}
+_repair("pa_", "pclu")
+_item("pst", "SELECT coalesce(root, cluster_id) AS cluster_id, sum(n) AS steps FROM (SELECT cluster_id, count(DISTINCT k) AS n FROM pwc GROUP BY cluster_id) LEFT JOIN pa_roots USING (cluster_id) GROUP BY 1")
+_item("pfil", """SELECT cluster_id, k, event_idx, x, y, t FROM pa_clu WHERE cluster_id IN (SELECT cluster_id FROM pst WHERE steps >= 3)
+  AND cluster_id IN (SELECT cluster_id FROM pa_clu GROUP BY cluster_id HAVING count(*) >= 20)""")
+_repair("pb_", "pfil")
+
+
+def _again(prefix: str, base: str, names: list[str]) -> None:
+    """Items once more over other clusters: ``names``, with the prefix before each name and `tr` replaced by ``base``."""
+    for n in names:
+        body = re.sub(r"\b(" + "|".join(names) + r")\b(?!\s*\.\s*\()", prefix + r"\1", _ITEMS[n])
+        _ITEMS[f"{prefix}{n}"] = re.sub(r"\btr\b", base, body)
+        if n in ONCE:
+            ONCE.add(f"{prefix}{n}")
+
+
+_item("ptr", "SELECT event_idx, cluster_id, x, y, t FROM pb_clu")
+ONCE.add("ptr")
+_again("p_", "ptr", ["num", "span", "init", "kal_s", "kal_k", "kal", "kgrid_l", "kgrid_g", "kgrid", "kpts", "ksm_1", "ksm", "trk",
+                     "shape", "shp2", "meds", "mads", "zed", "clip", "qs", "qual", "checked"])
+
 _ROUND_S = "round(px, 6) AS px, round(vx, 3) AS vx, round(ax, 1) AS ax, round(py, 6) AS py, round(vy, 3) AS vy, round(ay, 1) AS ay"
 _ROUND_T = "round(x, 6) AS x, round(y, 6) AS y, round(u, 9) AS u, round(v, 9) AS v"
 _LIFE = """SELECT cluster_id, count(t) AS n, (max(t) - min(t)) / 1000 AS ms FROM {src} GROUP BY cluster_id HAVING count(t) >= 2"""
@@ -367,12 +414,6 @@ def _hist(src: str) -> str:
       FROM dur_{src}, (SELECT min(ms) AS lo, max(ms) AS hi FROM dur_{src})) ON b = i GROUP BY ALL"""
 
 
-def _cand(ends: str, dt: str, dist2: str) -> str:
-    return f"""SELECT a.cluster_id AS target, b.cluster_id AS source FROM {ends} a JOIN {ends} b
-      ON a.cluster_id <> b.cluster_id AND abs(a.ts - b.te) > 0 AND abs(a.ts - b.te) <= {dt}
-      AND (a.xs - b.xe) ** 2 + (a.ys - b.ye) ** 2 <= {dist2}"""
-
-
 FINAL: dict[str, str] = {
     # sources
     "cast_float32": "SELECT event_idx, CAST(CAST(t + 16777216 AS FLOAT) AS DOUBLE) AS t FROM ev",
@@ -476,6 +517,8 @@ FINAL: dict[str, str] = {
     "quantile_norm": "SELECT cluster_id, round(q_angle, 5) AS q_angle, round(q_velo, 5) AS q_velo, round(q_inv, 5) AS q_inv FROM qual",
     "quality_score": "SELECT cluster_id, round(score, 5) AS score FROM qual",
     "quality_filter": "SELECT cluster_id, seq, t FROM checked WHERE ok",
+    "detect_pixelwise": "SELECT cluster_id, k, event_idx, x, y, t FROM pb_clu",
+    "validated_tracks": f"""SELECT t, {_ROUND_T}, dense_rank() OVER (ORDER BY cluster_id) - 1 AS trackid FROM p_checked WHERE ok""",
     "track_pixelwise": "SELECT cluster_id, k, event_idx, x, y, t FROM pclu",
     "weighted_median": "SELECT cluster_id, seq, round(med_u, 9) AS med_u, round(med_v, 9) AS med_v FROM nb WHERE n_neighbors >= 3",
     "weighted_mad": "SELECT cluster_id, seq, round(mad_u, 9) AS mad_u, round(mad_v, 9) AS mad_v FROM nb WHERE n_neighbors >= 3",
