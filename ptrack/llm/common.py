@@ -128,11 +128,26 @@ def kept(name, make):
     """What a worker process remembers for one kind of task, e.g. hashes of words. Workers
     live on: a task of another kind makes them forget it, so that memory does not add up."""
     if name not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            released()
         _kept[name] = make()
     return _kept[name]
 
 
+def released() -> None:
+    """Hand freed memory back to the machine, where its C library can do so."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 

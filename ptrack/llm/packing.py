@@ -16,19 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ptrack.llm.common import parts, stored
-from ptrack.llm.tokens import encoder, slices
+from ptrack.llm.tokens import REMEMBERED, encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PLAN = "length int, first_rank long, ranks long, first_sequence long, offset int"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of doc_id, text (null: empty): a document with its end id is one piece if it
     fits, otherwise it is cut into pieces of the capacity, the first of them shorter."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
-        tok = encoder(vocabulary)
+        tok = encoder(vocabulary, remembered)
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts):
@@ -117,8 +117,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                          F.col("p.offset")).drop("bucket", "own", "before", "rank")
 
 
-def packed(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    pieces = stored(token_pieces(docs, vocabulary, end_id, capacity), "pieces")
+def packed(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs. `remembered`
+    bounds the memory of a worker, not the result."""
+    pieces = stored(token_pieces(docs, vocabulary, end_id, capacity, remembered), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
                                          "sequence_id", F.col("offset").cast("long").alias("offset"))

@@ -15,6 +15,7 @@ from ptrack.llm.common import kept
 # Characters that some engines count as blanks and others do not: such texts are encoded uncut.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 CONTROLS = re.compile("[\x1c-\x1f]")
+REMEMBERED = 500_000                 # chunks of a generation, about 150 bytes each
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
@@ -27,6 +28,12 @@ def grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each run of the given length."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Places(dict):
     """Chunk -> place; collects the chunks not met before."""
 
@@ -41,47 +48,63 @@ class Places(dict):
 
 
 class Encoder:
-    """Ids of many texts; keeps what it has learnt of up to LIMIT chunks."""
-
-    LIMIT = 500_000
+    """Ids of many texts. Remembers chunks in two generations of up to `limit` each: what is met
+    again moves from the older one to the younger, so frequent chunks stay and rare ones go."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = REMEMBERED):
+        self.limit = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # one thread for each task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True         # their strings in a text are ordinary text
         self.drops_blanks = self._ids(" a\n") == self._ids("a")
-        self._forget()
+        # a text that names a special token is encoded uncut, as such a token may reach over blanks
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.older: dict = {}
+        self.older_of = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self._renew()
 
     def _ids(self, text: str) -> list:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
+    def _renew(self) -> None:
         self.at = Places()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _turn(self) -> None:
+        self.older, self.older_of = self.at, (self.ids[:self.used].copy(), self.start, self.length)
+        self._renew()
+
+    def _add(self, places: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        self.ids = grown(self.ids, self.used + len(ids))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start[places] = self.used + np.cumsum(length) - length
+        self.length[places] = length
+        self.used += len(ids)
+
     def _learn(self) -> None:
-        """Encode the new chunks, each by itself but in one call."""
+        """Take new chunks over from the older generation, or encode them, each by itself but in one call."""
         new, self.at.new = self.at.new, []
         first = len(self.at) - len(new)
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, np.uint32)
-        length = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
-        self.ids = grown(self.ids, self.used + len(ids))
         self.start, self.length = grown(self.start, len(self.at)), grown(self.length, len(self.at))
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.start[first:len(self.at)] = self.used + np.cumsum(length) - length
-        self.length[first:len(self.at)] = length
-        self.used += len(ids)
+        old = np.fromiter((self.older.get(c, -1) for c in new), np.int64, len(new))
+        ids, start, length = self.older_of
+        kept_ = np.flatnonzero(old >= 0)
+        if len(kept_):
+            n = length[old[kept_]]
+            self._add(first + kept_, ids[_spread(start[old[kept_]], n)], n)
+        rest = np.flatnonzero(old < 0)
+        if len(rest):
+            found = self.tokenizer.encode([new[i] for i in rest.tolist()], is_pretokenized=True, add_special_tokens=False)
+            self._add(first + rest, np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(rest)))
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, number of ids of each text)"""
-        if len(self.at) > self.LIMIT or self.used > 8 * self.LIMIT:
-            self._forget()
+        if len(self.at) > self.limit or self.used > 8 * self.limit:
+            self._turn()
         flat, many = [], []
         for text in texts:
-            sure = text.isascii() and not CONTROLS.search(text) or not UNSURE.search(text)
+            sure = (text.isascii() and not CONTROLS.search(text) or not UNSURE.search(text)) and not any(m in text for m in self.marks)
             chunks = (text.split() if self.drops_blanks else CHUNK.findall(text)) if sure else [text]
             many.append(len(chunks))
             flat += chunks
@@ -90,15 +113,14 @@ class Encoder:
             self._learn()
         length = self.length[which]
         ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.start[which] - (ends - length), length) + np.arange(total)]
+        ids = self.ids[_spread(self.start[which], length)]
         at = np.concatenate([[0], np.cumsum(many, dtype=np.int64)]).astype(np.int64)
         return ids, np.diff(np.concatenate([[0], ends])[at])
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = REMEMBERED) -> Encoder:
     """The encoder of a worker process."""
-    return kept(("encoder", path), lambda: Encoder(path))
+    return kept(("encoder", path, limit), lambda: Encoder(path, limit))
 
 
 def slices(texts: list, chars: int = 2_000_000):

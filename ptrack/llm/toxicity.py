@@ -9,11 +9,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.llm.common import WordHashes, drop_file, kept, mix, read_file, shared_folder, stored, write_file
+from ptrack.llm.common import WordHashes, drop_file, kept, mix, read_file, released, shared_folder, stored, write_file
 from ptrack.llm.tokens import slices
 
 BITS = 21
@@ -63,7 +62,9 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"shard": [k % SHARDS for k in key], "key": key, "at": at, "label": b.column(2).cast(pa.float64())}, schema=schema)
 
     fields = "shard int, key long, at binary, label double"
-    examples = stored(labelled.select("doc_id", "text", "label").mapInArrow(featurise, fields).repartition(SHARDS, "shard"), "examples")
+    # rows of a shard in the order in which it learns them
+    examples = stored(labelled.select("doc_id", "text", "label").mapInArrow(featurise, fields).repartition(SHARDS, "shard")
+                      .sortWithinPartitions("shard", "key"), "examples")
     folder = shared_folder(spark, "toxicity-model")
     z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     for k in range(PASSES):
@@ -73,21 +74,24 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def one_pass(batches):
             from pyspark import TaskContext
             task = TaskContext.get()
-            # a shard is a part of the bounded sample
+            kept("toxicity-fit", dict)                       # lets go of what other tasks remember
             held: dict = {}
-            for rows in batches:
-                for shard, own in rows.groupby("shard"):
-                    held.setdefault(shard, []).append(own)
-            for shard, own in held.items():
-                own_z, own_n = np.frombuffer(read_file(state), np.float32).reshape(2, -1).astype(np.float64)
-                rows = pd.concat(own).sort_values("key")
-                learn(((np.frombuffer(x, np.int32), y) for x, y in zip(rows["at"], rows["label"])), own_z, own_n)
+            for b in batches:
+                shards = b.column(0).to_numpy()
+                for shard in np.unique(shards).tolist():
+                    if shard not in held:
+                        held[shard] = [x.astype(np.float64) for x in np.frombuffer(read_file(state), np.float32).reshape(2, -1)]
+                    at = np.flatnonzero(shards == shard).tolist()
+                    learn(((np.frombuffer(b.column(1)[i].as_buffer(), np.int32), b.column(2)[i].as_py()) for i in at), *held[shard])
+            for shard in list(held):
+                own_z, own_n = (x.astype(np.float32) for x in held.pop(shard))
                 uri = f"{state}-{task.partitionId()}-{shard}"
-                write_file(uri, [own_z.astype(np.float32).tobytes(), own_n.astype(np.float32).tobytes()], f"{task.taskAttemptId()}")
-                yield pd.DataFrame({"uri": [uri]})
+                write_file(uri, [own_z.data, own_n.data], f"{task.taskAttemptId()}")
+                yield pa.RecordBatch.from_pydict({"uri": [uri]})
+            released()
 
         # the states of the shards are averaged one by one
-        learnt = [r.uri for r in examples.mapInPandas(one_pass, "uri string").collect()]
+        learnt = [r.uri for r in examples.select("shard", "at", "label").mapInArrow(one_pass, "uri string").collect()]
         sums = np.zeros((2, 1 << BITS))
         for uri in learnt:
             sums += np.frombuffer(read_file(uri), np.float32).reshape(2, -1)

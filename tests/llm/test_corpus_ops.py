@@ -147,12 +147,18 @@ def test_simple8b_round_trip():
 def test_encoder_equals_library(name, rows):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     rng = random.Random(7)
     texts = [x[1] or "" for x in rows]
     texts += ["".join(rng.choice(" \n\t\r'sre.,!aB3é́\xa0\x1c Σß<|endoftext|>中") for _ in range(rng.randint(0, 50))) for _ in range(800)]
-    ids, per = Encoder(vocabulary(name)).encode(texts)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts += ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "so it ends.<|endoftext|>\n", " <|endoftext|>"]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for e in (Encoder(vocabulary(name)), Encoder(vocabulary(name), 40)):       # with a small memory chunks are forgotten again and again
+        got = []
+        for s in range(0, len(texts), 50):
+            ids, per = e.encode(texts[s:s + 50])
+            got += [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])]
+        assert got == want
+        assert Counter(e.encode(["", "a"])[1].tolist()) == Counter([0, 1])
 
 
 def test_token_files(spark, rows, odd, empty):
