@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ptrack.llm import mixing, packing, secrets, shingle_join, toxicity
 from ptrack.llm.common import stored, table
-from ptrack.llm.tokens import vocabulary
+from ptrack.llm.tokens import REMEMBERED, vocabulary
 from ptrack.session import ship_package
 
 
@@ -33,7 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    # workers have served four other stages by now: they remember half as many chunks
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, remembered=REMEMBERED // 2)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
