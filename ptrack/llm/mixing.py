@@ -23,8 +23,6 @@ TOLERANCE = 1e-3                      # of its goal, what a margin's sum may be
 STEP = 4                              # rounds between two looks at that
 AHEAD = 1.7                           # power of the factors of all rounds of a step but the last
 IDLE = 3                              # looks without progress after which the goals count as out of reach
-ROUNDS = 6                            # of the DuckDB statement, as CAPS
-CAPS = 4
 NONE = "(none)"
 
 
@@ -183,34 +181,42 @@ def mix(docs: DataFrame, budget: float = 0.5, power: float = 0.5, seed: str = "m
 
 
 def oracle_sql(budget: float = 0.5, power: float = 0.5, seed: str = "mix") -> str:
-    """The rule before bounded raking in DuckDB: `ROUNDS` rounds without bounds, then rates cut at 1."""
+    """The same rule in DuckDB: goals, sweeps with their looks at the distance, rates. `tick` counts
+    the steps of the recursion: STEP rounds over all margins, then a look, and so on."""
     t = "'prose'"
     for name, marks in reversed(TOPICS):
         t = f"CASE WHEN {' OR '.join(f"contains(lower(text), '{m}')" for m in marks)} THEN '{name}' ELSE {t} END"
-    steps, at = [], "w0"
-    for k in range(ROUNDS):
-        for m in MARGINS:
-            nxt = f"w{k}_{m}"
-            steps.append(f"{nxt} AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, CASE WHEN sum(weight) OVER (PARTITION BY {m}) > 0 "
-                         f"THEN weight * t_{m} / sum(weight) OVER (PARTITION BY {m}) ELSE 0.0 END AS weight FROM {at})")
-            at = nxt
-    targets = ", ".join(f"tg_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS t_{m} FROM cells GROUP BY {m})" for m in MARGINS)
-    scales, s = [], "scale0"
-    for k in range(CAPS):
-        scales.append(f"scale{k + 1} AS MATERIALIZED (SELECT CASE WHEN free > 0 THEN ({budget} * total - capped) / free ELSE s END AS s, total FROM "
-                      f"(SELECT any_value({s}.s) AS s, any_value(total) AS total, sum(CASE WHEN factor * {s}.s >= 1 THEN tokens ELSE 0 END) AS capped, "
-                      f"sum(CASE WHEN factor * {s}.s >= 1 THEN 0.0 ELSE weight END) AS free FROM f, {s}))")
-        s = f"scale{k + 1}"
-    return f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {t} AS topic,
+    n = len(MARGINS)
+    turn = STEP * n + 1
+    names = ", ".join(MARGINS)
+    targets = ", ".join(f"tg_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS t FROM cells GROUP BY {m})" for m in MARGINS)
+    goals = ", ".join(f"""g_{m} AS MATERIALIZED (SELECT {m}, least(cap, max(x) OVER () * t) AS g FROM (SELECT {m}, cap, t, ((SELECT kept FROM aim)
+        - coalesce(sum(cap) OVER (ORDER BY cap / t, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(t) OVER (ORDER BY cap / t, {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x
+      FROM (SELECT {m}, sum(tokens)::DOUBLE AS cap, any_value(t) AS t FROM w JOIN tg_{m} USING ({m}) GROUP BY {m})))""" for m in MARGINS)
+    pick = lambda what: f"CASE (tick % {turn}) % {n} " + " ".join(f"WHEN {i} THEN {what.format(m=m)}" for i, m in enumerate(MARGINS)) + " END"
+    off = ", ".join(f"CASE WHEN g_{m} > 0 THEN abs(sum(least(bound, free)) OVER (PARTITION BY {m}) - g_{m}) / g_{m} ELSE 0 END" for m in MARGINS)
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {t} AS topic,
   len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS n_tokens FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)),
-cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL), {targets},
-w0 AS MATERIALIZED (SELECT cells.*, t_source, t_lang, t_topic, tokens::DOUBLE AS weight FROM cells JOIN tg_source USING (source) JOIN tg_lang USING (lang) JOIN tg_topic USING (topic)),
-{", ".join(steps)},
-f AS MATERIALIZED (SELECT source, lang, topic, tokens, weight / sum(weight) OVER () AS weight, CASE WHEN tokens > 0 THEN weight / sum(weight) OVER () / tokens ELSE 0.0 END AS factor FROM {at}),
-scale0 AS (SELECT {budget} * sum(tokens) AS s, sum(tokens) AS total FROM f), {", ".join(scales)},
-r AS (SELECT source, lang, topic, least(1.0, factor * s) AS rate FROM f, {s})
-SELECT doc_id, source, lang, topic, n_tokens, round(rate, 9) AS rate,
-  ('0x' || substr(md5('{seed}' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < rate AS sampled FROM d JOIN r USING (source, lang, topic)"""
+cells AS MATERIALIZED (SELECT {names}, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL), {targets},
+w AS MATERIALIZED (SELECT * FROM cells WHERE tokens > 0),
+aim AS MATERIALIZED (SELECT least({budget} * sum(tokens), sum(tokens))::DOUBLE AS kept FROM w), {goals},
+start AS MATERIALIZED (SELECT {names}, tokens::DOUBLE AS bound, {", ".join(f"g_{m}.g AS g_{m}" for m in MARGINS)} FROM w {" ".join(f"JOIN g_{m} USING ({m})" for m in MARGINS)}),
+rake(tick, {names}, bound, free, {", ".join(f"g_{m}" for m in MARGINS)}, best, idle, ended) AS (
+  SELECT 0, {names}, bound, bound, {", ".join(f"g_{m}" for m in MARGINS)}, 'inf'::DOUBLE, 0, false FROM start
+  UNION ALL
+  SELECT tick + 1, {names}, bound, CASE WHEN look THEN free WHEN free > 0 THEN free * pow(max(x) OVER (PARTITION BY own), ahead) ELSE 0 END,
+    {", ".join(f"g_{m}" for m in MARGINS)}, CASE WHEN look THEN least(best, miss) ELSE best END,
+    CASE WHEN NOT look THEN idle WHEN miss < 0.98 * best THEN 0 ELSE idle + 1 END,
+    look AND (miss <= {TOLERANCE} OR (NOT miss < 0.98 * best AND idle + 1 = {IDLE})) FROM (
+    SELECT *, CASE WHEN free > 0 THEN (goal - coalesce(sum(bound) OVER (PARTITION BY own ORDER BY full_at NULLS LAST, {names} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(free) OVER (PARTITION BY own ORDER BY full_at NULLS LAST, {names} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS x,
+      CASE WHEN best < 'inf'::DOUBLE AND (tick % {turn}) // {n} < {STEP - 1} THEN {AHEAD} ELSE 1.0 END AS ahead, max(far) OVER () AS miss FROM (
+      SELECT *, tick % {turn} = {turn - 1} AS look, {pick("{m}")} AS own, {pick("g_{m}")} AS goal, CASE WHEN free > 0 THEN bound / free END AS full_at,
+        greatest({off}) AS far FROM rake WHERE NOT ended))),
+r AS (SELECT {names}, least(1.0, free / bound) AS rate FROM rake WHERE ended UNION ALL SELECT {names}, 0.0 FROM cells WHERE tokens = 0)
+SELECT doc_id, {names}, n_tokens, round(rate, 9) AS rate,
+  ('0x' || substr(md5('{seed}' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < rate AS sampled FROM d JOIN r USING ({names})"""
 
 
 def sampled(docs: DataFrame, budget: float = 0.5, power: float = 0.5, seed: str = "mix") -> DataFrame:
