@@ -54,7 +54,7 @@ def secrets() -> str:
     counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(STRONG))
     return f"""WITH d AS MATERIALIZED (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
   p AS MATERIALIZED ({found}),
-  kept AS (SELECT * FROM p WHERE kind < {len(STRONG)} OR EXISTS (SELECT 1 FROM p q WHERE q.id = p.id AND abs(q.s - p.s) <= {SCOPE} AND ({needs}))),
+  kept AS (SELECT * FROM p WHERE kind < {len(STRONG)} OR EXISTS (SELECT 1 FROM p q WHERE q.id = p.id AND greatest(q.s, p.s) - least(q.e, p.e) <= {SCOPE} AND ({needs}))),
   per AS (SELECT id, {counts}, string_agg({text}, ',' ORDER BY s, kind, e) FILTER (kind < {len(STRONG)}) AS base,
     string_agg({text}, ',' ORDER BY s, kind, e) AS spans FROM kept GROUP BY id)
   SELECT d.id AS doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in STRONG)}, sha256(coalesce(base, '')) AS base_sha256,
