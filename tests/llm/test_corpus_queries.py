@@ -8,7 +8,7 @@ from ptrack.llm.common import stored, table
 from ptrack.llm.queries import ORACLE
 
 NAMES = ["op1_vector_dedup", "op2_token_files", "op3_mix_sources", "op4_language_model", "op5_toxicity", "op6_licence_scan", "op7_secret_scan",
-         "op8_shingle_join", "op9_best_fit_packing", "op10_simhash", "pipeline"]
+         "op8_shingle_join", "op9_best_fit_packing", "op10_simhash", "op11_centroid_clusters", "op12_rendezvous_shards", "op13_importance_resampling", "pipeline"]
 
 
 def test_registered():
