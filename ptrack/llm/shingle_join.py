@@ -10,6 +10,10 @@ sets of equal prefix and size are one group, group pairs pass the size and the p
 filter, and members are verified on their shared shingles. As classes are asked for, pairs
 that are linked by others already are not verified again.
 
+Rows are the nodes, not ids: rows that share a doc_id with different texts have sets and
+links of their own. A row's key is its place (partition, batch, place in the batch), given
+once when its text is read.
+
 Shingles are 48 bits of a 64-bit hash: two different ones of a pair of documents of a
 thousand shingles fall together with a chance of 4e-9."""
 from __future__ import annotations
@@ -22,6 +26,8 @@ from ptrack.llm.common import WordHashes, components, kept, mix, pack, pack_sort
 
 BATCH_SHINGLES = 1_500_000
 BATCH_DOCS = 60_000
+DOC_BITS = 16                         # of a row's key: its place in the batch, BATCH_DOCS at most
+BATCH_BITS = 26                       # of a row's key: the batch in its partition
 BITS = 48
 PARTS = 4                             # parts of the index for each shuffle partition
 ROWS = "kind int, home long, key long, a binary, b binary, c binary"
@@ -47,8 +53,9 @@ def _rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r)) for r in rows], schema=SCHEMA)
 
 
-def _send(home: int, ids: list, sets: list, n_parts: int):
-    """Rows of a batch: its documents, the shingles that several of them share, and the index."""
+def _send(home: int, ids: list, texts: list, sets: list, n_parts: int):
+    """Rows of a batch: its documents with the hashes of their texts, the shingles that several
+    of them share, and the index."""
     sizes = np.array([len(s) for s in sets], np.int64)
     slot = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     doc = np.repeat(np.arange(len(sets)), sizes)
@@ -57,7 +64,7 @@ def _send(home: int, ids: list, sets: list, n_parts: int):
     start = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
     many = np.diff(np.append(start, len(slot)))
     together = np.repeat(many > 1, many)
-    yield _rows([(DOCS, home, home, pack(np.array(ids, np.int64).view(np.uint64)), pack(sizes.astype(np.uint64)), None),
+    yield _rows([(DOCS, home, home, pack(np.array(ids, np.int64).view(np.uint64)), pack(sizes.astype(np.uint64)), pack(np.array(texts, np.int64).view(np.uint64))),
                  (TOGETHER, home, home, pack_sorted(slot[together]), pack(doc[together]), None)])
     slot, who = slot[start], np.where(many > 1, 0, doc[start] + 1)
     width = (1 << BITS) // n_parts + 1
@@ -77,19 +84,20 @@ def _send(home: int, ids: list, sets: list, n_parts: int):
 def _forward(shingle_words: int, n_parts: int):
     def run(batches):
         from pyspark import TaskContext
-        home = TaskContext.get().partitionId() << 32
-        ids, sets, size = [], [], 0
+        home = TaskContext.get().partitionId() << BATCH_BITS
+        ids, texts, sets, size = [], [], [], 0
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, text, h in zip(*[b.column(k).to_pylist() for k in range(3)]):
                 s = shingles(text, shingle_words)
                 ids.append(i)
+                texts.append(h)
                 sets.append(s)
                 size += len(s)
                 if size >= BATCH_SHINGLES or len(ids) >= BATCH_DOCS:
-                    yield from _send(home, ids, sets, n_parts)
-                    home, ids, sets, size = home + 1, [], [], 0
+                    yield from _send(home, ids, texts, sets, n_parts)
+                    home, ids, texts, sets, size = home + 1, [], [], [], 0
         if ids:
-            yield from _send(home, ids, sets, n_parts)
+            yield from _send(home, ids, texts, sets, n_parts)
     return run
 
 
@@ -126,7 +134,7 @@ def _count(batches):
 
 
 def _home(percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("same", pa.binary()),
+    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("same", pa.binary()),
                         ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -136,8 +144,9 @@ def _home(percent: int):
             for kind, home, _, a, x, c in zip(*[b.column(i).to_pylist() for i in range(6)]):
                 homes.setdefault(home, []).append((kind, a, x, c))
         while homes:
-            _, rows = homes.popitem()
-            ids, sizes = next((unpack(r[1]).view(np.int64), unpack(r[2]).astype(np.int64)) for r in rows if r[0] == DOCS)
+            home, rows = homes.popitem()
+            ids, sizes, texts = next((unpack(r[1]).view(np.int64), unpack(r[2]).astype(np.int64), unpack(r[3]).view(np.int64)) for r in rows if r[0] == DOCS)
+            nodes = (home << DOC_BITS) + np.arange(len(ids))
             slot, who, df = [], [], []
             for kind, a, x, c in rows:
                 if kind == BACK:
@@ -166,55 +175,53 @@ def _home(percent: int):
                     same[i] = xxhash.xxh3_128_digest(shared[i].tobytes())
             for s in range(0, len(ids), 5000):
                 e = s + 5000
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e]), pa.array(sizes[s:e]), pa.array(shared_n[s:e]), pa.array(same[s:e], pa.binary()),
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[s:e]), pa.array(ids[s:e]), pa.array(texts[s:e]), pa.array(sizes[s:e]), pa.array(shared_n[s:e]), pa.array(same[s:e], pa.binary()),
                                                   pa.array(prefix[s:e], pa.list_(pa.int64())), pa.array(shared[s:e], pa.list_(pa.int64()))], schema=schema)
     return run
 
 
 def shared_sets(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, n_shared of every row; for those that may have a partner also
+    """node (a key of the row), doc_id, text_hash, n_shingles, n_shared of every row; for those that may have a partner also
     `same` (equal for equal sets), `prefix` (shared shingles of the prefix, rare ones
     first) and `shared` (all shared shingles, sorted)."""
     n = parts(docs.sparkSession) * PARTS
-    sent = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_forward(shingle_words, n), ROWS)
+    sent = docs.select("doc_id", "text", F.xxhash64("text")).where("doc_id is not null").mapInArrow(_forward(shingle_words, n), ROWS)
     back = sent.repartition(n, "key").mapInArrow(_count, ROWS)
     return stored(back.repartition(n, "home").mapInArrow(
-        _home(percent), "doc_id long, n_shingles long, n_shared long, same binary, prefix array<long>, shared array<long>"), "shared-sets")
+        _home(percent), "node long, doc_id long, text_hash long, n_shingles long, n_shared long, same binary, prefix array<long>, shared array<long>"), "shared-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets are similar enough."""
-    of = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shared").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}"))
+    """The pairs (a, b) of nodes whose sets are similar enough."""
+    of = lambda k: sets.select(F.col("node").alias(k), F.col("shared").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def _group_sets(groups: DataFrame, member: DataFrame, reps: DataFrame) -> DataFrame:
-    """doc_id (of the group), n_shingles, shared: all shared shingles of a group's members."""
-    one = reps.join(groups.where("members = 1").select(F.col("g").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "shared")
-    several = (groups.where("members > 1").select("g", F.col("n_shingles").alias("n")).join(member, "g").join(reps.select("doc_id", "shared"), "doc_id")
+    """node (of the group), n_shingles, shared: all shared shingles of a group's members."""
+    one = reps.join(groups.where("members = 1").select(F.col("g").alias("node")), "node", "left_semi").select("node", "n_shingles", "shared")
+    several = (groups.where("members > 1").select("g", F.col("n_shingles").alias("n")).join(member, "g").join(reps.select("node", "shared"), "node")
                .select("g", "n", F.explode("shared").alias("slot")).distinct())
     return one.unionByName(several.groupBy("g", "n").agg(F.collect_list("slot").alias("shared"))
-                           .select(F.col("g").alias("doc_id"), F.col("n").alias("n_shingles"), "shared"))
+                           .select(F.col("g").alias("node"), F.col("n").alias("n_shingles"), "shared"))
 
 
-def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row with a doc_id: the least doc_id reachable
-    by links. Texts link if 100 * common shingles >= percent * all shingles of both; a text
-    without words links with nothing. Rows that share a doc_id count as one node; rows without
-    one have n_shingles and component_id null."""
+def _classes(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles of every row with a doc_id, and `first`: the least (doc_id,
+    text_hash) of the rows that links reach, null where nothing links."""
     sets = shared_sets(docs, percent, shingle_words)
     able = sets.where("prefix is not null")
-    copies = able.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("b"))
-    copies = stored(able.where("same is not null").select("doc_id", "same").join(copies, "same").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "copies")
-    reps = stored(able.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]), "sets")
-    groups = stored(reps.groupBy("n_shingles", "n_shared", "prefix").agg(F.min("doc_id").alias("g"), F.count(F.lit(1)).alias("members")), "prefix-groups")
+    copies = able.where("same is not null").groupBy("same").agg(F.min("node").alias("b"))
+    copies = stored(able.where("same is not null").select("node", "same").join(copies, "same").where("node <> b").select(F.col("node").alias("a"), "b"), "copies")
+    reps = stored(able.join(copies.select(F.col("a").alias("node")), "node", "left_anti"), "sets")
+    groups = stored(reps.groupBy("n_shingles", "n_shared", "prefix").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("members")), "prefix-groups")
     listed = groups.select("g", F.col("n_shingles").alias("n"), "prefix", F.posexplode("prefix").alias("pos", "slot"))
     listed = listed.withColumn("before", F.get("prefix", F.col("pos") - 1)).drop("prefix")
     shared_n = groups.select("g", (F.col("n_shingles") - F.col("n_shared")).alias("alone"))
     listed = listed.join(shared_n, "g")
-    member = stored(reps.alias("r").join(groups.alias("g"), ["n_shingles", "n_shared", "prefix"]).select("doc_id", "g"), "members")
+    member = stored(reps.alias("r").join(groups.alias("g"), ["n_shingles", "n_shared", "prefix"]).select("node", "g"), "members")
 
     def may(a: str, b: str):
         """Size and position filter of two entries of one shingle's list."""
@@ -228,12 +235,12 @@ def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5)
     starred = (listed.alias("x").join(head.alias("h"), "slot").where((F.col("x.g") != F.col("h.g")) & may("x", "h"))
                .groupBy(F.col("x.g").alias("a"), F.col("h.g").alias("b")).agg(F.count(F.lit(1)).alias("k"))
                .groupBy("a").agg(F.max(F.struct("k", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b")))
-    inside = member.where("doc_id <> g").select(F.col("doc_id").alias("a"), F.col("g").alias("b"))
+    inside = member.where("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b"))
     near = stored(_verified(starred.unionByName(inside), reps, percent), "links").unionByName(copies)
     class_of = stored(components(near), "classes")
 
     # second pass: all other candidates whose members are in different classes
-    of_member = member.join(class_of, member.doc_id == class_of.node, "left").select("doc_id", "g", F.coalesce("component", "doc_id").alias("c"))
+    of_member = member.join(class_of, "node", "left").select("node", "g", F.coalesce("component", "node").alias("c"))
     of_member = stored(of_member, "member-classes")
     span = of_member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     entry = stored(listed.join(span, "g"), "prefix-index")
@@ -246,18 +253,37 @@ def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5)
     # group pairs: what all members of a group hold bounds what any two have in common
     met = stored(_verified(met, _group_sets(groups, member, reps), percent), "group-pairs").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
     met = met.unionByName(span.where("lo <> hi").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
-    of = lambda k: of_member.select(F.col("g").alias(f"g{k}"), F.col("doc_id").alias(k), F.col("c").alias(f"c{k}"))
+    of = lambda k: of_member.select(F.col("g").alias(f"g{k}"), F.col("node").alias(k), F.col("c").alias(f"c{k}"))
     rest = met.join(of("a"), "ga").join(of("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b")
     more = stored(_verified(rest, reps, percent), "links")
     found = components(class_of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    known = sets.join(found, sets.doc_id == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = stored(found.join(sets.select("node", "doc_id", "text_hash"), "node"), "linked")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    return sets.join(found.join(first, "component").select("node", "first"), "node", "left").select("doc_id", "text_hash", "n_shingles", "first")
+
+
+def similar_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the least doc_id reachable by links. Texts
+    link if 100 * common shingles >= percent * all shingles of both; a text without words links
+    with nothing. Rows that share a doc_id are linked by their texts only, like any others; rows
+    without a doc_id have n_shingles and component_id null."""
+    known = _classes(docs, percent, shingle_words).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
     none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return known.unionByName(none)
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
-    """docs without the rows whose class has a lower doc_id; rows without words or doc_id stay.
-    Rows that share a doc_id stay or go together."""
-    classes = similar_classes(docs.select("doc_id", "text"), percent, shingle_words)
-    gone = stored(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each class: that of the least doc_id, among rows of this id that of the
+    least hash of the text, and of rows alike in both any one. Rows without words or doc_id stay."""
+    rows = stored(_classes(docs.select("doc_id", "text"), percent, shingle_words).where("first is not null"), "class-rows")
+    mine = F.struct("doc_id", "text_hash") == F.col("first")
+    gone = stored(rows.where(~mine).select("doc_id", "text_hash").distinct(), "near-copies")
+    again = stored(rows.where(mine).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-rows")
+
+    def of(listed: DataFrame, how: str) -> DataFrame:
+        same = (F.col("d.doc_id") == F.col("l.doc_id")) & (F.xxhash64("d.text") == F.col("l.text_hash"))
+        return docs.alias("d").join(small(listed).alias("l"), same, how)
+
+    if again.isEmpty():
+        return of(gone, "left_anti")
+    return of(gone.unionByName(again), "left_anti").unionByName(of(again, "left_semi").dropDuplicates(["doc_id", "text"]))
