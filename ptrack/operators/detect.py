@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ptrack.functions.assign import assign
+from ptrack.functions.assign import assign_points
 from ptrack.functions.chains import node_id, slice_chains
 from ptrack.operators import cluster, raster, repair
 from ptrack.operators.blockfold import block_fold
@@ -110,7 +110,8 @@ def first_never_starts(nodes: DataFrame, link) -> DataFrame:
 def assign_slices(props: DataFrame, threshold: float, live: DataFrame | None = None) -> DataFrame:
     """Links (k, label, prev) of minimum total distance between neighbouring
     slices; pairs at ``threshold`` or more are dropped afterwards. One group holds
-    the centroids of two slices, fewer than the sensor has pixels."""
+    the centroids of two slices, fewer than the sensor has pixels, and near pairs of them
+    only, never all."""
     both = (props.select("k", "label", "xm", "ym", F.lit(1).alias("cur"))
             .unionByName((props if live is None else live).select((F.col("k") + 1).alias("k"), "label", "xm", "ym", F.lit(0).alias("cur"))))
 
@@ -120,11 +121,12 @@ def assign_slices(props: DataFrame, threshold: float, live: DataFrame | None = N
         prev = np.full(len(c), np.nan)
         dist = np.full(len(c), np.nan)
         if len(a) and len(c):
-            cost = np.hypot(a.xm.to_numpy()[:, None] - c.xm.to_numpy(), a.ym.to_numpy()[:, None] - c.ym.to_numpy())
-            r, s = assign(cost)
-            ok = cost[r, s] < threshold
+            old, new = a[["xm", "ym"]].to_numpy(), c[["xm", "ym"]].to_numpy()
+            r, s = assign_points(old, new)
+            far = np.hypot(*(old[r] - new[s]).T)
+            ok = far < threshold
             prev[s[ok]] = a.label.to_numpy()[r[ok]]
-            dist[s[ok]] = cost[r, s][ok]
+            dist[s[ok]] = far[ok]
         return pd.DataFrame({"k": c.k.to_numpy(), "label": c.label.to_numpy(),
                              "prev": pd.array(prev, dtype="Float64").astype("Int64"), "dist": dist})
 

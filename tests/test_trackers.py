@@ -9,8 +9,8 @@ from helpers import blobs, flood, partition, to_spark
 from ptrack import Params
 from ptrack.fixtures import pixel_events
 from ptrack.functions import pixels as px
-from ptrack.functions.assign import assign
-from ptrack.operators import detect, filters, raster
+from ptrack.functions.assign import assign_points
+from ptrack.operators import cluster, detect, filters, raster
 from ptrack.operators.blockfold import block_fold
 from ptrack.operators.kdtree import RadiusTracker
 from ptrack.operators.pixelwise import PixelwiseTracker
@@ -212,15 +212,97 @@ def test_dbscan(spark, compat):
     assert run(spark, e, p) == simulate_dbscan(e, p)
 
 
+def cheapest(cost):
+    """Columns of the rows in the cheapest assignment, by trying all (rows <= columns)."""
+    return min(permutations(range(cost.shape[1]), cost.shape[0]), key=lambda q: sum(cost[i, k] for i, k in enumerate(q)))
+
+
+def distances(a, b):
+    return np.hypot(a[:, None, 0] - b[:, 0], a[:, None, 1] - b[:, 1])
+
+
 def test_assignment_is_optimal():
     r = np.random.default_rng(0)
-    for n, m in ((1, 4), (4, 4), (6, 4), (5, 7)):
-        c = r.random((n, m))
-        rows, cols = assign(c)
-        small, big = min(n, m), max(n, m)
-        a = c if n <= m else c.T
-        best = min(sum(a[i, q[i]] for i in range(small)) for q in permutations(range(big), small))
-        assert len(rows) == small and np.isclose(c[rows, cols].sum(), best)
+    for n, m in ((0, 3), (3, 0), (1, 4), (4, 4), (6, 4), (5, 7)):
+        a, b = r.random((n, 2)), r.random((m, 2))
+        rows, cols = assign_points(a, b)
+        c = distances(a, b) if n <= m else distances(b, a)
+        assert len(rows) == len(set(cols.tolist())) == min(n, m) and (np.diff(rows) > 0).all()
+        assert np.isclose(distances(a, b)[rows, cols].sum(), sum(c[i, k] for i, k in enumerate(cheapest(c))))
+
+
+@pytest.mark.parametrize("kind", ["even", "crowd", "grid", "moved"])
+@pytest.mark.parametrize("n,m", [(90, 90), (60, 90), (90, 60)])
+def test_assignment_has_no_cheaper_cycle(n, m, kind):
+    """An assignment is the cheapest if no cycle of exchanges makes it cheaper; places
+    without a partner get one of cost 0."""
+    r = np.random.default_rng(n + m)
+    a, b = r.random((n, 2)) * 100, r.random((m, 2)) * 100
+    if kind == "crowd":
+        a *= 0.05                                   # all want the same few
+    elif kind == "grid":
+        a, b = np.round(a / 12), np.round(b / 12)   # equal distances and repeated points
+    elif kind == "moved":
+        k = min(n, m)
+        a[:k] = b[:k] + r.normal(size=(k, 2))
+    rows, cols = assign_points(a, b)
+    c = distances(a, b)
+    if n > m:
+        c, rows, cols = c.T, cols, rows
+    size = c.shape[1]
+    c = np.vstack([c, np.zeros((size - len(c), size))])
+    of = np.full(size, -1)
+    of[rows] = cols
+    of[of < 0] = np.setdiff1d(np.arange(size), cols)
+    change = c[:, of] - c[np.arange(size), of][:, None]     # row i takes the place of row j
+    for k in range(size):
+        change = np.minimum(change, change[:, k:k + 1] + change[k:k + 1])
+    assert change.diagonal().min() > -1e-9
+
+
+def test_assignment_of_many_points():
+    """Ten thousand points that moved a little: their own partners are far nearer than others."""
+    grid = np.stack(np.meshgrid(np.arange(100.0), np.arange(100.0)), -1).reshape(-1, 2) * 10
+    order = np.random.default_rng(4).permutation(len(grid))
+    rows, cols = assign_points(grid, grid[order] + 1.5)
+    assert (order[cols] == rows).all()
+
+
+def place(x, y):
+    return round(x * 1e6) * 10 ** 10 + round(y * 1e6)
+
+
+def simulate_centres(props, threshold):
+    """Slice by slice: cheapest pairs of the centres before and the centres now, far ones undone."""
+    live, out, born = [], [], 0
+    for k in range(props.k.max() + 1):
+        now = props[props.k == k][["xm", "ym"]].to_numpy()
+        ids = [-1] * len(now)
+        if len(live) and len(now):
+            c = distances(np.array([x for _, x in live]), now)
+            pairs = list(enumerate(cheapest(c))) if len(live) <= len(now) else [(i, j) for j, i in enumerate(cheapest(c.T))]
+            for i, j in pairs:
+                if c[i, j] < threshold:
+                    ids[j] = live[i][0]
+        for j, i in enumerate(ids):
+            if i < 0:
+                ids[j], born = born, born + 1
+        live = list(zip(ids, now))
+        out += [(i, k, place(*xy)) for i, xy in live]
+    return partition(out)
+
+
+def test_pseudoframe(spark):
+    e = blobs(8, particles=6, slices=10, per=14, noise=5)
+    p = Params(dt=DT, method="pseudoframe", block_slices=3)
+    ev = to_spark(spark, e)
+    sl = slice_events(ev, p.dt, bounds=time_bounds(ev))
+    _, props = cluster.frame_centroids(raster.pseudo_frame(sl), p.filter_size, p.area)
+    props = props.toPandas()
+    assert props.groupby("k").size().max() > 2
+    got = detect.run_once(ev, p, time_bounds(ev)).centers.collect()
+    assert partition((r.cluster_id, r.k, place(r.xm, r.ym)) for r in got) == simulate_centres(props, p.threshold)
+    assert all(np.isclose(r.tm, e.t.min() + (r.k + 0.5) * DT) for r in got)
 
 
 def test_post_filter_and_second_run(spark):
