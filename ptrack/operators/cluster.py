@@ -12,6 +12,7 @@ from ptrack.functions import pixels as px
 from ptrack.functions.pixels import disc
 from ptrack.operators.filters import on_sensor
 from ptrack.operators.raster import disc_filter, otsu, scatter
+from ptrack.params import SENSOR
 from ptrack.session import cut_lineage, grouped
 
 
@@ -72,10 +73,10 @@ def cluster_medians(sl: DataFrame, labels: DataFrame) -> DataFrame:
                  F.percentile("t", 0.5).alias("tm"), F.count(F.lit(1)).alias("events")))
 
 
-def smooth_frame(frame: DataFrame, radius: int) -> DataFrame:
+def smooth_frame(frame: DataFrame, radius: int, sensor: tuple = SENSOR) -> DataFrame:
     """Pixels above Otsu's threshold of the disc-filtered frame."""
-    s = disc_filter(cut_lineage(frame), radius)
-    return s.join(otsu(s), "k").where(F.col("v") > F.col("threshold")).select("k", "x", "y")
+    s = disc_filter(cut_lineage(frame), radius, sensor)
+    return s.join(otsu(s, sensor=sensor), "k").where(F.col("v") > F.col("threshold")).select("k", "x", "y")
 
 
 def region_props(labels: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def region_props(labels: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("area"), F.avg("x").alias("xm"), F.avg("y").alias("ym"))
 
 
-def frame_centroids(frame: DataFrame, radius: int = 3, area: int = 5):
+def frame_centroids(frame: DataFrame, radius: int = 3, area: int = 5, sensor: tuple = SENSOR):
     """Pseudo-frame detection: (labels, props) of regions with more than ``area`` pixels."""
-    labels = label_regions(smooth_frame(on_sensor(frame), radius), connectivity=8)
+    labels = label_regions(smooth_frame(on_sensor(frame, sensor), radius, sensor), connectivity=8)
     return labels, region_props(labels).where(F.col("area") > area)

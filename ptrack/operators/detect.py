@@ -135,8 +135,9 @@ def assign_slices(props: DataFrame, threshold: float, live: DataFrame | None = N
 
 def pseudoframe(ev: DataFrame, p: Params, b: Column) -> Detection:
     """All centroids of slice k-1 are live, so the assignment needs two slices."""
+    sensor = p.sensor_x, p.sensor_y
     sl = slice_events(ev, p.dt, bounds=b)
-    labels, props = cluster.frame_centroids(raster.pseudo_frame(sl), p.filter_size, p.area)
+    labels, props = cluster.frame_centroids(raster.pseudo_frame(sl, sensor), p.filter_size, p.area, sensor)
     labels, props = cut_lineage(labels), cut_lineage(props)
     links = assign_slices(props, p.threshold)
     if p.compat_offbyone:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ptrack.params import SENSOR_X, SENSOR_Y
+from ptrack.params import SENSOR
 
 
 def _range(col: str, a, b) -> Column:
@@ -30,8 +30,8 @@ def positive(ev: DataFrame) -> DataFrame:
     return ev.where(F.col("p") > 0) if "p" in ev.columns else ev
 
 
-def on_sensor(ev: DataFrame) -> DataFrame:
-    return ev.where(F.col("x").between(0, SENSOR_X - 1) & F.col("y").between(0, SENSOR_Y - 1))
+def on_sensor(ev: DataFrame, sensor: tuple = SENSOR) -> DataFrame:
+    return ev.where(F.col("x").between(0, sensor[0] - 1) & F.col("y").between(0, sensor[1] - 1))
 
 
 def finite(df: DataFrame, *cols: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ptrack.functions.pixels import STRIDE, disc
 from ptrack.operators.filters import on_sensor
-from ptrack.params import SENSOR_X, SENSOR_Y
+from ptrack.params import SENSOR
 from ptrack.session import cut_lineage
 
 
@@ -27,9 +27,9 @@ def pixel_counts(sl: DataFrame) -> DataFrame:
                     F.col("_f.event_idx").alias("first_idx")))
 
 
-def pseudo_frame(sl: DataFrame) -> DataFrame:
-    """Lit pixels of each slice."""
-    return on_sensor(sl).select("k", "x", "y").distinct()
+def pseudo_frame(sl: DataFrame, sensor: tuple = SENSOR) -> DataFrame:
+    """Lit pixels of each slice: an image of the sensor, without events beyond it."""
+    return on_sensor(sl, sensor).select("k", "x", "y").distinct()
 
 
 def scatter(px: DataFrame, offsets, *cols: str) -> DataFrame:
@@ -47,7 +47,7 @@ def dilate(px: DataFrame, size: int) -> DataFrame:
     return on_sensor(scatter(px, off)).distinct()
 
 
-def disc_filter(px: DataFrame, radius: int = 3) -> DataFrame:
+def disc_filter(px: DataFrame, radius: int = 3, sensor: tuple = SENSOR) -> DataFrame:
     """Mean of the binary frame over a disc, mirrored at the borders.
     Returns (k, x, y, hits, v) for pixels with a non-zero mean."""
     taps = disc(radius)
@@ -56,18 +56,18 @@ def disc_filter(px: DataFrame, radius: int = 3) -> DataFrame:
         v = F.col(c)
         return F.concat(F.array(v), F.when(v < radius, F.array(-v - 1)).otherwise(F.array().cast("array<int>")),
                         F.when(v >= size - radius, F.array(2 * size - 1 - v)).otherwise(F.array().cast("array<int>")))
-    mirrored = (px.select("k", F.explode(images("x", SENSOR_X)).alias("x"), "y")
-                .select("k", "x", F.explode(images("y", SENSOR_Y)).alias("y")))
-    return (on_sensor(scatter(mirrored, taps)).groupBy("k", "x", "y")
+    mirrored = (px.select("k", F.explode(images("x", sensor[0])).alias("x"), "y")
+                .select("k", "x", F.explode(images("y", sensor[1])).alias("y")))
+    return (on_sensor(scatter(mirrored, taps), sensor).groupBy("k", "x", "y")
             .agg(F.count(F.lit(1)).cast("int").alias("hits"))
             .withColumn("v", F.col("hits") / F.lit(float(len(taps)))))
 
 
-def otsu(smooth: DataFrame, bins: int = 256) -> DataFrame:
+def otsu(smooth: DataFrame, bins: int = 256, sensor: tuple = SENSOR) -> DataFrame:
     """(k, threshold): Otsu's threshold per slice over the whole frame, dark
     pixels included, from a histogram of ``bins`` equal bins between the
     frame's minimum and maximum; the threshold is a bin centre."""
-    total = SENSOR_X * SENSOR_Y
+    total = sensor[0] * sensor[1]
     # the mean takes at most 29 values for radius 3: count them in one pass, the rest is small
     h = cut_lineage(smooth.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
     span = h.groupBy("k").agg(F.sum("n").alias("lit"), F.min("v").alias("lo"), F.max("v").alias("hi"))

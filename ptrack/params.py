@@ -4,9 +4,10 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, fields, replace
 
-# Sensor size in pixels (x, y).
+# Default sensor size in pixels (x, y).
 SENSOR_X = 1280
 SENSOR_Y = 720
+SENSOR = (SENSOR_X, SENSOR_Y)
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,8 @@ class Params:
     threshold: float = 7.5
     area: int = 5
     filter_size: int = 3
+    sensor_x: int = SENSOR_X           # size of pseudo-frames
+    sensor_y: int = SENSOR_Y
     multirun: bool = False
     multi_factor: int = 2
     test_mode: bool = False            # one slice, one run, no filters

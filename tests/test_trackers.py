@@ -305,6 +305,17 @@ def test_pseudoframe(spark):
     assert all(np.isclose(r.tm, e.t.min() + (r.k + 0.5) * DT) for r in got)
 
 
+def test_pseudoframe_of_another_sensor(spark):
+    """The same scene beyond the default sensor, on one with as many pixels."""
+    e = blobs(8, particles=6, slices=6, per=14, noise=5)
+    e["x"] += 10                                # away from the border, which mirrors
+    p = Params(dt=DT, method="pseudoframe")
+    moved = e.assign(x=e.x + 1280)
+    here, far = [detect.run_once(ev, q, time_bounds(ev)) for ev, q in ((to_spark(spark, e), p), (to_spark(spark, moved), p.with_(sensor_x=2560, sensor_y=360)))]
+    got = [partition((r.cluster_id, r.k, place(r.xm - off, r.ym)) for r in d.centers.collect()) for d, off in ((here, 0), (far, 1280))]
+    assert got[0] == got[1] != []
+
+
 def test_post_filter_and_second_run(spark):
     e = blobs(6, particles=15)
     ev = to_spark(spark, e)
