@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.functions.smoothing import MOMENTS, CellSpline, choose_fit, smoothing_ladder
+from ptrack.functions.smoothing import BOX_MARGIN, MOMENTS, CellSpline, choose_fit, smoothing_ladder
 from ptrack.params import Params
 from ptrack.session import grouped
 
@@ -104,7 +104,8 @@ def fit_splines(samples: DataFrame, p: Params, points: DataFrame | None = None)
         s = ladder[0]
         try:
             if count(head) >= 4:
-                box = (int(head.x0.min()) - 100, int(head.x1.max()) + 100, int(head.y0.min()) - 100, int(head.y1.max()) + 100)
+                box = (int(head.x0.min()) - BOX_MARGIN, int(head.x1.max()) + BOX_MARGIN,
+                       int(head.y0.min()) - BOX_MARGIN, int(head.y1.max()) + BOX_MARGIN)
                 s = choose_fit(spline(head), pos, pts[["mx", "my"]].to_numpy(float), box, target, ladder)
             f = spline(c)
         except np.linalg.LinAlgError:

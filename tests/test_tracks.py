@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from ptrack import Params
-from ptrack.functions.smoothing import MOMENTS, CellSpline, smoothing_ladder
+from ptrack.functions.smoothing import BASIS, MOMENTS, CellSpline, smoothing_ladder
 from ptrack.operators import kalman, track
 
 DT = 2000.0
@@ -107,12 +107,112 @@ def test_spline_limits():
 
 
 def test_spline_with_many_cells():
-    t = np.arange(0.0, 3e6, 700.0)
-    x = 50 * np.sin(t / 2e5)
-    f = moments(t, x, x, DT)
-    assert f.q > 1
-    pos = np.linspace(5, 1400, 50)
-    assert np.abs(f.at(f.fit(1.0), pos)[:, 0] - 50 * np.sin(pos * DT / 2e5)).max() < 0.5
+    """One knot per cell however long the track: the residual sum is met on 5,000 cells."""
+    r = np.random.default_rng(8)
+    t = np.sort(r.uniform(0, 1e7, 25000))
+    x = 50 * np.sin(t / 2e4) + r.normal(0, 1, len(t))
+    f = moments(t, x, t / 5000, DT)
+    coef = f.fit(22000.0)
+    assert len(coef) == 5003
+    assert abs(((f.at(coef, t / DT)[:, 0] - x) ** 2).sum() - 22000) < 1
+    pos = np.linspace(5, 4990, 500)
+    assert np.abs(f.at(coef, pos)[:, 0] - 50 * np.sin(pos * DT / 2e4)).mean() < 0.5
+
+
+def plain_fit(t, x, s, m, g0, step):
+    """Coefficients from the samples themselves, as least squares over all rows at once."""
+    u = t / step - g0
+    c = np.clip(np.floor(u).astype(int), 0, m - 1)
+    A = np.zeros((len(t), m + 3))
+    A[np.arange(len(t))[:, None], c[:, None] + np.arange(4)] = np.vander(u - c, 4, increasing=True) @ BASIS.T
+    D = np.zeros((m - 1, m + 3))
+    for j in range(m - 1):
+        D[j, j:j + 5] = (1, -4, 6, -4, 1)
+    scale = (A ** 2).sum() / max((D ** 2).sum(), 1.0)
+    mean = x.mean()
+
+    def at(level):
+        rows = np.vstack([A, np.sqrt(scale * 10.0 ** level) * D])
+        coef = np.linalg.lstsq(rows, np.append(x - mean, np.zeros(m - 1)), rcond=None)[0]
+        return coef, ((A @ coef + mean - x) ** 2).sum()
+    lo, hi = -9.0, 9.0
+    if at(hi)[1] <= s:
+        return at(hi)[0], mean
+    if at(lo)[1] >= s:
+        return at(lo)[0], mean
+    for _ in range(45):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if at(mid)[1] > s else (mid, hi)
+    return at(lo)[0], mean
+
+
+@pytest.mark.parametrize("gap", [0, 12])
+def test_spline_equals_plain_least_squares(gap):
+    r = np.random.default_rng(9)
+    t = np.sort(r.uniform(0, 50 * DT, 700))
+    t = t[(t < 20 * DT) | (t > (20 + gap) * DT)]
+    x, y = 40 * np.sin(t / 9000) + r.normal(0, 1, len(t)), t / 700 + r.normal(0, 2, len(t))
+    f = moments(t, x, y, DT)
+    pos = np.linspace(0.5, 49.5, 60)
+    for s in (9e7, 5e4, 3e3, 900.0):
+        got = f.at(f.fit(s), pos)
+        for axis, v in enumerate((x, y)):
+            coef, mean = plain_fit(t, v, s, len(f.b) - 3, f.g0, DT)
+            u = np.floor(pos).astype(int) - f.g0
+            want = (np.vander(pos - np.floor(pos), 4, increasing=True) @ BASIS.T * coef[u[:, None] + np.arange(4)]).sum(axis=1)
+            assert np.abs(got[:, axis] - want - mean).max() < 1e-6
+
+
+def test_bspline_whole_result(spark, sf):
+    """Every track of sf0.001 against the plain fit, ladder walk included."""
+    from ptrack.plans.registry import QUERIES, P, clusters as found
+    ev = found(spark, sf).select("cluster_id", "t", "x", "y").toPandas()
+    got = QUERIES["bspline_fit"](spark, sf).toPandas()
+    step, rows = P.step, 0
+    for cid, e in ev.groupby("cluster_id"):
+        med = e.groupby("t")[["x", "y"]].median()
+        t, xy = med.index.to_numpy(float), med.to_numpy(float)
+        grid = np.arange(np.ceil(t[0] / step), np.ceil(t[-1] / step)) * step
+        mine = got[got.cluster_id == cid].sort_values("seq")
+        if not len(grid) or (t < grid[-1]).sum() < 3 or len(t) < 4:
+            assert not len(mine)
+            continue
+        near = [(t > g - P.dt / 2) & (t < g + P.dt / 2) for g in grid]
+        means = np.array([xy[n].mean(axis=0) if n[1:].any() else [np.nan] * 2 for n in near])
+
+        def values(tt, vv, s):
+            g0, m = int(tt[0] // step), int(tt[-1] // step) - int(tt[0] // step) + 1
+            u = grid / step - g0
+            c = np.clip(np.floor(u).astype(int), 0, m - 1)
+            tau = (u - c)[:, None]
+            place, slope = [], []
+            for axis in (0, 1):
+                coef, mean = plain_fit(tt, vv[:, axis], s, m, g0, step)
+                four = coef[c[:, None] + np.arange(4)]
+                place.append((np.hstack([tau ** 0, tau, tau ** 2, tau ** 3]) @ BASIS.T * four).sum(axis=1) + mean)
+                slope.append((np.hstack([0 * tau, tau ** 0, 2 * tau, 3 * tau ** 2]) @ BASIS.T * four).sum(axis=1) / step)
+            return np.array(place).T, np.array(slope).T
+        head = t < grid[-1]
+        take, rms, best = 9e7, 100.0, 100.0
+        if head.sum() >= 4 and np.isfinite(means).any():
+            lo, hi = xy[head].min(axis=0).astype(int) - 100, xy[head].max(axis=0).astype(int) + 100
+            for s in smoothing_ladder():
+                if rms <= P.target_rms:
+                    break
+                v, _ = values(t[head], xy[head], s)
+                rms = np.sqrt(np.nanmean(((means - v) ** 2).sum(axis=1)))
+                if (v < lo).any() or (v > hi).any():
+                    if s < 200:
+                        break
+                elif rms < 1.02 * best:
+                    take, best = s, rms
+                elif rms >= 1.15 * best and s < 200:
+                    break
+        v, w = values(t, xy, take)
+        assert np.allclose(mine.t, grid) and len(mine) == len(grid)
+        assert np.allclose(mine[["x", "y"]], v, atol=1e-5) and np.allclose(mine[["u", "v"]], w, atol=1e-8)
+        rows += len(grid)
+    assert rows
 
 
 @pytest.mark.parametrize("method", ["kalman", "bspline", "hybrid_xk_us", "hybrid_xk_uks", "hybrid_xks_uks"])
