@@ -45,20 +45,26 @@ def _from_claims(sl: DataFrame, claims: DataFrame) -> Detection:
     return Detection(ev, _centers(ev), steps)
 
 
+def _sliced(ev: DataFrame, p: Params, b: Column, overlap: float = 0.0) -> DataFrame:
+    """Slices of one recording, or of several with slice numbers of their own."""
+    sl = slice_events(ev, p.dt, overlap, b)
+    return sl.withColumn("k", (F.col("k") + F.col("rec.k0")).cast("int")) if "rec" in ev.columns else sl
+
+
 def pixelwise(ev: DataFrame, p: Params, b: Column, wide: bool = False) -> Detection:
-    sl = slice_events(ev, p.dt, p.overlap, b)
+    sl = _sliced(ev, p, b, p.overlap)
     return _from_claims(sl, block_fold(raster.pixel_counts(sl), lambda: PixelwiseTracker(p, wide), p))
 
 
 def kdtree(ev: DataFrame, p: Params, b: Column) -> Detection:
-    sl = slice_events(ev, p.dt, bounds=b)
+    sl = _sliced(ev, p, b)
     return _from_claims(sl, block_fold(raster.pixel_counts(sl), lambda: RadiusTracker(p), p))
 
 
 def dbscan(ev: DataFrame, p: Params, b: Column) -> Detection:
     """Every cluster of slice k-1 is a live track with its own median as centre, so
     matching needs two neighbouring slices only: a join, no running state."""
-    sl = slice_events(ev, p.dt, bounds=b)
+    sl = _sliced(ev, p, b)
     labels = cut_lineage(cluster.dbscan(raster.pixel_counts(sl), p.epsilon, p.min_pts).where("label >= 0"))
     if p.compat_offbyone:
         return _compat_dbscan(sl, labels, p)
@@ -73,12 +79,12 @@ def _compat_dbscan(sl: DataFrame, labels: DataFrame, p: Params) -> Detection:
     top = labels.groupBy("k").agg(F.max("label").alias("top"))
     labels = cut_lineage(labels.join(top, "k").where("label < top").drop("top"))
     meds = cut_lineage(cluster.cluster_medians(sl, labels)).withColumn("is0", F.col("label") == 0)
-    links = first_never_starts(meds, lambda live: match_slices(meds, p.threshold, live))
+    links = first_never_starts(meds, lambda live: match_slices(meds, p.threshold, live), p)
     chains = slice_chains(links, p.block_slices)
     return _from_claims(sl, labels.join(chains, ["k", "label"]).select("k", "x", "y", "n", "cluster_id"))
 
 
-def first_never_starts(nodes: DataFrame, link) -> DataFrame:
+def first_never_starts(nodes: DataFrame, link, p: Params = Params()) -> DataFrame:
     """Links when the cluster flagged is0 of a slice k > 0 may extend a track but
     not start one. Whether it lives depends on the is0 cluster of slice k-1
     alone: the two possible outcomes per slice are linked separately, and a
@@ -90,10 +96,10 @@ def first_never_starts(nodes: DataFrame, link) -> DataFrame:
     sw = (nodes.where("is0").select("k", "label").join(matched(yes, "a"), ["k", "label"])
           .join(matched(no, "b"), ["k", "label"]))
     w = Window.orderBy("k")
-    gap = (F.col("k") == 0) | F.coalesce(F.lag("k").over(w) != F.col("k") - 1, F.lit(True))
+    gap = p.first(F.col("k")) | F.coalesce(F.lag("k").over(w) != F.col("k") - 1, F.lit(True))
     sw = sw.withColumn("gap", gap)
     sw = (sw.withColumn("reset", F.col("gap") | (F.col("a") == F.col("b")))
-          .withColumn("value", F.when(F.col("k") == 0, True).otherwise(F.col("b")))
+          .withColumn("value", F.when(p.first(F.col("k")), True).otherwise(F.col("b")))
           .withColumn("flip", (~F.col("reset") & F.col("b")).cast("int"))
           .withColumn("run", F.sum(F.col("reset").cast("int")).over(w)))
     r = Window.partitionBy("run").orderBy("k")
@@ -136,17 +142,20 @@ def assign_slices(props: DataFrame, threshold: float, live: DataFrame | None = N
 def pseudoframe(ev: DataFrame, p: Params, b: Column) -> Detection:
     """All centroids of slice k-1 are live, so the assignment needs two slices."""
     sensor = p.sensor_x, p.sensor_y
-    sl = slice_events(ev, p.dt, bounds=b)
+    sl = _sliced(ev, p, b)
     labels, props = cluster.frame_centroids(raster.pseudo_frame(sl, sensor), p.filter_size, p.area, sensor)
     labels, props = cut_lineage(labels), cut_lineage(props)
     links = assign_slices(props, p.threshold)
     if p.compat_offbyone:
         low = props.groupBy("k").agg(F.min("label").alias("low"))
         marked = props.join(low, "k").withColumn("is0", F.col("label") == F.col("low"))
-        links = first_never_starts(marked, lambda live: assign_slices(props, p.threshold, live))
+        links = first_never_starts(marked, lambda live: assign_slices(props, p.threshold, live), p)
     chains = cut_lineage(slice_chains(links, p.block_slices))
-    centers = (props.join(chains, ["k", "label"])
-               .select("cluster_id", "k", "xm", "ym", (b["t0"] + p.dt / 2 + F.col("k") * p.dt).alias("tm")))
+    place, k = props, F.col("k")
+    if "rec" in ev.columns:
+        place, k = props.join(sl.select("k", "rec").distinct(), "k"), k - F.col("rec.k0")
+    centers = (place.join(chains, ["k", "label"])
+               .select("cluster_id", "k", "xm", "ym", (b["t0"] + p.dt / 2 + k * p.dt).alias("tm")))
     d = _from_claims(sl, labels.join(chains, ["k", "label"]).select("k", "x", "y", "cluster_id"))
     return Detection(d.clusters, cut_lineage(centers), d.steps)
 
@@ -198,8 +207,9 @@ def _cut(d: Detection) -> Detection:
 
 
 def residual(ev: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Events no cluster of the first run holds."""
-    return ev.join(clusters.select("event_idx"), "event_idx", "left_anti")
+    """Events no cluster of the first run holds. Numbers are those of a recording, times tell
+    recordings apart."""
+    return ev.join(clusters.select("event_idx", "t"), ["event_idx", "t"], "left_anti")
 
 
 def second_run(ev: DataFrame, d: Detection, p: Params, b: Column, repaired: bool = True) -> Detection:
@@ -210,7 +220,7 @@ def second_run(ev: DataFrame, d: Detection, p: Params, b: Column, repaired: bool
     rest = residual(ev, d.clusters)
     if p.compat_second_run:
         rest = rest.where(F.col("t") <= b["t0"] + F.floor(slice_count(b, p.dt) / f) * p2.dt)
-        b = ev.agg(F.struct(F.min("t").alias("t0"), (F.min("t") + F.floor(
+        b = F.struct(b["t0"].alias("t0"), (b["t0"] + F.floor(slice_count(b, p.dt) / f) * p2.dt).alias("t1")) if "rec" in ev.columns else ev.agg(F.struct(F.min("t").alias("t0"), (F.min("t") + F.floor(
             F.greatest(F.ceil((F.max("t") - F.min("t")) / p.dt), F.lit(1)) / f) * p2.dt).alias("t1")).alias("b")).scalar()
     found = _cut(run_once(rest, p2, b, wide=True))
     return repair_detection(found, p2, p2.dt) if repaired else found
@@ -231,7 +241,7 @@ def union_runs(second: Detection, first: Detection) -> Detection:
 def detect(ev: DataFrame, p: Params) -> Detection:
     """Full detection: first run, repair, filter, optional second run on the
     events left over with longer slices, union and a last repair."""
-    b = time_bounds(ev)
+    b = F.col("rec") if "rec" in ev.columns else time_bounds(ev)
     if p.test_mode:
         first = ev.where(F.col("t") <= b["t0"] + p.dt)
         return _cut(run_once(first, p, b))

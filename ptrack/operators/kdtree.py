@@ -42,7 +42,7 @@ class RadiusTracker(Tracker):
         top = lab.max(initial=-1) + 1
         spawn = np.arange(top)
         if self.p.compat_offbyone:
-            spawn = spawn[:-1] if s.k == 0 else spawn[1:]
+            spawn = spawn[:-1] if self.p.first(s.k) else spawn[1:]
         number = np.full(top + 1, -1)                                    # the last entry stands for noise
         number[spawn] = len(alive) + np.arange(len(spawn))
         new = number[lab] >= 0

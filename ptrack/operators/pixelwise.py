@@ -29,7 +29,7 @@ class PixelwiseTracker(Tracker):
         lit = px.dilate(s.code, size)
         dil = px.label(lit, px.HALF4)
         lab = dil[np.searchsorted(lit, s.code)]
-        if s.k == 0:
+        if self.p.first(s.k):
             keep = np.bincount(dil, minlength=1)[1:] >= self.p.min_pixels
         else:
             keep = np.bincount(lab, weights=s.n, minlength=1)[1:] >= self.p.min_pixels
@@ -55,7 +55,7 @@ class PixelwiseTracker(Tracker):
                     free[mine] = False
                 else:
                     self._split(s, order[cuts[l - 1]:cuts[l]], mine[np.argsort(self.key[mine])], free, at, who)
-        if s.k:
+        if not self.p.first(s.k):
             fresh &= np.bincount(lab, weights=s.n_in, minlength=len(keep) + 1)[1:] > self.p.spawn_min_events
         born = np.flatnonzero(fresh) + 1
         track[born] = len(self.own) + np.arange(len(born))
@@ -129,7 +129,7 @@ class PixelwiseTracker(Tracker):
         self.own, self.entry, self.key = own[live], entry[live], key[live]
         o = np.argsort(s.code[at])
         self.code, self.who = s.code[at][o], back[o]
-        self.w = np.ones(len(at), np.int64) if s.k == 0 else s.n[at][o]
+        self.w = np.ones(len(at), np.int64) if self.p.first(s.k) else s.n[at][o]
         return at, back
 
     def groups(self):

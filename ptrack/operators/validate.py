@@ -1,6 +1,7 @@
 """Track quality score, neighbourhood filter and their flags."""
 from __future__ import annotations
 
+from functools import reduce
 from math import pi
 
 import numpy as np
@@ -8,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ptrack.functions import robust
-from ptrack.functions.ordered import exact_quantiles, with_halo
+from ptrack.functions.ordered import exact_quantiles, quantiles_by, with_halo
 from ptrack.operators.slicing import half_open_bin
 from ptrack.params import Params
 from ptrack.session import cut_lineage, grouped
@@ -37,29 +38,42 @@ def inverse_path(path: Column, ref: float) -> Column:
     return 1.0 / (path / (ref + EPS) + EPS)
 
 
-def quality_terms(shape: DataFrame, q: float) -> tuple[DataFrame, dict]:
-    """Robust z of each measure, clipped at 0 and divided by its q-quantile, and
-    the constants used. ``shape`` must be materialised."""
-    m = exact_quantiles(shape, {"path": ("path", 0.5), "angle": ("angle", 0.5), "velo": ("velo", 0.5)})
-    d = shape.withColumn("inv", inverse_path(F.col("path"), m["path"] or 0.0))
-    m["inv"] = exact_quantiles(d, {"inv": ("inv", 0.5)})["inv"]
+def _with_quantiles(d: DataFrame, keys: list[str], wanted: dict) -> DataFrame:
+    """Rows with the quantiles of their keys' values as columns."""
+    if not keys:
+        m = exact_quantiles(d, wanted)
+        return d.select("*", *[F.lit(m[n]).cast("double").alias(n) for n in wanted])
+    m = quantiles_by(d, keys, wanted).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return d.join(m, same, "left").drop(*[f"_{k}" for k in keys])
+
+
+def quality_terms(shape: DataFrame, q: float, keys: list[str] = []) -> DataFrame:
+    """Robust z of each measure, clipped at 0 and divided by its q-quantile, over all
+    tracks or over those of each key. ``shape`` must be materialised."""
     names = ("angle", "velo", "inv")
-    dev = d.select("*", *[F.abs(F.col(c) - F.lit(m[c])).alias(f"dev_{c}") for c in names])
-    mad = exact_quantiles(dev, {c: (f"dev_{c}", 0.5) for c in names})
-    z = d.select("*", *[((F.col(c) - F.lit(m[c])) / (mad[c] + EPS)).alias(f"z_{c}") for c in names])
-    z = z.select("*", *[F.when(F.col(f"z_{c}").isNotNull(), F.greatest(F.col(f"z_{c}"), F.lit(0.0))).alias(f"c_{c}")
+    d = _with_quantiles(shape, keys, {"m_path": ("path", 0.5), "m_angle": ("angle", 0.5), "m_velo": ("velo", 0.5)})
+    d = d.withColumn("inv", inverse_path(F.col("path"), F.coalesce("m_path", F.lit(0.0))))
+    d = _with_quantiles(d, keys, {"m_inv": ("inv", 0.5)})
+    d = d.select("*", *[F.abs(F.col(c) - F.col(f"m_{c}")).alias(f"dev_{c}") for c in names])
+    d = _with_quantiles(d, keys, {f"mad_{c}": (f"dev_{c}", 0.5) for c in names})
+    d = d.select("*", *[((F.col(c) - F.col(f"m_{c}")) / (F.col(f"mad_{c}") + EPS)).alias(f"z_{c}") for c in names])
+    d = d.select("*", *[F.when(F.col(f"z_{c}").isNotNull(), F.greatest(F.col(f"z_{c}"), F.lit(0.0))).alias(f"c_{c}")
                         for c in names])
-    ref = exact_quantiles(z, {c: (f"c_{c}", q) for c in names})
-    out = z.select("*", *[(F.col(f"c_{c}") / (ref[c] + EPS)).alias(f"q_{c}") for c in names])
-    return out, {"median": m, "mad": mad, "quantile": ref}
+    d = _with_quantiles(d, keys, {f"ref_{c}": (f"c_{c}", q) for c in names})
+    return d.select("*", *[(F.col(f"c_{c}") / (F.col(f"ref_{c}") + EPS)).alias(f"q_{c}") for c in names])
 
 
-def quality(tracks: DataFrame, p: Params) -> DataFrame:
-    """(cluster_id, angle, velo, path, …, score, ok) per track."""
-    shape = cut_lineage(track_shape(tracks))
+def quality(tracks: DataFrame, p: Params, keys: list[str] = []) -> DataFrame:
+    """(cluster_id, angle, velo, path, …, score, ok) per track; with keys a track is
+    compared with those of the same recording only."""
+    shape = track_shape(tracks)
+    if keys:
+        shape = shape.join(tracks.select("cluster_id", *keys).distinct(), "cluster_id")
+    shape = cut_lineage(shape)
     if not shape.limit(1).count():
         return shape.withColumn("score", F.lit(None).cast("double")).withColumn("ok", F.lit(False))
-    t, _ = quality_terms(shape, p.quality_quantile)
+    t = quality_terms(shape, p.quality_quantile, keys)
     score = p.w_angle * F.col("q_angle") + p.w_velo * F.col("q_velo") + p.w_path * F.col("q_inv")
     return (t.withColumn("score", score)
             .withColumn("ok", F.coalesce(~F.isnan("score") & (F.col("score") <= p.quality_threshold), F.lit(False))))
@@ -139,11 +153,12 @@ def neighborhood(tracks: DataFrame, p: Params) -> DataFrame:
             .withColumn("keep", ~(F.col("comp_out") | F.col("dir_out"))))
 
 
-def validate(tracks: DataFrame, p: Params) -> DataFrame:
-    """Tracks with ``ok`` per point (and score, deviations of the filters in use)."""
+def validate(tracks: DataFrame, p: Params, keys: list[str] = []) -> DataFrame:
+    """Tracks with ``ok`` per point (and score, deviations of the filters in use); scores
+    are relative to the tracks of the same keys."""
     out, ok = tracks, F.lit(True)
     if p.quality_filter:
-        q = quality(tracks, p).select("cluster_id", "score", F.col("ok").alias("track_ok"))
+        q = quality(tracks, p, keys).select("cluster_id", "score", F.col("ok").alias("track_ok"))
         out, ok = out.join(q, "cluster_id"), ok & F.col("track_ok")
     if p.neighborhood_filter:
         nb = neighborhood(tracks, p).select("cluster_id", "seq", "comp_dev", "dir_dev", "keep")

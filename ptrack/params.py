@@ -33,6 +33,7 @@ class Params:
     compat_offbyone: bool = False      # first label of a slice never spawns
     compat_second_run: bool = False    # second run ends after slice count // factor
     compat_repair: bool = False        # repair links applied once, in target order
+    slice_stride: int = 0              # slice numbers of one recording; 0: there is one only
     # post filters
     spawn_min_events: int = 5
     min_steps: int = 3
@@ -72,6 +73,10 @@ class Params:
         """Distance of track points in µs."""
         return self.dt / self.resol
 
+    def first(self, k):
+        """Is k (a number or a column) the first slice of a recording?"""
+        return k % self.slice_stride == 0 if self.slice_stride else k == 0
+
     @property
     def structure(self) -> int:
         n = max(1, int(self.structure_size))

@@ -552,6 +552,21 @@ _interp("cgrid", "cser", ["x", "y"])
 FINAL["interp_grid"] = "SELECT cluster_id, g, t, round(x, 6) AS x, round(y, 6) AS y FROM cgrid"
 
 
+def _recordings() -> str:
+    """The statement of one run, once for the particles of even and once for those of odd numbers."""
+    all_events = "pos AS (SELECT * FROM ev WHERE p > 0)"
+    one = _sql(_plain_zero(FINAL["validated_tracks"]))
+    assert all_events in one
+    runs = [f"""SELECT '{name}' AS stream_id, * FROM ({one.replace(all_events,
+            f"pos AS (SELECT * REPLACE (x - {38 * odd} AS x) FROM ev WHERE p > 0 AND pid % 2 = {odd})")})"""
+            for odd, name in ((0, "a"), (1, "b"))]
+    return "\nUNION ALL\n".join(runs)
+
+
+def _plain_zero(sql: str) -> str:
+    """A term "+ 0" turns a rounded -0 into 0."""
+    return re.sub(r"round\((.+?), (\d+)\)", r"(round(\1, \2) + 0)", sql)
+
+
 def oracle_sql() -> dict[str, str]:
-    # "+ 0" turns a rounded -0 into 0
-    return {k: _sql(re.sub(r"round\((.+?), (\d+)\)", r"(round(\1, \2) + 0)", v)) for k, v in FINAL.items()}
+    return {**{k: _sql(_plain_zero(v)) for k, v in FINAL.items()}, "recordings_tracks": _recordings()}

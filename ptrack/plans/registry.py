@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ptrack.fixtures import pixel_events
-from ptrack.operators import (cluster, detect, filters, kalman, raster, repair, report, slicing, spatial, spline,
+from ptrack.operators import (cluster, detect, filters, kalman, raster, recordings, repair, report, slicing, spatial, spline,
                               track, validate)
 from ptrack.params import Params
 from ptrack.plans import pipeline
@@ -698,3 +698,13 @@ def cluster_raster(spark, d):
 def validated_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Pixelwise detection, Kalman tracks, quality filter, flat table."""
     return rnd(pipeline.run(cut_lineage(events(spark, d)), P.with_(quality_filter=True)).table, {"x": 6, "y": 6, "u": 9, "v": 9})
+
+
+@query
+def recordings_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Two recordings of the same pixels at the same times, tracked at once: particles of
+    even and of odd numbers, the latter moved onto their neighbours."""
+    odd = F.col("pid") % 2
+    ev = (events(spark, d).withColumn("stream_id", F.when(odd == 1, "b").otherwise("a"))
+          .withColumn("x", (F.col("x") - 38 * odd).cast("int")))
+    return rnd(recordings.run_recordings(cut_lineage(ev), P.with_(quality_filter=True)).table, {"x": 6, "y": 6, "u": 9, "v": 9})
