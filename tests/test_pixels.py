@@ -98,3 +98,40 @@ def test_medoid_ties_do_not_turn_with_the_number():
         cost = np.abs(angle_diff(a[:, None], a[None, :])) @ w
         assert circular_medoid(a, w) == a[np.argmin(np.round(cost, 10))]
     assert circular_medoid(np.array([0.5, 0.5 + 1e-14, -1.0, 2.0]), np.ones(4)) == 0.5
+
+
+def test_stencils_shuffle_lit_pixels_only(spark):
+    # copies of pixels used to be exploded before the shuffle, and the filtered frame could be broadcast
+    f = frame(spark, [(0, 0), (3, 4), (9, 9)])
+    counts = raster.pixel_counts(f.selectExpr("k", "x", "y", "0D t", "0L event_idx"))
+    for df in (raster.disc_filter(f), cluster.dbscan_core(counts, 4.0, 2), cluster.smooth_frame(f, 3)):
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_smoothed_pixels_are_above_the_threshold(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, int(x), int(y)) for k in (0, 1) for x, y in np.unique(r.integers(0, 15, (60, 2)), axis=0)] + [(2, None, 3)]
+    f = spark.createDataFrame(rows, "k int, x int, y int")
+    s = raster.disc_filter(f)
+    want = s.join(raster.otsu(s), "k").where("v > threshold").select("k", "x", "y")
+    got = cluster.smooth_frame(f, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.k for r in s.select("k").distinct().collect()} == {0, 1}
+
+
+def test_disc_hits_in_parts(monkeypatch):
+    r = np.random.default_rng(6)
+    x, y = r.integers(-2, 42, (2, 300))
+    whole = px.disc_hits(x, y, 3, (40, 30))
+    monkeypatch.setattr(px, "DISC_CELLS", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(px.disc_hits(x, y, 3, (40, 30)), whole))
+    assert [len(c) for c in px.disc_hits([], [], 3, (40, 30))] == [0, 0, 0]
+
+
+def test_core_counts_like_pairs(spark):
+    r = np.random.default_rng(7)
+    e = pd.DataFrame({"k": r.integers(0, 2, 300), "x": r.integers(0, 20, 300), "y": r.integers(0, 20, 300)})
+    counts = raster.pixel_counts(spark.createDataFrame(e.assign(t=0.0, event_idx=range(300))).selectExpr("cast(k as int) k", "x", "y", "t", "event_idx"))
+    for row in cluster.dbscan_core(counts, 2.5, 9).collect():
+        n = ((e.k == row.k) & ((e.x - row.x) ** 2 + (e.y - row.y) ** 2 <= 6.25)).sum()
+        assert (row.neighbours, row.core) == (n, n >= 9)
