@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ptrack import Params
 from ptrack.functions.ordered import quantiles_by
 from ptrack.operators import detect, recordings
+from ptrack.operators.validate import quality_terms
 
 # id, seed, start and length: starts off the slices and off the point grid
 FILMS = [("b", 3, 1037.0, 9), (None, 5, 0.0, 12)]
@@ -70,3 +71,11 @@ def test_quantiles_by_key(spark):
     for _, g in got.iterrows():
         rows = d[d.key == (g.key if isinstance(g.key, str) else "")]
         assert np.allclose([g.m, g.h, g.z], [rows.x.quantile(0.5), rows.x.quantile(0.95), rows.y.quantile(0.1)])
+
+
+def test_plan_of_scores_by_recording_stays_small(spark):
+    # each level of quantiles used to hold several copies of the plan below it
+    shape = spark.createDataFrame([("a", i, float(i), float(i % 3), float(i + 1)) for i in range(9)],
+                                  "stream_id string, cluster_id long, angle double, velo double, path double")
+    t = quality_terms(shape, 0.95, ["stream_id"])
+    assert t._jdf.queryExecution().analyzed().toString().count("LogicalRDD") < 9
