@@ -176,6 +176,14 @@ def _chain_nodes(state: DataFrame) -> DataFrame:
                     .otherwise(F.col("own")).alias("ref"), F.col("entry").alias("open")))
 
 
+def _in_runs(rows: DataFrame) -> DataFrame:
+    """Whole runs in one task, block by block. Rows joined on the run look partitioned by it
+    already, so a plain repartition would be left out, and an adaptive join may then split a
+    run; by a hash of the run it stays."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, F.xxhash64("run")).sortWithinPartitions("run", "blk", "place", "k")
+
+
 def block_fold(counts: DataFrame, make: Callable[[], Tracker], p: Params, log: list | None = None) -> DataFrame:
     """counts: pixel_counts of all slices. Returns (k, x, y, n, n_in, cluster_id). `log`
     gets the number of open borders at each check."""
@@ -223,9 +231,7 @@ def block_fold(counts: DataFrame, make: Callable[[], Tracker], p: Params, log: l
                 .unionByName(state.select((F.col("blk") + 1).alias("blk"), F.lit(1).alias("place"), "kind", "k", "x", "y", "n", "n_in", "g", "xm", "ym", key.alias("key"))
                              .join(meta.where("open").select("blk"), "blk", "left_semi"), allowMissingColumns=True)
                 .withColumn("run", run).join(runs, "run").where("blk >= from").drop("from"))
-        parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        again = (rows.repartition(parts, "run").sortWithinPartitions("run", "blk", "place", "k")
-                 .mapInPandas(lambda batches: _repaired(batches, make, p), _OUT))
+        again = _in_runs(rows).mapInPandas(lambda batches: _repaired(batches, make, p), _OUT)
         found.append(cut_lineage(again.withColumn("version", F.lit(len(found)))))
         length *= 2
     claims = latest.where("kind = 'p'")

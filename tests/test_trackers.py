@@ -5,13 +5,14 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import blobs, flood, partition, to_spark
+from pyspark.sql import functions as F
 
 from ptrack import Params
 from ptrack.fixtures import pixel_events
 from ptrack.functions import pixels as px
 from ptrack.functions.assign import assign_points
 from ptrack.operators import cluster, detect, filters, raster
-from ptrack.operators.blockfold import block_fold
+from ptrack.operators.blockfold import _in_runs, block_fold
 from ptrack.operators.kdtree import RadiusTracker
 from ptrack.operators.pixelwise import PixelwiseTracker
 from ptrack.operators.slicing import slice_events, time_bounds
@@ -325,3 +326,13 @@ def test_post_filter_and_second_run(spark):
     assert (n >= p.min_events).all()
     two = detect.detect(ev, p.with_(multirun=True)).clusters.toPandas()
     assert set(one.event_idx) <= set(two.event_idx)
+
+
+def test_runs_are_not_split_by_an_adaptive_join(spark):
+    rows = spark.createDataFrame([(i % 5, i, 0, i) for i in range(50)], "run long, blk long, place int, k int")
+    runs = spark.range(5).select(F.col("id").alias("run"))
+    joined = rows.join(runs.hint("merge"), "run")
+    assert "REPARTITION_BY_NUM" in _in_runs(joined)._jdf.queryExecution().executedPlan().toString()
+    # the same with the join that follows when one side turns out to be small
+    got = _in_runs(rows.repartition(4, "run").join(F.broadcast(runs), "run")).withColumn("task", F.spark_partition_id())
+    assert all(r.n == 1 for r in got.groupBy("run").agg(F.count_distinct("task").alias("n")).collect())
