@@ -84,6 +84,41 @@ def test_kalman_of_centres(spark, chunk):
         assert np.array_equal(g.t, t[0] + DT * np.arange(total))
 
 
+def test_filter_of_many_clusters_in_step():
+    """Bit for bit what each cluster gives by itself, whatever the lengths."""
+    from ptrack.functions import filter3
+    r = np.random.default_rng(5)
+    p, size = Params(), [1, 2, 40, *r.integers(1, 30, 40), 300, 2]
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    t = np.concatenate([np.sort(r.integers(0, 30000, n)).astype(float) for n in size])
+    z, start, cov = r.normal(0, 50, (len(t), 2)), r.normal(0, 5, (len(size), 3, 2)), np.eye(3) * 1e9
+    got = filter3.run_many(t, z, cuts, start, cov, p.q, p.r)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        assert np.array_equal(got[a], start[i])
+        assert np.array_equal(got[a + 1:b], filter3.run(t[a:b], z[a:b], start[i], cov, p.q, p.r)[0])
+
+
+def test_short_clusters_take_one_shuffle_and_no_group_each(spark):
+    """Clusters that fit into a chunk are numbered, started and filtered after one shuffle, many
+    in a Python call; rows without a cluster and clusters shorter than a slice give nothing, rows
+    without a time are counted only."""
+    c = clusters(seed=2, n=30, m=50)
+    more = pd.DataFrame([(40, 1, 5, 5, 100.0), (40, 2, 6, 5, 900.0)], columns=c.columns)
+    df = frame(spark, pd.concat([c, more])).unionByName(spark.sql(
+        "select bigint(null) cluster_id, bigint(7) event_idx, 3 x, 3 y, 50d t"))
+    late = spark.sql("select 0L cluster_id, 8L event_idx, 3 x, 3 y, double(null) t")
+    seq = kalman.kalman_series(df.unionByName(late), Params()).where("cluster_id < 2").groupBy("cluster_id").agg({"seq": "min"})
+    assert dict(seq.collect()) == {0: 2, 1: 1}
+    for f, at in ((kalman.kalman_series, "seq"), (kalman.kalman_grid, "g")):
+        short = f(df, Params())
+        plan = short._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+        got = short.toPandas().sort_values(["cluster_id", at], ignore_index=True)
+        want = f(df, Params(chunk_rows=20)).toPandas().sort_values(["cluster_id", at], ignore_index=True)
+        assert set(got.cluster_id) == set(range(30))
+        pd.testing.assert_frame_equal(got, want, rtol=1e-6, atol=1e-4)
+
+
 def moments(t, x, y, step):
     d = pd.DataFrame({"g": np.floor(t / step).astype(int), "tau": t / step - np.floor(t / step), "x": x, "y": y})
     cells = [(g, [np.sum(q.tau ** i) for i in range(MOMENTS)], [np.sum(q.x * q.tau ** i) for i in range(4)],
