@@ -17,7 +17,7 @@ from ptrack.operators.pixelwise import PixelwiseTracker
 from ptrack.operators.slicing import slice_count, slice_events, time_bounds
 from ptrack.operators.spatial import match_slices
 from ptrack.params import Params
-from ptrack.session import cut_lineage, grouped
+from ptrack.session import as_table, cut_lineage, grouped
 
 
 SECOND_RUN = 1 << 61
@@ -39,7 +39,7 @@ def _centers(events: DataFrame) -> DataFrame:
 def _from_claims(sl: DataFrame, claims: DataFrame) -> Detection:
     claims = cut_lineage(claims)
     ev = sl.where(~F.col("is_overlap")) if "is_overlap" in sl.columns else sl
-    ev = ev.join(claims.select("k", "x", "y", "cluster_id"), ["k", "x", "y"])
+    ev = ev.join(claims.select("k", "x", "y", "cluster_id").hint("merge"), ["k", "x", "y"])
     ev = ev.select("cluster_id", "k", "event_idx", "x", "y", "t")
     steps = claims.groupBy("cluster_id").agg(F.count_distinct("k").alias("steps"))
     return Detection(ev, _centers(ev), steps)
@@ -203,13 +203,20 @@ def post_filter(d: Detection, p: Params) -> Detection:
 
 
 def _cut(d: Detection) -> Detection:
-    return Detection(cut_lineage(d.clusters), cut_lineage(d.centers), cut_lineage(d.steps))
+    return Detection(as_table(d.clusters), as_table(d.centers), cut_lineage(d.steps))
+
+
+def with_stored_events(d: Detection) -> Detection:
+    """A detection by medians whose events are read more than once: they are joined to their
+    clusters once."""
+    ev = as_table(d.clusters)
+    return Detection(ev, _centers(ev), d.steps)
 
 
 def residual(ev: DataFrame, clusters: DataFrame) -> DataFrame:
     """Events no cluster of the first run holds. Numbers are those of a recording, times tell
     recordings apart."""
-    return ev.join(clusters.select("event_idx", "t"), ["event_idx", "t"], "left_anti")
+    return ev.join(clusters.select("event_idx", "t").hint("merge"), ["event_idx", "t"], "left_anti")
 
 
 def second_run(ev: DataFrame, d: Detection, p: Params, b: Column, repaired: bool = True) -> Detection:
@@ -217,7 +224,8 @@ def second_run(ev: DataFrame, d: Detection, p: Params, b: Column, repaired: bool
     run's time origin."""
     f = p.multi_factor
     p2 = p.with_(dt=p.dt * f, min_pts=p.min_pts * f if p.method == "dbscan" else p.min_pts)
-    rest = residual(ev, d.clusters)
+    # slices, medians and claims of the second run all read what is left
+    rest = as_table(residual(ev, d.clusters))
     if p.compat_second_run:
         rest = rest.where(F.col("t") <= b["t0"] + F.floor(slice_count(b, p.dt) / f) * p2.dt)
         b = F.struct(b["t0"].alias("t0"), (b["t0"] + F.floor(slice_count(b, p.dt) / f) * p2.dt).alias("t1")) if "rec" in ev.columns else ev.agg(F.struct(F.min("t").alias("t0"), (F.min("t") + F.floor(

@@ -336,3 +336,22 @@ def test_runs_are_not_split_by_an_adaptive_join(spark):
     # the same with the join that follows when one side turns out to be small
     got = _in_runs(rows.repartition(4, "run").join(F.broadcast(runs), "run")).withColumn("task", F.spark_partition_id())
     assert all(r.n == 1 for r in got.groupBy("run").agg(F.count_distinct("task").alias("n")).collect())
+
+
+def test_second_run_reads_stored_events(spark, monkeypatch):
+    """What the first run left is worked out once, not by each step of the second run, and it
+    is the events without a cluster."""
+    p = Params(method="dbscan", dt=100.0)
+    e = blobs(4)
+    ev = to_spark(spark, e)
+    b = time_bounds(ev)
+    d = detect.with_stored_events(detect.run_once(ev, p, b))
+    assert "Join" not in d.clusters._jdf.queryExecution().executedPlan().toString()
+    seen, run = [], detect.run_once
+    monkeypatch.setattr(detect, "run_once", lambda rest, *a, **k: seen.append(rest) or run(rest, *a, **k))
+    first = detect.post_filter(d, p)
+    detect.second_run(ev, first, p, b, repaired=False)
+    assert "Join" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    held = {r.event_idx for r in first.clusters.collect()}
+    assert 0 < len(held) < len(e)
+    assert {r.event_idx for r in seen[0].collect()} == set(e.event_idx) - held
