@@ -30,9 +30,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, r
     def cut(batches):
         tok = encoder(vocabulary, remembered)
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                ids, per = tok.encode(texts[lo:hi])
+            names = b.column(0).to_pylist()
+            for lo, texts in slices(b.column(1)):
+                ids, per = tok.encode(texts)
                 n = per + 1
                 raw = np.insert(ids, np.cumsum(per), end_id).astype("<u4")     # each document with its end
                 pieces = -(-n // capacity)

@@ -169,10 +169,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
 
         def chunks():
             for b in batches:
-                names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for lo, hi in slices(texts):
-                    ids, per = tok.encode(texts[lo:hi])
-                    for name, x in zip(names[lo:hi], np.split(ids, np.cumsum(per)[:-1])):
+                names = b.column(0).to_pylist()
+                for lo, texts in slices(b.column(1)):
+                    ids, per = tok.encode(texts)
+                    for name, x in zip(names[lo:lo + len(texts)], np.split(ids, np.cumsum(per)[:-1])):
                         yield from w.add(name, np.append(x, np.uint32(end_id)))
             if w.open:
                 yield w.close_block()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ptrack.llm import (language_model, licences, mixing, packing, secrets, shingle_join, simhash, token_files, toxicity, vectors)
+from ptrack.llm import (language_model, licences, mixing, packing, secrets, shingle_join, simhash, token_files, tokens, toxicity, vectors)
 from ptrack.llm.common import components, mix, pack, pack_sorted, unpack, unpack_sorted
 from ptrack.llm.tokens import Encoder, vocabulary
 
@@ -161,6 +161,35 @@ def test_encoder_equals_library(name, rows):
         assert Counter(e.encode(["", "a"])[1].tolist()) == Counter([0, 1])
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_plain_words_skip_the_whole_encoding(name):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(vocabulary(name))
+    text = "Éclair die Größe, niños\" OSCILAÇÃO... y_ x' Word a" + "z" * 300
+    e = Encoder(vocabulary(name))
+    assert e.plain
+    want = t.encode(text, add_special_tokens=False).ids
+    for tail in (",", "\"", "...", "_", "'"):
+        e.tails[tail] = e._ids(tail)
+    e.tokenizer = None                                       # not needed for words
+    assert e.encode([text, text])[0].tolist() == want * 2
+    rng = random.Random(5)
+    letters = "aZ sßÿÀ×÷µªñ́ß'.,_~0中\x7f"
+    e = Encoder(vocabulary(name))
+    for chunk in {"".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(4000)}:
+        ids = e._word(chunk)
+        assert ids is None or ids == e._ids(chunk), chunk
+
+
+def test_slices_of_a_column():
+    import pyarrow as pa
+    texts = ["ab", "", "é" * 9, "c" * 30, "d", "e" * 5]
+    got = list(tokens.slices(pa.array(["-", *texts]).slice(1), 8))
+    assert [t for _, some in got for t in some] == texts
+    assert [at for at, _ in got] == [0, 2, 3, 4]
+    assert list(tokens.slices(pa.array([], pa.string()))) == []
+
+
 def test_token_files(spark, rows, odd, empty):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
