@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    # workers have served four other stages by now: they remember half as many chunks
-    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, remembered=REMEMBERED // 2)
+    # executors have grown with four other stages by now: workers remember an eighth of the chunks
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, remembered=REMEMBERED // 8)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]

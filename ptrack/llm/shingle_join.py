@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.llm.common import WordHashes, components, kept, mix, pack, pack_sorted, parts, small, stored, unpack, unpack_sorted, words
+from ptrack.llm.common import WordHashes, components, forget, kept, mix, pack, pack_sorted, parts, small, stored, unpack, unpack_sorted, words
 
 BATCH_SHINGLES = 1_500_000
 BATCH_DOCS = 60_000
@@ -98,6 +98,7 @@ def _forward(shingle_words: int, n_parts: int):
                     home, ids, texts, sets, size = home + 1, [], [], [], 0
         if ids:
             yield from _send(home, ids, texts, sets, n_parts)
+        forget()                     # the counts and joins after this run beside the idle workers
     return run
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ptrack.llm import (language_model, licences, mixing, packing, secrets, shingle_join, simhash, token_files, tokens, toxicity, vectors)
+from ptrack.llm import (common, language_model, licences, mixing, packing, secrets, shingle_join, simhash, token_files, tokens, toxicity, vectors)
 from ptrack.llm.common import components, mix, pack, pack_sorted, unpack, unpack_sorted
 from ptrack.llm.tokens import Encoder, vocabulary
 
@@ -190,6 +190,12 @@ def test_slices_of_a_column():
     assert list(tokens.slices(pa.array([], pa.string()))) == []
 
 
+def test_workers_forget():
+    common.kept("a kind", dict)
+    common.forget()
+    assert not common._kept
+
+
 def test_token_files(spark, rows, odd, empty):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
