@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ptrack.llm.common import parts, stored
-from ptrack.llm.tokens import REMEMBERED, encoder, slices
+from ptrack.llm.tokens import REMEMBERED, encoder, text_runs
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PLAN = "length int, first_rank long, ranks long, first_sequence long, offset int"
@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, r
         tok = encoder(vocabulary, remembered)
         for b in batches:
             names = b.column(0).to_pylist()
-            for lo, texts in slices(b.column(1)):
+            for lo, texts in text_runs(b.column(1)):
                 ids, per = tok.encode(texts)
                 n = per + 1
                 raw = np.insert(ids, np.cumsum(per), end_id).astype("<u4")     # each document with its end

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ptrack.llm.common import file_system, parts, shared_folder, write_file
-from ptrack.llm.tokens import encoder, slices
+from ptrack.llm.tokens import encoder, text_runs
 
 # Fixed values of the format: ids in a word, by selector 0 to 12; their bits are 60 // ids.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -170,7 +170,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         def chunks():
             for b in batches:
                 names = b.column(0).to_pylist()
-                for lo, texts in slices(b.column(1)):
+                for lo, texts in text_runs(b.column(1)):
                     ids, per = tok.encode(texts)
                     for name, x in zip(names[lo:lo + len(texts)], np.split(ids, np.cumsum(per)[:-1])):
                         yield from w.add(name, np.append(x, np.uint32(end_id)))

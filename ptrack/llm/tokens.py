@@ -179,7 +179,19 @@ def encoder(path: str, limit: int = REMEMBERED) -> Encoder:
     return kept(("encoder", path, limit), lambda: Encoder(path, limit))
 
 
-def slices(texts, chars: int = 500_000):
+def slices(texts: list, chars: int = 2_000_000):
+    """Runs of texts of bounded total length (at least one text each)."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > chars:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def text_runs(texts, chars: int = 500_000):
     """(first row, texts) for runs of an Arrow column of texts, of bounded total length in bytes (at least one
     text each): a batch may hold long texts, and is never turned into Python objects as a whole."""
     size = np.asarray(pc.binary_length(texts), dtype=np.int64)

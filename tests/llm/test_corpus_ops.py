@@ -181,13 +181,13 @@ def test_plain_words_skip_the_whole_encoding(name):
         assert ids is None or ids == e._ids(chunk), chunk
 
 
-def test_slices_of_a_column():
+def test_runs_of_a_column():
     import pyarrow as pa
     texts = ["ab", "", "é" * 9, "c" * 30, "d", "e" * 5]
-    got = list(tokens.slices(pa.array(["-", *texts]).slice(1), 8))
+    got = list(tokens.text_runs(pa.array(["-", *texts]).slice(1), 8))
     assert [t for _, some in got for t in some] == texts
     assert [at for at, _ in got] == [0, 2, 3, 4]
-    assert list(tokens.slices(pa.array([], pa.string()))) == []
+    assert list(tokens.text_runs(pa.array([], pa.string()))) == []
 
 
 def test_workers_forget():
