@@ -8,7 +8,8 @@ back to the batch. Shingles of one document alone come first in any prefix and n
 so most documents are settled there. The rest is joined on prefixes: equal sets are one,
 sets of equal prefix and size are one group, group pairs pass the size and the position
 filter, and members are verified on their shared shingles. As classes are asked for, pairs
-that are linked by others already are not verified again.
+that are linked by others already are not verified again: first every group meets the head
+of a list, then, in lists that many classes share, each text some of the largest class.
 
 Rows are the nodes, not ids: rows that share a doc_id with different texts have sets and
 links of their own. A row's key is its place (partition, batch, place in the batch), given
@@ -18,6 +19,8 @@ Shingles are 48 bits of a 64-bit hash: two different ones of a pair of documents
 thousand shingles fall together with a chance of 4e-9."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +33,10 @@ DOC_BITS = 16                         # of a row's key: its place in the batch,
 BATCH_BITS = 26                       # of a row's key: the batch in its partition
 BITS = 48
 PARTS = 4                             # parts of the index for each shuffle partition
+ROUNDS = 8                            # between the passes, at most
+HEADS = 3                             # that a text is compared with in a round
+BEFORE = 16                           # shingles of the prefix that an entry of the index knows before its own
+CROWDED = 4                           # pairs of different classes in a list for each of its entries: more are worth a round
 ROWS = "kind int, home long, key long, a binary, b binary, c binary"
 SCHEMA = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 INDEX, DOCS, TOGETHER, BACK = range(4)
@@ -209,6 +216,36 @@ def _group_sets(groups: DataFrame, member: DataFrame, reps: DataFrame) -> DataFr
                            .select(F.col("g").alias("node"), F.col("n").alias("n_shingles"), "shared"))
 
 
+def _merged(listed: DataFrame, of_member: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, list]:
+    """of_member (node, g, c) with fewer classes c, and the links (a, b) that joined them. Texts
+    copied with many changes are often too far from the head of a list, but near to others of its
+    class. In each round a text meets, of every list, one member of another class, another one each
+    time: in turn of the class that holds most of the list, and of any class. Pairs grow with the
+    lists, not with their squares. Rounds go on while the lists hold many pairs of different
+    classes and two rounds make these fewer by a tenth."""
+    joined, seen = [], []
+    for turn in range(ROUNDS):
+        lists = (listed.select("slot", "g").join(of_member, "g").groupBy("slot", "c")
+                 .agg(F.count(F.lit(1)).cast("double").alias("k"), F.min(F.struct(F.xxhash64("node", "slot", F.lit(turn)).alias("h"), "node")).alias("m"))
+                 .groupBy("slot").agg(F.count(F.lit(1)).alias("classes"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("alike"),
+                                      F.max(F.struct("k" if turn % 2 == 0 else "m.h", "c", F.col("m.node").alias("head"))).alias("top")).where("classes > 1"))
+        lists = stored(lists.select("slot", "n", ((F.col("n") * F.col("n") - F.col("alike")) / 2).alias("apart"), F.col("top.c").alias("other"), F.col("top.head").alias("head")), "lists")
+        apart, n = lists.agg(F.sum("apart"), F.sum("n")).first()
+        if apart is None or apart <= CROWDED * n or len(seen) > 1 and apart > 0.9 * seen[-2]:
+            break
+        seen.append(apart)
+        shared = (listed.select("slot", "g").join(lists.select("slot", "other", "head"), "slot").join(of_member, "g").where("c <> other")
+                  .groupBy("node", "head").agg(F.count(F.lit(1)).alias("k")))
+        nearest = F.slice(F.sort_array(F.collect_list(F.struct("k", "head")), False), 1, HEADS)
+        pairs = shared.groupBy("node").agg(F.explode(nearest).alias("s")).select(F.col("node").alias("a"), F.col("s.head").alias("b"))
+        found = stored(_verified(pairs, reps, percent), "links")
+        joined.append(found)
+        c = lambda k: of_member.select(F.col("node").alias(k), F.col("c").alias(f"c{k}"))
+        apiece = components(found.join(c("a"), "a").join(c("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        of_member = stored(of_member.join(apiece.withColumnRenamed("node", "c"), "c", "left").select("node", "g", F.coalesce("component", "c").alias("c")), "member-classes")
+    return of_member, joined
+
+
 def _classes(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
     """doc_id, text_hash, n_shingles of every row with a doc_id, and `first`: the least (doc_id,
     text_hash) of the rows that links reach, null where nothing links."""
@@ -219,17 +256,18 @@ def _classes(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
     reps = stored(able.join(copies.select(F.col("a").alias("node")), "node", "left_anti"), "sets")
     groups = stored(reps.groupBy("n_shingles", "n_shared", "prefix").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("members")), "prefix-groups")
     listed = groups.select("g", F.col("n_shingles").alias("n"), "prefix", F.posexplode("prefix").alias("pos", "slot"))
-    listed = listed.withColumn("before", F.get("prefix", F.col("pos") - 1)).drop("prefix")
+    listed = listed.withColumn("before", F.slice("prefix", F.greatest(F.col("pos") - BEFORE + 1, F.lit(1)), F.least("pos", F.lit(BEFORE)))).drop("prefix")
     shared_n = groups.select("g", (F.col("n_shingles") - F.col("n_shared")).alias("alone"))
-    listed = listed.join(shared_n, "g")
+    listed = stored(listed.join(shared_n, "g"), "prefix-index")
     member = stored(reps.alias("r").join(groups.alias("g"), ["n_shingles", "n_shared", "prefix"]).select("node", "g"), "members")
 
-    def may(a: str, b: str):
-        """Size and position filter of two entries of one shingle's list."""
+    def may(a: str, b: str, met=False):
+        """Size and position filter of two entries of one shingle's list; met: of entries without a
+        common one among the shingles just before."""
         left = F.least(*[F.col(f"{x}.n") - F.col(f"{x}.alone") - F.col(f"{x}.pos") - 1 for x in (a, b)])
-        most = F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos")) + 1 + left
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+        pa, pb, na, nb = F.col(f"{a}.pos"), F.col(f"{b}.pos"), F.col(f"{a}.n"), F.col(f"{b}.n")
+        ahead = F.least(pa, pb, F.greatest(pa - BEFORE, F.lit(0)) + F.greatest(pb - BEFORE, F.lit(0))) if met else F.least(pa, pb)
+        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * (ahead + 1 + left) >= percent * (na + nb))
 
     # first pass: every group with the head of one list it shares most with, members with their group's first
     head = listed.groupBy("slot").agg(F.min(F.struct("g", "n", "alone", "pos")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("slot", "h.*")
@@ -240,24 +278,26 @@ def _classes(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
     near = stored(_verified(starred.unionByName(inside), reps, percent), "links").unionByName(copies)
     class_of = stored(components(near), "classes")
 
-    # second pass: all other candidates whose members are in different classes
+    # between the passes: where long lists still hold many classes, these meet first
     of_member = member.join(class_of, "node", "left").select("node", "g", F.coalesce("component", "node").alias("c"))
-    of_member = stored(of_member, "member-classes")
-    span = of_member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    entry = stored(listed.join(span, "g"), "prefix-index")
+    of_member, joined = _merged(listed, stored(of_member, "member-classes"), reps, percent)
+
+    # second pass: all other candidates, as far as members of two groups (or of one) are in different classes
+    entry = stored(listed.join(of_member.select("g", "c").distinct(), "g"), "class-index")
     x, y = entry.alias("x"), entry.alias("y")
-    one_class = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
-    # where the shingles before are the same as well, the pair meets there (the filters agree)
-    later = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
-    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.g") < F.col("y.g")) & ~one_class & ~later & may("x", "y"))
-    met = met.select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
+    once = (F.col("x.g") < F.col("y.g")) | ((F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")))
+    # where one of the shingles just before is common as well, the pair meets there or cannot link
+    later = F.arrays_overlap("x.before", "y.before")
+    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.c") != F.col("y.c")) & once & may("x", "y", met=True) & ~later)
+    met = stored(met.select(F.col("x.g").alias("ga"), F.col("x.c").alias("ca"), F.col("y.g").alias("gb"), F.col("y.c").alias("cb")).distinct(), "met")
     # group pairs: what all members of a group hold bounds what any two have in common
-    met = stored(_verified(met, _group_sets(groups, member, reps), percent), "group-pairs").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
-    met = met.unionByName(span.where("lo <> hi").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
+    able = _verified(met.where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct(), _group_sets(groups, member, reps), percent)
+    able = stored(able, "group-pairs").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    met = met.where("ga = gb").unionByName(met.join(able, ["ga", "gb"], "left_semi"))
     of = lambda k: of_member.select(F.col("g").alias(f"g{k}"), F.col("node").alias(k), F.col("c").alias(f"c{k}"))
-    rest = met.join(of("a"), "ga").join(of("b"), "gb").where("ca <> cb and (ga <> gb or a < b)").select("a", "b")
+    rest = met.join(of("a"), ["ga", "ca"]).join(of("b"), ["gb", "cb"]).select("a", "b")
     more = stored(_verified(rest, reps, percent), "links")
-    found = components(class_of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    found = components(reduce(DataFrame.unionByName, joined, class_of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     found = stored(found.join(sets.select("node", "doc_id", "text_hash"), "node"), "linked")
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     return sets.join(found.join(first, "component").select("node", "first"), "node", "left").select("doc_id", "text_hash", "n_shingles", "first")

@@ -520,6 +520,29 @@ def test_shingle_join_links_over_others(spark):
     assert got == classes(shingle_sets(rows), 80) and got[900] == 892
 
 
+def test_shingle_join_crowded_lists(spark, monkeypatch):
+    """Many copies with many changes: most are too far from each other, and a text meets few of them."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for _ in range(1 if i % 4 == 3 else 2):
+            w[rng.randrange(len(w))] = f"y{i}_{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    verified, compared = shingle_join._verified, []
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(shingle_join, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in shingle_join.similar_classes(df).collect()}
+    assert got == classes(shingle_sets(rows), 80)
+    assert got == dict.fromkeys(got, 0) and sum(compared) < 12 * len(rows), compared
+
+
 def test_one_of_each(odd, empty, rows):
     kept = [r.doc_id for r in shingle_join.one_of_each(odd).collect()]
     low = classes(shingle_sets(rows), 80)
