@@ -16,7 +16,7 @@ from ptrack.llm.common import kept
 # Characters that some engines count as blanks and others do not: such texts are encoded uncut.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 CONTROLS = re.compile("[\x1c-\x1f]")
-REMEMBERED = 500_000                 # chunks of a generation, about 150 bytes each
+REMEMBERED = 500_000                 # chunks of a generation, about 150 bytes each in the younger one, 30 in the older
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # A blank at most, letters that normalising leaves whole, and signs, which are pieces of their own.
 WORD = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
@@ -49,6 +49,14 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _hashes(chunks) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of chunks, in two arrays."""
+    import xxhash
+    of = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([of(c.encode("utf-8", "surrogatepass")) for c in chunks]), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 class Places(dict):
     """Chunk -> place; collects the chunks not met before."""
 
@@ -76,8 +84,8 @@ class Encoder:
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lowers = self._ids("A") == self._ids("a")
         self.tails: dict = {}
-        self.older: dict = {}
-        self.older_of = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.older = _hashes([])
+        self.older_of = (np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32))
         self._renew()
         # only where the vocabulary treats words as `_word` does
         self.merges = self.tokenizer.model
@@ -115,9 +123,25 @@ class Encoder:
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _turn(self) -> None:
-        self.older, self.older_of = self.at, (self.ids[:self.used].copy(), self.start, self.length)
+        """The younger generation becomes the older one: its chunks are kept as hashes in order, which
+        take a sixth of a dictionary's memory."""
+        hi, lo = _hashes(self.at)
+        order = np.argsort(hi)
+        self.older_of = (self.ids[:self.used].copy(), self.start[order].astype(np.int32), self.length[order].astype(np.int32))
+        self.older = hi[order], lo[order]
         self._renew()
 
+    def _met(self, chunks: list) -> np.ndarray:
+        """Places of the chunks in the older generation, -1 for others. Where two chunks of a generation
+        had the first half of their hashes alike, the second one would be taken for new."""
+        hi, lo = self.older
+        if not len(hi):
+            return np.full(len(chunks), -1)
+        first, second = _hashes(chunks)
+        at = np.searchsorted(hi, first)
+        at[at == len(hi)] = 0
+        return np.where((hi[at] == first) & (lo[at] == second), at, -1)
+
     def _add(self, places: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
         self.ids = grown(self.ids, self.used + len(ids))
         self.ids[self.used:self.used + len(ids)] = ids
@@ -131,7 +155,7 @@ class Encoder:
         new, self.at.new = self.at.new, []
         first = len(self.at) - len(new)
         self.start, self.length = grown(self.start, len(self.at)), grown(self.length, len(self.at))
-        old = np.fromiter((self.older.get(c, -1) for c in new), np.int64, len(new))
+        old = self._met(new)
         ids, start, length = self.older_of
         kept_ = np.flatnonzero(old >= 0)
         if len(kept_):

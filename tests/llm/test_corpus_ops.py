@@ -196,6 +196,20 @@ def test_workers_forget():
     assert not common._kept
 
 
+def test_encoder_remembers_little_of_the_older_chunks():
+    import sys
+    chunks = [f"Word{i}" for i in range(20_000)]
+    e = Encoder(vocabulary("word_bpe_49k.json"), len(chunks) // 2)
+    ids = e.encode(chunks)[0]
+    assert (e.encode(chunks[:10])[0] == ids[:len(e.encode(chunks[:10])[0])]).all()
+    held = [*e.older, *e.older_of]
+    assert sum(sys.getsizeof(a) for a in held) < 60 * len(chunks) and all(isinstance(a, np.ndarray) for a in held)
+    fresh = Encoder(vocabulary("word_bpe_49k.json"))
+    before = e._met(chunks)
+    assert (before >= 0).all() and len(set(before.tolist())) == len(chunks) and (e._met(["never met"]) == -1).all()
+    assert (e.encode(chunks[::-1])[0] == fresh.encode(chunks[::-1])[0]).all()
+
+
 def test_token_files(spark, rows, odd, empty):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
