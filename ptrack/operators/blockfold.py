@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from ptrack.functions import pixels as px
 from ptrack.functions.chains import LABEL_BITS, pointer_double
 from ptrack.params import Params
-from ptrack.session import cut_lineage, grouped
+from ptrack.session import as_table, cut_lineage, grouped
 
 _IN = ["k", "x", "y", "n", "n_in", "first_t", "first_idx"]
 _OUT = ("blk bigint, kind string, k int, x int, y int, n bigint, n_in bigint, own bigint, entry boolean, "
@@ -188,12 +188,12 @@ def block_fold(counts: DataFrame, make: Callable[[], Tracker], p: Params, log: l
     """counts: pixel_counts of all slices. Returns (k, x, y, n, n_in, cluster_id). `log`
     gets the number of open borders at each check."""
     b, w = p.block_slices, p.warmup_slices
-    src = cut_lineage(counts.select(*_IN))
+    src = as_table(counts.select(*_IN))
     own = F.floor(F.col("k") / b)
     homes = F.when(F.pmod("k", F.lit(b)) >= b - w, F.array(own, own + 1)).otherwise(F.array(own))
     first = src.select(F.explode(homes).alias("blk"), F.lit("p").alias("kind"), *_IN)
     # a block that only holds warm-up rows of the block before emits its own (empty) result
-    found = [cut_lineage(grouped(first, "blk").applyInPandas(lambda key, pdf: _guessed(int(key[0]), pdf, make(), p), _OUT)
+    found = [as_table(grouped(first, "blk").applyInPandas(lambda key, pdf: _guessed(int(key[0]), pdf, make(), p), _OUT)
                          .withColumn("version", F.lit(0)))]
     length = 2
     while True:
@@ -232,7 +232,7 @@ def block_fold(counts: DataFrame, make: Callable[[], Tracker], p: Params, log: l
                              .join(meta.where("open").select("blk"), "blk", "left_semi"), allowMissingColumns=True)
                 .withColumn("run", run).join(runs, "run").where("blk >= from").drop("from"))
         again = _in_runs(rows).mapInPandas(lambda batches: _repaired(batches, make, p), _OUT)
-        found.append(cut_lineage(again.withColumn("version", F.lit(len(found)))))
+        found.append(as_table(again.withColumn("version", F.lit(len(found)))))
         length *= 2
     claims = latest.where("kind = 'p'")
     node = F.shiftleft(F.col("blk"), LABEL_BITS) + F.col("own")

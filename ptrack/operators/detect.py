@@ -180,8 +180,11 @@ def repair_detection(d: Detection, p: Params, dt: float) -> Detection:
 
 
 def _keep(d: Detection, ids: DataFrame) -> Detection:
+    # counted from the events once, not for each of the three tables
+    ids = cut_lineage(ids.select("cluster_id"))
+
     def only(df):
-        return df.join(ids.select("cluster_id"), "cluster_id", "left_semi")
+        return df.join(ids, "cluster_id", "left_semi")
     return Detection(only(d.clusters), only(d.centers), only(d.steps))
 
 

@@ -1,9 +1,10 @@
 """Join the end of one cluster to the start of a later (or earlier) one."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ptrack.functions.chains import pointer_double
+from ptrack.functions.chains import close, fits_one_task, in_one_task, lookup, pointer_double
 from ptrack.operators.spatial import around
 from ptrack.session import cut_lineage
 
@@ -48,12 +49,28 @@ def candidates(ends: DataFrame, max_dt: float, max_dist: float) -> DataFrame:
             .select("target", "source", "te"))
 
 
+def _first_free(cand: dict[str, np.ndarray], order: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    o = np.lexsort((*[cand[c] for c in reversed(order)], cand["target"]))
+    links, taken, done = [], set(), None
+    for target, source in zip(cand["target"][o].tolist(), cand["source"][o].tolist()):
+        if target != done and source not in taken:
+            links.append((target, source))
+            taken.add(source)
+            done = target
+    return tuple(np.array(links, np.int64).reshape(-1, 2).T)
+
+
 def one_to_one(cand: DataFrame, order: list[str]) -> DataFrame:
     """Greedy links: targets in ascending order take their first free source.
 
     Round by round, pairs that are each other's first choice are linked and
-    leave; this gives the sequential result without a sequential pass."""
+    leave; this gives the sequential result without a sequential pass. A short list
+    is passed through in one task."""
     cand = cut_lineage(cand)
+    short = cand.select("target", "source", *[c for c in order if c != "source"])
+    if fits_one_task(short):
+        names = short.columns
+        return in_one_task(short, lambda *c: _first_free(dict(zip(names, c)), order), "target bigint, source bigint")
     links = cand.select("target", "source").limit(0)
     while cand.limit(1).count():
         first = cand.groupBy("target").agg(F.min(F.struct(*order)).alias("o"))
@@ -66,11 +83,33 @@ def one_to_one(cand: DataFrame, order: list[str]) -> DataFrame:
     return links
 
 
+def _roots(node: np.ndarray, ref: np.ndarray, compat: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``resolve`` of arrays."""
+    if compat:
+        hop = ref > node
+        hops = node[hop]
+        _, far, _ = close(hops, ref[hop], lookup(hops, ref[hop])[1])
+        at, there = lookup(hops, ref)
+        return node, np.where(there, far[at], ref) if len(hops) else ref
+    _, open_ = lookup(node, ref)
+    at, low, ring, span = ref, np.minimum(node, ref), open_, 1
+    while span <= len(node) and ring.any():
+        to, there = lookup(node, at)
+        at, low, ring = (np.where(ring & there, at[to], at), np.where(ring & there, np.minimum(low, low[to]), low),
+                         ring & there & ring[to])
+        span *= 2
+    stays = ring & (node == low)
+    node, ref, open_ = node[~stays], np.where(ring, low, ref)[~stays], (open_ & ~ring)[~stays]
+    return close(node, ref, open_)[:2]
+
+
 def resolve(links: DataFrame, compat: bool = False) -> DataFrame:
     """(cluster_id, root) for clusters that move. Chains A <- B <- C end in A;
     with ``compat`` links act once each, in target order, so that a chain is
     only followed while targets increase."""
-    links = cut_lineage(links)
+    links = cut_lineage(links.select("target", "source"))
+    if fits_one_task(links):
+        return in_one_task(links, lambda target, source: _roots(source, target, compat), "cluster_id bigint, root bigint")
     up = links.select(F.col("source").alias("node"), F.col("target").alias("ref"))
     if not compat:
         nxt = up.select(F.col("node").alias("ref"), F.lit(True).alias("open"))

@@ -1,9 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ptrack import Params
-from ptrack.functions import ordered, robust
+from ptrack.functions import chains, ordered, robust
 from ptrack.operators import repair, report, validate
 
 
@@ -119,3 +120,45 @@ def test_reports(spark):
     seg = {(r.cluster_id, r.seq): r.valid for r in validate.segments(ok).collect()}
     top = t.groupby("cluster_id").seq.max()
     assert seg == {(c, k): k % 3 != 1 and (k + 1) % 3 != 1 for c, m in top.items() for k in range(m)}
+
+
+def _jobs(spark, group):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_short_link_tables_take_few_jobs(spark):
+    # every source has its first choice taken by the target before: one link a round, and a chain through all
+    n = 40
+    pairs = spark.createDataFrame([(i, s, float(s)) for i in range(n) for s in (i + 1, i + 2)], "target long, source long, te double")
+    spark.sparkContext.setJobGroup("links", "")
+    try:
+        links = repair.one_to_one(pairs, ["te", "source"]).collect()
+        roots = repair.resolve(repair.one_to_one(pairs, ["te", "source"])).collect()
+        jobs = _jobs(spark, "links")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert sorted(links) == [(i, i + 1) for i in range(n)] and {r.root for r in roots} == {0} and len(roots) == n
+    assert jobs <= 20
+
+
+def test_one_task_gives_the_links_of_the_rounds(spark, monkeypatch):
+    big = 1 << 61
+    both = []
+    for limit in (chains.ONE_TASK, 0):
+        monkeypatch.setattr(chains, "ONE_TASK", limit)
+        r = np.random.default_rng(4)
+        got = []
+        for size in (0, 60):
+            pairs = {(int(t), int(s) + big): float(e) for t, s, e in zip(r.integers(0, 20, size), r.integers(0, 25, size), r.integers(0, 4, size))}
+            cand = spark.createDataFrame([(*k, e) for k, e in pairs.items()], "target long, source long, te double")
+            got += [sorted(map(tuple, repair.one_to_one(cand, order).collect())) for order in (["source"], ["te", "source"])]
+            # paths and rings of several lengths, one of them a pair
+            to = dict(enumerate(r.permutation(24).tolist())) if size else {}
+            links = spark.createDataFrame([(b, a) for a, b in to.items() if a != b and a % 7], "target long, source long")
+            got += [sorted(map(tuple, repair.resolve(links, compat).collect())) for compat in (False, True)]
+            ring = spark.createDataFrame([(1, 2), (2, 1), (5, 4), (4, 3), (3, 5), (8, 7), (7, 6)][:size], "target long, source long")
+            got += [sorted(map(tuple, repair.resolve(ring, compat).collect())) for compat in (False, True)]
+            nodes = spark.createDataFrame([(1, 2, True), (2, 3, True), (3, 9, True), (4, 4, False), (5, 1, True)][:size], "node long, ref long, open boolean")
+            got.append(sorted(map(tuple, chains.pointer_double(nodes).collect())))
+        both.append(got)
+    assert both[0] == both[1] and any(both[0])
