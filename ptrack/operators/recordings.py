@@ -20,7 +20,7 @@ from ptrack.operators.slicing import slice_count
 from ptrack.operators.track import track
 from ptrack.operators.validate import validate
 from ptrack.params import Params
-from ptrack.session import cut_lineage
+from ptrack.session import as_table, cut_lineage
 
 EMPTY_SLICES = 16            # at least so many between two recordings
 BROADCAST_ROWS = 100_000     # a longer list of recordings is joined by a shuffle
@@ -92,7 +92,7 @@ class Recordings:
 def run_recordings(events: DataFrame, p: Params, box=None, crop=None) -> Recordings:
     """The whole way for all recordings of (stream_id, event_idx, x, y, t, p) at once, equal to
     one run for each. event_idx tells events apart within a recording."""
-    ev = cut_lineage(apply_filters(events, box, crop, p.only_positive))
+    ev = as_table(apply_filters(events, box, crop, p.only_positive))
     lay = lay_out(ev, p)
     q = p.with_(slice_stride=lay.stride)
     d = detect(side_by_side(ev, lay), q)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ptrack import Params
 from ptrack.functions import chains, ordered, robust
-from ptrack.operators import repair, report, validate
+from ptrack.operators import recordings, repair, report, validate
 
 
 def make_tracks(seed=0, n=30, m=8):
@@ -162,3 +162,13 @@ def test_one_task_gives_the_links_of_the_rounds(spark, monkeypatch):
             got.append(sorted(map(tuple, chains.pointer_double(nodes).collect())))
         both.append(got)
     assert both[0] == both[1] and any(both[0])
+
+
+def test_scores_are_stored_before_the_export(spark):
+    # the table reads them twice, and held the plan of the scores each time
+    pts = [(c, s, s * 2000.0, float(c + s), float(s * (c % 3)), 1e-3 * c, 1e-3) for c in range(6) for s in range(5)]
+    tracks = spark.createDataFrame(pts, "cluster_id long, seq long, t double, x double, y double, u double, v double")
+    tracks = tracks.withColumn("stream_id", F.when(F.col("cluster_id") % 2 == 1, "b").otherwise("a"))
+    checked = validate.validate(tracks, Params(quality_filter=True), ["stream_id"])
+    table = recordings.export_by_recording(checked)
+    assert table.count() and table._jdf.queryExecution().analyzed().toString().count("LogicalRDD") <= 6
