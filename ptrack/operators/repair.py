@@ -50,14 +50,16 @@ def candidates(ends: DataFrame, max_dt: float, max_dist: float) -> DataFrame:
 
 
 def _first_free(cand: dict[str, np.ndarray], order: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``one_to_one`` of arrays."""
     o = np.lexsort((*[cand[c] for c in reversed(order)], cand["target"]))
-    links, taken, done = [], set(), None
-    for target, source in zip(cand["target"][o].tolist(), cand["source"][o].tolist()):
-        if target != done and source not in taken:
-            links.append((target, source))
-            taken.add(source)
-            done = target
-    return tuple(np.array(links, np.int64).reshape(-1, 2).T)
+    target, source = cand["target"][o], cand["source"][o]
+    won, taken, done = np.zeros(len(o), bool), set(), None
+    for i, (t, s) in enumerate(zip(target.tolist(), source.tolist())):
+        if t != done and s not in taken:
+            won[i] = True
+            taken.add(s)
+            done = t
+    return target[won], source[won]
 
 
 def one_to_one(cand: DataFrame, order: list[str]) -> DataFrame:
